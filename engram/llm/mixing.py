@@ -119,19 +119,17 @@ def _below(docs: DataFrame, want: DataFrame, patterns: int) -> DataFrame:
     return both.select("pattern", (F.col("high") * 65536 + near).alias("below"))
 
 
-def mix(docs: DataFrame, sources: Column, *, weights: Sequence[float] = WEIGHTS, most_times: int = MOST_TIMES, seed: int = SEED, key: Column | None = None, columns: Sequence[str] = ()) -> DataFrame:
-    """The documents with size, pattern, epochs (times the mix takes them) and taken (words, repeats counted).
+def mix(docs: DataFrame, sources: Column, *, weights: Sequence[float] = WEIGHTS, most_times: int = MOST_TIMES, seed: int = SEED, key: Column | None = None, rows: bool = False) -> DataFrame:
+    """key, size, source, source_size, target, pattern, epochs (times the mix takes a document), taken (words, repeats counted).
 
     sources: an array column, the sources a document belongs to; the first names the source whose size it counts in.
+    rows: adds the struct `row` of all columns of docs.
     """
     spark = docs.sparkSession
     key = F.col("doc_id") if key is None else key
-    narrow = staged(
-        docs.select(*columns, key.alias("key"), sources.alias("sources"), n_words(F.col("text")).alias("size")).withColumns(
-            {"source": F.col("sources")[0], "pattern": F.to_json(F.struct(F.sort_array("sources"))), "hash": F.xxhash64(F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit("")))}
-        ),
-        "sizes",
-    )
+    base = docs.select(*([F.struct(*docs.columns).alias("row")] if rows else []), key.alias("key"), sources.alias("sources"), n_words(F.col("text")).alias("size"))
+    base = base.withColumns({"source": F.col("sources")[0], "pattern": F.to_json(F.struct(F.sort_array("sources"))), "hash": F.xxhash64(F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit("")))})
+    narrow = staged(base.drop("row"), "sizes")
     per_source = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_times)
     quota = [(r["source"], float(r["target"]), int(r["source_size"])) for r in per_source.collect()]
     pattern_rows = narrow.groupBy("pattern").agg(F.sum("size").alias("words"), F.first("sources").alias("sources")).orderBy("pattern").collect()
@@ -146,7 +144,8 @@ def mix(docs: DataFrame, sources: Column, *, weights: Sequence[float] = WEIGHTS,
     below = _below(narrow, chosen.filter("extra > 0"), len(plan))
     chosen = chosen.join(below, "pattern", "left")
     sums = spark.createDataFrame([(s, z, t) for s, t, z in quota], "source string, source_size long, target double")
-    out = narrow.join(broadcast_if_small(chosen, len(plan)), "pattern").join(broadcast_if_small(sums, len(quota)), narrow["source"].eqNullSafe(sums["source"])).drop(sums["source"])
+    out = base if rows else narrow
+    out = out.join(broadcast_if_small(chosen, len(plan)), "pattern").join(broadcast_if_small(sums, len(quota)), out["source"].eqNullSafe(sums["source"])).drop(sums["source"])
     more = F.when((F.col("extra") > 0) & (F.shiftrightunsigned("hash", 32) < F.coalesce("below", F.lit(1 << 32))), 1).otherwise(0)
     out = out.withColumn("epochs", F.when(F.col("size") > 0, F.col("full") + more).otherwise(0))
     return out.withColumn("taken", F.col("epochs") * F.col("size")).drop("full", "extra", "below", "hash", "sources")
@@ -160,6 +159,5 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes, and how often (epochs)."""
-    names = docs.columns
-    mixed = mix(docs, F.array("source"), columns=[c for c in names if c not in ("source",)])
-    return mixed.filter("epochs > 0").select(*names, F.col("epochs").cast("int").alias("epochs"), F.col("taken").cast("long").alias("taken"))
+    mixed = mix(docs, F.array("source"), rows=True).filter("epochs > 0")
+    return mixed.select("row.*", F.col("epochs").cast("int").alias("epochs"), F.col("taken").cast("long").alias("taken"))

@@ -86,7 +86,19 @@ class Block:
         up *= _power("up", len(up))
         total = np.zeros(len(up) + 1, dtype=np.uint64)
         np.cumsum(up, out=total[1:])
-        self.h = mix((total[self.end] - total[self.start]) * _power("down", len(up) + 1)[self.start]) if len(up) else np.empty(0, np.uint64)
+        self._total = total
+        self.h = self._hash(self.start, self.end)
+
+    def _hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        if not len(start):
+            return np.empty(0, np.uint64)
+        return mix((self._total[end] - self._total[start]) * _power("down", len(self._total))[start])
+
+    def prefixes(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Number of each word of at least `length` bytes, and the hash of its first bytes (other than that of a word)."""
+        at = np.flatnonzero(self.end - self.start >= length)
+        start = self.start[at]
+        return at, mix(self._hash(start, start + length) + np.uint64(length))
 
     def counts(self) -> np.ndarray:
         return np.diff(self.first)
