@@ -146,26 +146,30 @@ def fit_label_model(seen: DataFrame, model: Model, rounds: int = ROUNDS) -> Mode
     model.prior = 0.1
 
     def moments(pairs: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Of each class the sums of votes, count, and of products of two votes; a task returns them as rows of a matrix."""
+
         def run(batches):
-            size = m + 1 + (m * m if pairs else 0)
-            total = np.zeros((2, size))
+            total = np.zeros((2, m + 1, m + 1))
             for b in batches:
                 lists = b.column("votes")
-                v = np.zeros((b.num_rows, m))
+                v = np.zeros((b.num_rows, m + 1))
                 v[np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths())), np.asarray(lists.flatten())] = 1
+                v[:, m] = 1
                 given = np.asarray(b.column("toxic").to_numpy(zero_copy_only=False), dtype=float)
-                p = np.where(np.isnan(given), sigmoid(model.odds(v)), np.clip(given, 0.02, 0.98))
+                p = np.where(np.isnan(given), sigmoid(model.odds(v[:, :m])), np.clip(given, 0.02, 0.98))
                 n = np.asarray(b.column("n"), dtype=float)
                 for k, weight in enumerate((n * (1 - p), n * p)):
-                    total[k, : m + 1] += np.append(weight @ v, weight.sum())
-                    if pairs:
-                        total[k, m + 1 :] += ((v * weight[:, None]).T @ v).ravel()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(2 * size)), pa.array(total.ravel())], ["i", "x"])
-
-        rows = seen.mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
-        out = np.zeros(2 * (m + 1 + (m * m if pairs else 0)))
-        out[rows["i"].to_numpy()] = rows["x"].to_numpy()
-        return tuple(out.reshape(2, -1))
+                    total[k] += (v * weight[:, None]).T @ v if pairs else np.outer(np.eye(m + 1)[m], weight @ v)
+            at = [(k, i) for k in (0, 1) for i in range(m + 1) if total[k, i].any()]
+            yield pa.RecordBatch.from_arrays([pa.array([k * (m + 1) + i for k, i in at], pa.int64()), pa.array([total[k, i].tobytes() for k, i in at], pa.binary())], ["i", "x"])
+
+        def add(t: pa.Table) -> pa.Table:
+            return pa.table({"i": t.column("i")[:1], "x": pa.array([sum(np.frombuffer(x) for x in t.column("x").to_pylist()).tobytes()], pa.binary())})
+
+        out = np.zeros((2 * (m + 1), m + 1))
+        for r in seen.mapInArrow(run, "i long, x binary").groupBy("i").applyInArrow(add, "i long, x binary").collect():
+            out[r["i"]] = np.frombuffer(r["x"])
+        return tuple(np.concatenate([x[m], x[:m, :m].ravel()]) for x in out.reshape(2, m + 1, m + 1))
 
     for step in range(rounds):
         clean, toxic = moments(pairs=step == rounds - 1)
