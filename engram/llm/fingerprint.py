@@ -62,17 +62,19 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 
 
 def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """docs (with doc_id, text) and `next`, a struct of the carried columns of the next row by doc_id (nulls first), then text; after the last the first.
+    """doc_id, own and next: structs of the carried columns of a row and of the next one by doc_id (nulls first), then by the carried columns; after the last comes the first.
 
     doc_id is cut into ranges of equal width with about BUCKET rows each; a window finds the next row inside a range,
-    and the last row of a range gets the first row of the next range that has rows. Rows move once.
+    and the last row of a range gets the first row of the next range that has rows. Rows move once: all branches below
+    read one exchange, which carries each text once.
     """
     low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).head()
     width = 1 if low is None else max(1, -(-(high - low + 1) * BUCKET // max(n, 1)))
-    docs = docs.withColumn("range", F.coalesce(F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1).cast("long")))
-    inside = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "text")
-    rows = docs.withColumn("next", F.lead(F.struct(*carry)).over(inside)).withColumn("first", F.lag(F.lit(1)).over(inside).isNull())
-    heads = rows.filter("first").select(F.col("range").alias("following"), F.struct(*carry).alias("next"))
+    bucket = F.coalesce(F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
+    docs = docs.select("doc_id", bucket.alias("range"), F.struct(*carry).alias("own"))
+    inside = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "own")
+    rows = docs.withColumns({"next": F.lead("own").over(inside), "first": F.lag("range").over(inside).isNull()})
+    heads = rows.filter("first").select(F.col("range").alias("following"), F.col("own").alias("next"))
     # which range follows: ranges of ranges first, so that no window has more than 10,000 rows unless there are 10**8 ranges
     ranges = docs.select("range").distinct().withColumn("block", F.floor(F.col("range") / 10_000))
     lead = F.lead("range").over(Window.partitionBy("block").orderBy("range"))
@@ -80,17 +82,17 @@ def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
     every = Window.orderBy("block")
     blocks = blocks.select("block", F.coalesce(F.lead("begin").over(every), F.min("begin").over(Window.partitionBy())).alias("begin"))
     follows = ranges.withColumn("lead", lead).join(blocks, "block").select("range", F.coalesce("lead", "begin").alias("following"))
-    last = rows.filter("next is null").drop("next", "first").join(follows, "range").join(heads, "following").drop("following")
-    return rows.filter("next is not null").drop("first").unionByName(last).drop("range")
+    last = rows.filter("next is null").select("doc_id", "range", "own").join(follows, "range").join(heads, "following").select("doc_id", "own", "next")
+    return rows.filter("next is not null").select("doc_id", "own", "next").unionByName(last)
 
 
 def fingerprints(docs: DataFrame, k: int = K) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = with_next(docs.withColumn("sketch", sketch(F.col("text"), k)), ["text", "sketch"])
-    n = F.length("text")
+    n = F.length("own.text")
     cut = F.floor(n / 4).cast("int")
-    edited = F.concat(F.substring("text", F.lit(1), n - cut), F.substring(F.col("next.text"), F.lit(1), cut))
-    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), "sketch", F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
+    edited = F.concat(F.substring("own.text", F.lit(1), n - cut), F.substring("next.text", F.lit(1), cut))
+    rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.col("own.sketch").alias("sketch"), F.col("next.sketch").alias("next_sketch"), edited.alias("edited"))
     rows = rows.withColumn("edited_sketch", sketch(F.col("edited"), k))
     return rows.select(
         "doc_id",
