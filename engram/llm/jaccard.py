@@ -1,17 +1,19 @@
 """Operator 10: n-gram Jaccard join with token-combination prefixes.
 
 A document is its set of distinct five-word shingles; documents link when 100 * intersection >= 80 * union. Tokens are
-ordered by frequency class, then by hash. Of a set x at most |x| - ceil(0.8 |x|) tokens are missing in a set that
-links with it, so the first |x| - ceil(0.8 |x|) + 1 tokens share one with it. Where frequent tokens enter that prefix, it
-is extended until the rare tokens in it and the frequent ones less one exceed what can be missing; then two linked sets
+ordered by the number of sets that hold them, rarest first. Of a set x at most |x| - ceil(0.8 |x|) tokens are missing in
+a set that links with it, so its first |x| - ceil(0.8 |x|) + 1 tokens share one with it. Tokens of no other set come
+first and can't be that one: a set whose prefix has no others links with nothing. Where frequent tokens enter the prefix,
+it is extended until its rare tokens and its frequent ones less one exceed what can be missing; then two linked sets
 share a rare token of it, or a pair of frequent ones, and these are its signatures. Pairs are formed only in sets of at
 most MOST_PAIRED shingles (their number grows with the square); sets of at least LEAST_SINGLE use single tokens, and as
 linked sets differ in size by a fifth at most, they always have one kind in common.
 
-Classes come from counts of all shingles of all documents in a fixed number of bins: a bin far above the mean holds a
-frequent token. The counts decide only the order, so links don't depend on them. Equal sets are one node. Nodes that
-share a signature are chained to the least of them (not paired), the components of that are cohorts, and inside a
-cohort every two nodes are compared exactly, in blocks of bounded size; a task returns a spanning forest of its links.
+All shingles of all documents are counted, in one exchange of packed arrays: tokens by the first bits of their hash (a
+clash of those changes the order of tokens at most, never a link), sets by their place in the map task. What other sets
+hold as well goes back to the task's sets, which then choose their signatures. Equal sets are one node. Nodes that share
+a signature are chained to the least of them (not paired), the components of that are cohorts, and inside a cohort every
+two nodes are compared exactly, in blocks of bounded size; a task returns a spanning forest of its links.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing. A text of fewer
 than five words has one shingle, its whole sequence. Rows with one doc_id are one document if their texts are equal. A
@@ -25,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,59 +37,37 @@ from engram.llm.textvec import SPACED, Block, mix, shingle_sets, signed, slices
 
 WORDS = 5
 PERCENT = 80
-#: Bins in which all shingles are counted, 2**BITS; and how far above the mean a bin of a frequent token is.
-BITS = 18
-FREQUENT = 256
+#: Sets that hold a token, above which it is frequent.
+FREQUENT = 1000
 MOST_PAIRED, LEAST_SINGLE = 320, 256
+#: Bits of a token's hash by which it is counted; tokens of one part of the count, about; shingles packed at once.
+BITS, PART, PACKED = 44, 1 << 21, 4_000_000
 #: Nodes and shingles of a block of a cohort, about; two blocks meet in one task.
 BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 20
 
 
-def frequent_bins(docs: DataFrame) -> np.ndarray:
-    """True for each bin whose count over all documents is far above the mean."""
-
-    def count(batches):
-        total = np.zeros(1 << BITS, dtype=np.int64)
-        for b in slices(batches):
-            grams, _ = Block(b.column("text"), SPACED).grams(WORDS)
-            total += np.bincount(grams >> np.uint64(64 - BITS), minlength=1 << BITS)
-        parts = total.reshape(64, -1).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(range(64)), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "counts"])
-
-    def add(t: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.int32).astype(np.int64) for x in t.column("counts").to_pylist())
-        return pa.table({"part": t.column("part")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
-
-    counted = docs.select("text").mapInArrow(count, "part long, counts binary")
-    rows = counted.groupBy("part").applyInArrow(add, "part long, counts binary").collect()  # 2**BITS numbers
-    total = np.zeros((64, (1 << BITS) // 64), dtype=np.int64)
-    for r in rows:
-        total[r["part"]] = np.frombuffer(r["counts"], np.int64)
-    mean = total.mean()
-    return (total > mean + 6 * np.sqrt(mean) + FREQUENT).ravel()
-
-
 def missing(n: int) -> int:
     """Tokens of a set of n that a linked set can lack."""
     return n - -(-PERCENT * n // 100)
 
 
-def signatures(s: np.ndarray, often: np.ndarray) -> np.ndarray:
-    """The signatures of a sorted set; often: which of its tokens are frequent."""
-    n, need = len(s), missing(len(s)) + 1
-    rare = s[~often]
-    if len(rare) >= need:
-        return rare[:need]
-    many = s[often]
-    out = [rare]
+def signatures(n: int, token: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The signatures of a set of n tokens; token, held: those that other sets hold as well, rarest first, and by how many sets."""
+    need = missing(n) + 1 - (n - len(token))
+    if need <= 0:
+        return token[:0]
+    rare = int(np.searchsorted(held, FREQUENT, side="right"))
+    if rare >= need:
+        return token[:need]
+    out, many = [token[:rare]], token[rare:]
     if n <= MOST_PAIRED:
-        some = many[: need - len(rare) + 1]
+        some = many[: need - rare + 1]
         i, j = np.triu_indices(len(some), 1)
         out.append(mix(some[i] * np.uint64(0xD6E8FEB86659FD93) + some[j]))
-        if len(some) < need - len(rare) + 1:  # too few tokens for a pair to be sure: single ones as well
+        if len(some) < need - rare + 1:  # too few tokens for a pair to be sure: single ones as well
             out.append(some)
     if n >= LEAST_SINGLE:
-        out.append(many[: need - len(rare)])
+        out.append(many[: need - rare])
     return np.concatenate(out)
 
 
@@ -109,43 +90,119 @@ def nodes_of(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, fp long, check long")
 
 
-def chained(docs: DataFrame, often_bins: np.ndarray) -> DataFrame:
-    """(a, b): nodes (fp) that share a signature, each chained to the least fp that a task or a partition sees."""
-    spark = docs.sparkSession
-    bins = spark.sparkContext.broadcast(often_bins)  # 2**BITS flags
+def _pack(x: np.ndarray) -> bytes:
+    """Bytes of equal weight together, so that the exchange's compression finds the empty ones."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _unpack(raw: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
-    def flush(sigs, fps):
-        """Rows (sig, fp) of the least fp of each signature; rows (null, fp, with) for the others."""
-        sig, fp = np.concatenate(sigs), np.concatenate(fps)
-        order = np.lexsort((fp, sig))
-        sig, fp = sig[order], fp[order]
-        head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        least = np.repeat(fp[head], np.diff(np.append(head, len(sig))))
-        own = np.unique(np.stack([fp, least], 1)[fp != least], axis=0) if (fp != least).any() else np.empty((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(sig[head]), pa.array(fp[head]), pa.nulls(len(head), pa.int64())], ["sig", "fp", "other"])
-        if len(own):
-            yield pa.RecordBatch.from_arrays([pa.array(mix(own[:, 0].view(np.uint64)).view(np.int64)), pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy())], ["sig", "fp", "other"])
+
+def _runs(batches, key: str) -> Iterator[tuple[int, list[dict]]]:
+    """The rows of each key; those of one key stand together."""
+    now, rows = None, []
+    for b in batches:
+        for r in b.to_pylist():
+            if r[key] != now:
+                if rows:
+                    yield now, rows
+                now, rows = r[key], []
+            rows.append(r)
+    if rows:
+        yield now, rows
+
+
+def chained(docs: DataFrame, shingles: int) -> DataFrame:
+    """(a, b): nodes (fp) that share a signature, each chained to the least fp that a task or a partition sees. shingles: of all sets together."""
+    parts_bits = max(5, (shingles // PART).bit_length())
+    packed = "part long, pack long, first long, gaps binary, place binary, fps binary, sizes binary"
+    back = "pack long, token binary, place binary, held binary, fps binary, sizes binary"
 
     def index(batches):
-        often = bins.value
-        sigs, fps, held, seen = [], [], 0, set()
+        task, made, seen = TaskContext.get().partitionId(), 0, set()
+        tokens, fps, sizes, total = [], [], [], 0
+
+        def flush():
+            nonlocal made
+            pack = (task << 20) + made
+            made += 1
+            key = np.concatenate(tokens) >> np.uint64(64 - BITS)
+            place = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
+            order = np.argsort(key, kind="stable")
+            key, place = key[order], place[order]
+            cuts = np.searchsorted(key, np.arange((1 << parts_bits) + 1, dtype=np.uint64) << np.uint64(BITS - parts_bits))
+            rows = []
+            for part, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if z > a:
+                    rows.append((part, pack, int(key[a]), _pack(np.diff(key[a:z], prepend=key[a])), _pack(place[a:z]), None, None))
+            rows.append((pack % (1 << parts_bits), pack, 0, None, None, np.array(fps).tobytes(), np.array(sizes, np.int64).tobytes()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], [x.split()[0] for x in packed.split(", ")])
+
         for b in slices(batches):
             for s in shingle_sets(Block(b.column("text"), SPACED), WORDS):
-                if not len(s):
-                    continue
-                fp = fingerprint(s)[0]
-                if fp in seen:
+                fp = fingerprint(s)[0] if len(s) else None
+                if fp is None or fp in seen:
                     continue
                 seen.add(fp)
-                x = np.unique(signatures(s, often[s >> np.uint64(64 - BITS)]))
-                sigs.append(signed(x))
-                fps.append(np.full(len(x), fp))
-                held += len(x)
-            if held > 2_000_000:
-                yield from flush(sigs, fps)
-                sigs, fps, held = [], [], 0
-        if held:
-            yield from flush(sigs, fps)
+                tokens.append(s)
+                fps.append(fp)
+                sizes.append(len(s))
+                total += len(s)
+                if total > PACKED or len(sizes) > 65_000:
+                    yield flush()
+                    tokens, fps, sizes, total = [], [], [], 0
+        if sizes:
+            yield flush()
+
+    def count(batches):
+        """For each pack the tokens of a part that more than one set holds."""
+        kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        names = [x.split()[0] for x in back.split(", ")]
+        for _, rows in _runs(batches, "part"):
+            out = [(r["pack"], None, None, None, r["fps"], r["sizes"]) for r in rows if r["fps"] is not None]
+            rows = [r for r in rows if r["fps"] is None]
+            if rows:
+                keys = [np.uint64(r["first"]) + np.cumsum(_unpack(r["gaps"], np.uint64)) for r in rows]
+                owner = np.repeat(np.arange(len(rows)), [len(k) for k in keys])
+                key, place = np.concatenate(keys), np.concatenate([_unpack(r["place"], np.uint16) for r in rows])
+                order = np.argsort(key, kind="stable")
+                head = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) > 0]))
+                runs = np.diff(np.append(head, len(key)))
+                held = np.empty(len(key), np.uint32)
+                held[order] = np.repeat(runs, runs)
+                again = held > 1
+                cuts = np.searchsorted(owner[again], np.arange(len(rows) + 1))
+                key, place, held = key[again], place[again], held[again]
+                out += [(r["pack"], key[a:z].tobytes(), place[a:z].tobytes(), held[a:z].tobytes(), None, None) for r, a, z in zip(rows, cuts[:-1], cuts[1:], strict=True) if z > a]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    def sign(batches):
+        """Rows (sig, fp) of the least fp of each signature in a pack; rows (sig, fp, other) for the others."""
+        for _, rows in _runs(batches, "pack"):
+            fps, sizes = (np.frombuffer(next(r[c] for r in rows if r["fps"] is not None), np.int64) for c in ("fps", "sizes"))
+            rows = [r for r in rows if r["fps"] is None]
+            if not rows:
+                continue
+            token, place, held = (np.concatenate([np.frombuffer(r[c], kind) for r in rows]) for c, kind in (("token", np.uint64), ("place", np.uint16), ("held", np.uint32)))
+            order = np.lexsort((token, held, place))
+            token, held = token[order], held[order]
+            cuts = np.searchsorted(place[order], np.arange(len(sizes) + 1))
+            found = [np.unique(signatures(int(n), token[a:z], held[a:z])) for n, a, z in zip(sizes, cuts[:-1], cuts[1:], strict=True)]
+            sig, fp = signed(np.concatenate(found)), np.repeat(fps, [len(x) for x in found])
+            if not len(sig):
+                continue
+            order = np.lexsort((fp, sig))
+            sig, fp = sig[order], fp[order]
+            head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+            least = np.repeat(fp[head], np.diff(np.append(head, len(sig))))
+            yield pa.RecordBatch.from_arrays([pa.array(sig[head]), pa.array(fp[head]), pa.nulls(len(head), pa.int64())], ["sig", "fp", "other"])
+            if (fp != least).any():
+                own = np.unique(np.stack([fp, least], 1)[fp != least], axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(own[:, 0].copy()), pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy())], ["sig", "fp", "other"])
 
     def link(batches):
         last_sig, last_fp = None, 0
@@ -166,8 +223,9 @@ def chained(docs: DataFrame, often_bins: np.ndarray) -> DataFrame:
             if len(pairs):
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-    rows = docs.select("text").mapInArrow(index, "sig long, fp long, other long")
-    return rows.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(link, "a long, b long").distinct()
+    counted = docs.select("text").mapInArrow(index, packed).repartition("part").sortWithinPartitions("part").mapInArrow(count, back)
+    signed_ = counted.repartition("pack").sortWithinPartitions("pack").mapInArrow(sign, "sig long, fp long, other long")
+    return signed_.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(link, "a long, b long").distinct()
 
 
 class _Sets:
@@ -273,7 +331,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     each = staged(nodes_of(docs), "nodes")
     nodes = staged(each.filter("fp is not null and doc_id is not null").groupBy("fp", "check").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")), "sets")
-    cohort = components(chained(docs, frequent_bins(docs)))
+    shingles = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).head()[0]
+    cohort = components(chained(docs, shingles))
     cohorts = staged(nodes.join(cohort.withColumnRenamed("id", "fp"), "fp").select("doc_id", F.col("component").alias("cohort"), "n_shingles"), "cohorts")
     linked = components(verified(docs, cohorts, cohorts.count()))
     named = nodes.join(linked, nodes["doc_id"] == linked["id"], "left").select("fp", "check", F.coalesce("component", "doc_id").alias("component_id"))
