@@ -33,6 +33,8 @@ MINED = 240
 BITS = 20
 LENGTHS = (4, 5, 6, 7, 8, 9, 10, 12)
 ROUNDS = 6
+#: Tasks over the vote patterns, each of which returns a matrix; a quarter of them over the sample.
+TASKS = 32
 SEED = 9
 
 
@@ -116,7 +118,7 @@ def mine(sample: DataFrame, most: int = MINED) -> list[int]:
         some = np.flatnonzero(tally.any(0))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(tally[1][some], rows[1])), pa.array(np.append(tally[0][some], rows[0]))], ["feature", "bad", "good"])
 
-    sums = staged(sample.select("text", "toxic").mapInArrow(count, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "mined")
+    sums = staged(sample.select("text", "toxic").coalesce(TASKS // 4).mapInArrow(count, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "mined")
     total = sums.filter("feature = -1").head()
     if not total or not total["bad"] or not total["good"]:
         return []
@@ -167,7 +169,7 @@ def fit_label_model(seen: DataFrame, model: Model, rounds: int = ROUNDS) -> Mode
             return pa.table({"i": t.column("i")[:1], "x": pa.array([sum(np.frombuffer(x) for x in t.column("x").to_pylist()).tobytes()], pa.binary())})
 
         out = np.zeros((2 * (m + 1), m + 1))
-        for r in seen.mapInArrow(run, "i long, x binary").groupBy("i").applyInArrow(add, "i long, x binary").collect():
+        for r in seen.coalesce(TASKS).mapInArrow(run, "i long, x binary").groupBy("i").applyInArrow(add, "i long, x binary").collect():
             out[r["i"]] = np.frombuffer(r["x"])
         return tuple(np.concatenate([x[m], x[:m, :m].ravel()]) for x in out.reshape(2, m + 1, m + 1))
 
