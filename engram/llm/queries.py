@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import fingerprint, jaccard, licenses, mixing, quality, toxicity
+from engram.llm import fingerprint, jaccard, licenses, lm, mixing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": fingerprint.op2_fingerprints,
     "op4_quality": quality.op4_quality,
     "op5_license_scan": licenses.op5_license_scan,
+    "op6_language_model": lm.op6_language_model,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
