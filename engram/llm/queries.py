@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import fingerprint, jaccard, licenses, lm, mixing, quality, toxicity
+from engram.llm import fingerprint, jaccard, licenses, lm, mixing, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_fingerprints": fingerprint.op2_fingerprints,
+    "op3_warc_index": warc.op3_warc_index,
     "op4_quality": quality.op4_quality,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_language_model": lm.op6_language_model,
@@ -17,4 +18,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_warc_index": warc.OP3_SQL}
