@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import fingerprint, jaccard, licenses, lm, mixing, quality, toxicity, warc
+from engram.llm import decontaminate, fingerprint, jaccard, licenses, lm, mixing, quality, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": decontaminate.op1_decontamination,
     "op2_fingerprints": fingerprint.op2_fingerprints,
     "op3_warc_index": warc.op3_warc_index,
     "op4_quality": quality.op4_quality,
@@ -18,4 +19,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
-ORACLES: dict[str, str] = {"op3_warc_index": warc.OP3_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.OP1_SQL, "op3_warc_index": warc.OP3_SQL}
