@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import decontaminate, fingerprint, jaccard, licenses, lm, mixing, quality, toxicity, warc
+from engram.llm import decontaminate, fingerprint, jaccard, licenses, lm, mixing, quality, substring, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": quality.op4_quality,
     "op5_license_scan": licenses.op5_license_scan,
     "op6_language_model": lm.op6_language_model,
+    "op7_substring_dedup": substring.op7_substring_dedup,
     "op8_source_mix": mixing.op8_source_mix,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
