@@ -1,0 +1 @@
+"""Queries of the graph, ranking, consolidation, health, version and dedup operators."""
