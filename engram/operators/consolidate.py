@@ -79,7 +79,7 @@ def activation_drift(values: DataFrame, *, by: str) -> DataFrame:
 
 def tier_changes(memories: DataFrame, *, as_of: Column | int, promote_score: float = 0.5, demote_days: int = 30, archive_days: int = 90, hot_cap: int = 100) -> DataFrame:
     """fiber_id, brain_id, from_tier, to_tier: warm memories with the best scores rise while a brain's hot tier has room; idle ones fall a tier; pinned ones never fall."""
-    idle = F.lit(as_of) - F.col("last_day")
+    idle = F.greatest(F.lit(0), F.lit(as_of) - F.col("last_day"))
     score = formulas.promotion_score(idle.cast("double"), F.col("frequency"), F.col("salience"), F.col("frequency"))
     hot = memories.groupBy("brain_id").agg(F.sum((F.col("tier") == "hot").cast("long")).alias("hot"))
     up = memories.filter("tier = 'warm'").withColumn("score", score).filter(F.col("score") >= promote_score)

@@ -109,7 +109,7 @@ def causal_chain(seeds: DataFrame, synapses: DataFrame, *, types: Sequence[str]
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    return seen.filter("depth > 0").select("seed", "node_id", "depth", F.exp(F.col("logs") / F.col("depth")).alias("confidence"))
+    return seen.filter("depth > 0").select("seed", "node_id", "depth", F.exp(F.try_divide("logs", "depth")).alias("confidence"))
 
 
 def expand_neighbors(anchors: DataFrame, synapses: DataFrame, *, most: int = 10, min_weight: float = 0.3) -> DataFrame:

@@ -1 +1,525 @@
-"""Queries of the graph, ranking, consolidation, health, version and dedup operators."""
+"""Queries of the graph, ranking, consolidation, health, version, dedup and formula operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from engram.fixtures import Tables, day, oracle
+from engram.functions import formulas
+from engram.operators import aggregates, consolidate, dedup, graph, health, ranking, versions
+from engram.plans.registry import register
+
+# ---- graph
+
+_FACTOR = "CASE WHEN type IN ('LEADS_TO', 'CAUSED_BY') THEN 1.1 WHEN type = 'CO_OCCURS' THEN 0.9 ELSE 1.0 END"
+_SPREAD = f"""edge AS (SELECT source_id AS s, target_id AS t, max(weight * {_FACTOR}) AS f FROM synapses WHERE weight >= 0.1 GROUP BY 1, 2),
+h0 AS (SELECT brain_id AS q, id AS node, 1.0::DOUBLE AS level FROM (SELECT brain_id, id, row_number() OVER (PARTITION BY brain_id ORDER BY access_frequency DESC, id) AS r FROM neuron_states WHERE id LIKE 'c:%') WHERE r <= 3),
+h1 AS (SELECT q, t AS node, max(level * 0.5 * f) AS level FROM h0 JOIN edge ON s = node GROUP BY 1, 2 HAVING max(level * 0.5 * f) >= 0.1),
+h2 AS (SELECT q, t AS node, max(level * 0.5 * f) AS level FROM h1 JOIN edge ON s = node GROUP BY 1, 2 HAVING max(level * 0.5 * f) >= 0.1),
+reached AS (SELECT q AS query_id, node AS node_id, max(level) AS level FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY 1, 2)"""
+
+
+def top_customers(t: Tables) -> DataFrame:
+    """query_id, node_id, level: the three most used customers of each brain."""
+    c = t.neuron_states().filter(F.col("id").startswith("c:"))
+    rank = F.row_number().over(Window.partitionBy("brain_id").orderBy(F.col("access_frequency").desc(), "id"))
+    return c.withColumn("r", rank).filter("r <= 3").select(F.col("brain_id").alias("query_id"), F.col("id").alias("node_id"), F.lit(1.0).alias("level"))
+
+
+def reached(t: Tables) -> DataFrame:
+    return graph.spread(top_customers(t), graph.walkable(t.synapses()), max_hops=2, min_level=0.1)
+
+
+@register("gr1_spread", oracle("SELECT query_id, node_id, round(level, 6) AS level FROM reached", _SPREAD))
+def gr1(spark: SparkSession, sf: str) -> DataFrame:
+    return reached(Tables(spark, sf)).select("query_id", "node_id", F.round("level", 6).alias("level"))
+
+
+_PPR = """e AS (SELECT source_id AS s, target_id AS t, weight / sum(weight) OVER (PARTITION BY source_id) AS share FROM synapses WHERE weight >= 0.1),
+s0 AS (SELECT brain_id AS q, id AS node, 1.0 / 3 AS mass FROM (SELECT brain_id, id, row_number() OVER (PARTITION BY brain_id ORDER BY access_frequency DESC, id) AS r FROM neuron_states WHERE id LIKE 'c:%') WHERE r <= 3)"""
+for _n in (1, 2, 3):
+    _PPR += f""",
+on{_n} AS (SELECT q, t AS node, 0.85 * mass * share AS mass FROM s{_n - 1} JOIN e ON s = node UNION ALL SELECT b.q, b.node, b.mass * l.lost FROM s0 b JOIN (SELECT q, sum(0.85 * mass) AS lost FROM s{_n - 1} WHERE node NOT IN (SELECT s FROM e) GROUP BY q) l ON l.q = b.q),
+s{_n} AS (SELECT q, node, sum(mass) AS mass FROM on{_n} GROUP BY 1, 2 HAVING sum(mass) >= 1e-9)"""
+_PPR += ",\nkept AS (SELECT q, node, sum(0.15 * mass) AS mass FROM (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2) GROUP BY 1, 2)"
+
+
+@register("gr3_ppr", oracle("SELECT q AS query_id, node AS node_id, round(mass / max(mass) OVER (PARTITION BY q), 6) AS score FROM kept", _PPR))
+def gr3(spark: SparkSession, sf: str) -> DataFrame:
+    t = Tables(spark, sf)
+    out = graph.ppr(top_customers(t).withColumnRenamed("level", "mass"), t.synapses(), rounds=3, eps=1e-9)
+    return out.withColumn("score", F.round("score", 6))
+
+
+_PATH = """path AS (SELECT 'f:' || o_orderkey AS fiber_id, 0 AS position, 'c:' || o_custkey AS node_id FROM orders
+    UNION ALL SELECT 'f:' || l_orderkey, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY ln, l_partkey) AS INTEGER), 'p:' || l_partkey FROM (SELECT l_orderkey, l_partkey, min(l_linenumber) AS ln FROM lineitem GROUP BY 1, 2)),
+way AS (SELECT path.*, conductivity FROM path JOIN fibers ON id = fiber_id)"""
+
+
+def pathways(t: Tables) -> DataFrame:
+    parts = t.read("lineitem").groupBy("l_orderkey", "l_partkey").agg(F.min("l_linenumber").alias("ln"))
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("ln", "l_partkey"))
+    p = parts.select(t.key("f", "l_orderkey").alias("fiber_id"), place.alias("position"), t.key("p", "l_partkey").alias("node_id"))
+    p = p.union(t.read("orders").select(t.key("f", "o_orderkey").alias("fiber_id"), F.lit(0).alias("position"), t.key("c", "o_custkey").alias("node_id")))
+    return p.join(t.fibers().select(F.col("id").alias("fiber_id"), "conductivity"), "fiber_id")
+
+
+@register(
+    "gr4_trail",
+    oracle(
+        """SELECT q AS query_id, y.node_id, round(max(pow(0.85 * y.conductivity, abs(y.position - x.position))), 6) AS level FROM h0 JOIN way x ON x.node_id = node JOIN way y ON y.fiber_id = x.fiber_id
+    WHERE pow(0.85 * y.conductivity, abs(y.position - x.position)) >= 0.05 GROUP BY 1, 2""",
+        _SPREAD + ", " + _PATH,
+    ),
+)
+def gr4(spark: SparkSession, sf: str) -> DataFrame:
+    t = Tables(spark, sf)
+    return graph.trail(top_customers(t), pathways(t)).withColumn("level", F.round("level", 6))
+
+
+@register(
+    "gr8_causal_chain",
+    oracle(
+        """SELECT seed, node AS node_id, depth, round(exp(logs / depth), 6) AS confidence FROM (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3)""",
+        """ce AS (SELECT source_id AS s, target_id AS t, max(weight) AS w FROM synapses WHERE type = 'LEADS_TO' GROUP BY 1, 2), d0 AS (SELECT id AS seed, id AS node FROM neurons WHERE id IN ('p:1', 'p:2', 'p:3', 'p:4', 'p:5')),
+    d1 AS (SELECT seed, t AS node, 1 AS depth, max(ln(w)) AS logs FROM d0 JOIN ce ON s = node GROUP BY 1, 2 HAVING (seed, t) NOT IN (SELECT (seed, node) FROM d0)),
+    d2 AS (SELECT seed, t AS node, 2 AS depth, max(logs + ln(w)) AS logs FROM d1 JOIN ce ON s = node GROUP BY 1, 2 HAVING (seed, t) NOT IN (SELECT (seed, node) FROM d0 UNION ALL SELECT (seed, node) FROM d1)),
+    d3 AS (SELECT seed, t AS node, 3 AS depth, max(logs + ln(w)) AS logs FROM d2 JOIN ce ON s = node GROUP BY 1, 2 HAVING (seed, t) NOT IN (SELECT (seed, node) FROM d0 UNION ALL SELECT (seed, node) FROM d1 UNION ALL SELECT (seed, node) FROM d2))""",
+    ),
+)
+def gr8(spark: SparkSession, sf: str) -> DataFrame:
+    t = Tables(spark, sf)
+    seeds = t.neurons().filter(F.col("id").isin("p:1", "p:2", "p:3", "p:4", "p:5")).select(F.col("id").alias("node_id"))
+    return graph.causal_chain(seeds, t.synapses()).withColumn("confidence", F.round("confidence", 6))
+
+
+_TRIANGLES = """u AS (SELECT DISTINCT least(source_id, target_id) AS a, greatest(source_id, target_id) AS b FROM synapses WHERE source_id <> target_id),
+both_ways AS (SELECT a, b FROM u UNION ALL SELECT b, a FROM u), deg AS (SELECT a AS node_id, count(*) AS degree FROM both_ways GROUP BY 1),
+tri AS (SELECT x.a, x.b, y.b AS c FROM u x JOIN u y ON y.a = x.b JOIN u z ON z.a = x.a AND z.b = y.b),
+corner AS (SELECT n AS node_id, count(*) AS triangles FROM (SELECT a AS n FROM tri UNION ALL SELECT b FROM tri UNION ALL SELECT c FROM tri) GROUP BY 1)"""
+
+
+@register("gr14_clustering", oracle("SELECT node_id, degree, coalesce(triangles, 0) AS triangles, round(2.0 * coalesce(triangles, 0) / (degree * (degree - 1)), 6) AS coefficient FROM deg LEFT JOIN corner USING (node_id) WHERE degree >= 2", _TRIANGLES))
+def gr14(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.clustering_coefficient(Tables(spark, sf).synapses()).withColumn("coefficient", F.round("coefficient", 6))
+
+
+@register(
+    "gr17_expand_neighbors",
+    oracle(
+        "SELECT query_id, node_id, round(weight, 6) AS weight, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY weight DESC, node_id) AS rank FROM near) WHERE rank <= 10",
+        _SPREAD
+        + """, near AS (SELECT q AS query_id, b AS node_id, max(weight) AS weight FROM h0 JOIN (SELECT source_id AS a, target_id AS b, weight FROM synapses WHERE weight >= 0.3 UNION ALL SELECT target_id, source_id, weight FROM synapses WHERE weight >= 0.3) ON a = node
+    WHERE (q, b) NOT IN (SELECT (q, node) FROM h0) GROUP BY 1, 2)""",
+    ),
+)
+def gr17(spark: SparkSession, sf: str) -> DataFrame:
+    t = Tables(spark, sf)
+    return graph.expand_neighbors(top_customers(t), t.synapses()).withColumn("weight", F.round("weight", 6))
+
+
+@register("gr20_normalize_outgoing", oracle("SELECT id, round(weight * 5 / total, 9) AS weight FROM synapses JOIN (SELECT source_id, sum(weight) AS total FROM synapses GROUP BY 1) USING (source_id) WHERE total > 5"))
+def gr20(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.normalize_outgoing(Tables(spark, sf).synapses()).withColumn("weight", F.round("weight", 9))
+
+
+# ---- ranking
+
+_LISTS = """lists AS (SELECT brain_id AS query_id, id AS node_id, 'keyword' AS retriever, row_number() OVER (PARTITION BY brain_id ORDER BY access_frequency DESC, id) AS rank FROM neuron_states WHERE access_frequency > 0
+    UNION ALL SELECT brain_id, id, 'time', row_number() OVER (PARTITION BY brain_id ORDER BY last_day DESC, id) FROM neuron_states WHERE access_frequency > 0),
+short AS (SELECT * FROM lists WHERE rank <= 50),
+fused AS (SELECT query_id, node_id, sum(CASE retriever WHEN 'time' THEN 1.0 ELSE 0.7 END / (60 + rank)) AS score FROM short GROUP BY 1, 2)"""
+
+
+def ranked_lists(t: Tables) -> list[DataFrame]:
+    s = t.neuron_states().filter("access_frequency > 0")
+    out = []
+    for name, order in (("keyword", "access_frequency"), ("time", "last_day")):
+        rank = F.row_number().over(Window.partitionBy("brain_id").orderBy(F.col(order).desc(), "id"))
+        out.append(s.select(F.col("brain_id").alias("query_id"), F.col("id").alias("node_id"), F.lit(name).alias("retriever"), rank.alias("rank")).filter("rank <= 50"))
+    return out
+
+
+@register("rk1_rrf", oracle("SELECT query_id, node_id, round(score, 6) AS score FROM fused", _LISTS))
+def rk1(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = ranked_lists(Tables(spark, sf))
+    return ranking.rrf(a.unionByName(b)).withColumn("score", F.round("score", 6))
+
+
+@register(
+    "rk2_rrf_levels",
+    oracle("SELECT query_id, node_id, round(CASE WHEN most > least_ THEN 0.1 + 0.9 * (score - least_) / (most - least_) ELSE 1.0 END, 6) AS level FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS least_, max(score) OVER (PARTITION BY query_id) AS most FROM fused)", _LISTS),
+)
+def rk2(spark: SparkSession, sf: str) -> DataFrame:
+    a, b = ranked_lists(Tables(spark, sf))
+    return ranking.rrf_levels(ranking.rrf(a.unionByName(b))).withColumn("level", F.round("level", 6))
+
+
+_BM25 = """terms AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents),
+asked AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark WHERE item_id < 10),
+a AS (SELECT query_id, term, count(*) AS times FROM asked GROUP BY 1, 2), tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2), size AS (SELECT doc_id, count(*) AS size FROM terms GROUP BY 1),
+corpus AS (SELECT count(*) AS n, avg(size) AS mean FROM size), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+scored AS (SELECT query_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean))) AS score FROM a JOIN tf USING (term) JOIN df USING (term) JOIN size USING (doc_id), corpus GROUP BY 1, 2)"""
+
+
+@register("rk3_bm25", "WITH " + _BM25 + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 10")
+def rk3(spark: SparkSession, sf: str) -> DataFrame:
+    t = Tables(spark, sf)
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term")
+    docs = t.read("documents").select("doc_id", words)
+    queries = t.read("benchmark").filter("item_id < 10").select(F.col("item_id").alias("query_id"), words)
+    return ranking.bm25(docs, queries).withColumn("score", F.round("score", 6))
+
+
+@register(
+    "rk6_lateral_inhibition",
+    oracle(
+        """SELECT query_id, node_id, round(CASE WHEN n <= 10 OR turn <= 10 THEN level ELSE level * 0.3 END, 6) AS level FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY first DESC, level DESC, node_id) AS turn FROM c)
+    WHERE n <= 10 OR CASE WHEN turn <= 10 THEN level ELSE level * 0.3 END >= 0.08""",
+        _SPREAD
+        + """, b AS (SELECT *, left(node_id, 1) AS source, count(*) OVER (PARTITION BY query_id) AS n, row_number() OVER (PARTITION BY query_id, left(node_id, 1) ORDER BY level DESC, node_id) AS place FROM (SELECT query_id, node_id, round(level, 9) AS level FROM reached)),
+    c AS (SELECT *, place <= ceil(10 / sum(CASE WHEN place = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY query_id)) AS first FROM b)""",
+    ),
+)
+def rk6(spark: SparkSession, sf: str) -> DataFrame:
+    a = reached(Tables(spark, sf)).select("query_id", "node_id", F.round("level", 9).alias("level"), F.substring("node_id", 1, 1).alias("source"))
+    return ranking.lateral_inhibition(a, threshold=0.08).select("query_id", "node_id", F.round("level", 6).alias("level"))
+
+
+@register(
+    "rk11_fiber_score",
+    oracle(
+        "SELECT query_id, fiber_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, fiber_id) AS rank FROM sc) WHERE rank <= 10",
+        _SPREAD
+        + """, sc AS (SELECT query_id, f.id AS fiber_id, salience * greatest(0.1, 1 / (1 + exp(((as_of - created_day) * 24.0 - 168) / 84))) * conductivity * signal AS score FROM fibers f, order_as_of,
+    (SELECT query_id, fiber_id, max(level) AS signal FROM reached JOIN fiber_neurons ON neuron_id = node_id GROUP BY 1, 2) s WHERE s.fiber_id = f.id)""",
+    ),
+)
+def rk11(spark: SparkSession, sf: str) -> DataFrame:
+    t = Tables(spark, sf)
+    return ranking.fiber_score(reached(t), t.fiber_neurons(), t.fibers(), as_of=t.order_as_of()).withColumn("score", F.round("score", 6))
+
+
+@register(
+    "rk24_retrieval_metrics",
+    oracle(
+        """SELECT query_id, round(coalesce(hits, 0) / 10, 6) AS precision, round(coalesce(hits, 0) / wanted, 6) AS recall, round(coalesce(1 / first, 0), 6) AS rr,
+    round(coalesce(dcg, 0) / list_sum(list_transform(range(1, CAST(least(wanted, 10) AS BIGINT) + 1), lambda i: 1 / log2(i + 1.0))), 6) AS ndcg
+    FROM (SELECT query_id, count(*) AS wanted FROM truth GROUP BY 1) LEFT JOIN (SELECT query_id, count(*) AS hits, min(rank) AS first, sum(1 / log2(rank + 1.0)) AS dcg FROM short JOIN truth USING (query_id, node_id) WHERE retriever = 'keyword' AND rank <= 10 GROUP BY 1) USING (query_id)""",
+        _LISTS + ", truth AS (SELECT query_id, node_id FROM lists WHERE retriever = 'time' AND rank <= 200)",
+    ),
+)
+def rk24(spark: SparkSession, sf: str) -> DataFrame:
+    t = Tables(spark, sf)
+    s = t.neuron_states().filter("access_frequency > 0")
+    rank = F.row_number().over(Window.partitionBy("brain_id").orderBy(F.col("last_day").desc(), "id"))
+    truth = s.select(F.col("brain_id").alias("query_id"), F.col("id").alias("item"), rank.alias("r")).filter("r <= 200").drop("r")
+    out = ranking.retrieval_metrics(ranked_lists(t)[0].withColumnRenamed("node_id", "item"), truth, k=10)
+    return out.select("query_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "rr", "ndcg")])
+
+
+# ---- formulas
+
+_DECAY = "w * greatest(0.3 + least(0.5, 0.05 * n), 1 / (1 + exp((h - 1440.0 * (1 + 0.5 * n)) / (1440.0 * (1 + 0.5 * n) / 2))))"
+
+
+@register("sc13_synapse_time_decay", oracle(f"SELECT id, round({_DECAY}, 6) AS weight FROM (SELECT id, weight AS w, reinforced_count AS n, 24.0 * (as_of - last_day) AS h FROM synapses, order_as_of WHERE type = 'INVOLVES')"))
+def sc13(spark: SparkSession, sf: str) -> DataFrame:
+    t = Tables(spark, sf)
+    e = t.synapses().filter("type = 'INVOLVES'")
+    w = formulas.synapse_time_decay(F.col("weight"), F.col("reinforced_count"), 24.0 * (F.lit(t.order_as_of()) - F.col("last_day")))
+    return e.select("id", F.round(w, 6).alias("weight"))
+
+
+@register(
+    "sc12_to_sc17_scores",
+    oracle("""SELECT id, round(level * exp(-0.1 * d), 6) AS decayed, round(1 / (1 + exp(-6 * (level - 0.5))), 6) AS gate, round(0.4 * exp(-d / 7) + 0.4 * least(1.0, f / 20) + 0.1, 6) AS heat,
+    round(0.4 / (1 + d / 7) + 0.3 * least(1.0, ln(1 + f) / ln(51)) + 0.2 * least(1.0, level) + 0.1 * least(1.0, ln(1 + f) / ln(21)), 6) AS promotion,
+    round(CASE WHEN f >= 5 THEN pow(d + 1, -greatest(0.1, 0.5 - 0.02 * least(f, 20))) ELSE 1 / (1 + d / 30) END, 6) AS retention, round(0.25 * level + 0.25 * 0.5 + 0.2 * least(1.0, f / 20) + 0.15 * level + 0.15 / (1 + d / 30), 6) AS composite,
+    round(least(1.0, greatest(0.0, 0.5 + 0.05 * (1 + 3 * exp(-0.06 * f)) * level * level * 0.5)), 6) AS learned
+    FROM (SELECT id, activation_level AS level, CAST(access_frequency AS DOUBLE) AS f, CAST(greatest(0, as_of - last_day) AS DOUBLE) AS d FROM neuron_states, order_as_of WHERE access_frequency > 0)"""),
+)
+def sc12(spark: SparkSession, sf: str) -> DataFrame:
+    t = Tables(spark, sf)
+    s = t.neuron_states().filter("access_frequency > 0")
+    level, f, d = F.col("activation_level"), F.col("access_frequency").cast("double"), F.greatest(F.lit(0), F.lit(t.order_as_of()) - F.col("last_day")).cast("double")
+    scores = {
+        "decayed": formulas.neuron_decay(level, F.lit(0.1), d), "gate": formulas.gate(level), "heat": formulas.heat(d, f, F.lit(5.0)), "promotion": formulas.promotion_score(d, f, level, f), "retention": formulas.retention(f, d),
+        "composite": formulas.composite_score(level, F.lit(0.5), F.least(F.lit(1.0), f / 20), level, 1 / (1 + d / 30)), "learned": formulas.hebbian(F.lit(0.5), level, level, f),
+    }
+    return s.select("id", *[F.round(c, 6).alias(n) for n, c in scores.items()])
+
+
+# ---- consolidation
+
+_PINNED = "pin AS (SELECT DISTINCT neuron_id FROM fiber_neurons b JOIN fibers f ON f.id = fiber_id WHERE pinned)"
+
+
+@register(
+    "cn1_decay",
+    oracle(
+        """SELECT id, round(greatest(least(CASE WHEN kind = 'c' THEN 0.5 ELSE 0.0 END, level), level * exp(-0.1 * CASE kind WHEN 'c' THEN 0.5 WHEN 's' THEN 2.0 ELSE 1.0 END * d)), 6) AS level
+    FROM (SELECT id, left(id, 1) AS kind, activation_level AS level, as_of - last_day AS d FROM neuron_states, order_as_of WHERE id NOT IN (SELECT neuron_id FROM pin)) WHERE d >= 1 AND level > 0""",
+        _PINNED,
+    ),
+)
+def cn1(spark: SparkSession, sf: str) -> DataFrame:
+    from engram.operators.filters import pinned_neurons
+
+    t = Tables(spark, sf)
+    kind = F.substring("id", 1, 1)
+    tiers = t.neurons().select("id", F.when(kind == "c", "hot").when(kind == "s", "cold").otherwise("warm").alias("tier"))
+    return consolidate.decay(t.neuron_states(), tiers, pinned_neurons(t.fibers(), t.fiber_neurons()), as_of=t.order_as_of()).withColumn("level", F.round("level", 6))
+
+
+@register(
+    "cn2_prunable",
+    oracle(
+        f"""SELECT id, round(l, 6) AS "left" FROM (SELECT *, {_DECAY} * CASE WHEN type = 'CO_OCCURS' AND n < 3 THEN 0.33 ELSE 1 END AS l FROM (SELECT *, weight AS w, reinforced_count AS n, 24.0 * (as_of - coalesce(last_day, 0)) AS h, as_of - coalesce(last_day, 0) AS d FROM synapses, order_as_of))
+    JOIN (SELECT source_id, count(DISTINCT target_id) AS ways FROM synapses GROUP BY 1) USING (source_id)
+    WHERE type NOT IN ('CAUSED_BY', 'LEADS_TO') AND l < 0.05 AND d >= 7 AND source_id NOT IN (SELECT neuron_id FROM pin) AND target_id NOT IN (SELECT neuron_id FROM pin) AND (ways > 1 OR weight < 0.01)""",
+        _PINNED,
+    ),
+)
+def cn2(spark: SparkSession, sf: str) -> DataFrame:
+    from engram.operators.filters import pinned_neurons
+
+    t = Tables(spark, sf)
+    return consolidate.prunable(t.synapses(), pinned_neurons(t.fibers(), t.fiber_neurons()), as_of=t.order_as_of()).withColumn("left", F.round("left", 6))
+
+
+_RECORDS = """rec AS (SELECT id AS fiber_id, created_day AS entered_day, frequency AS rehearsals, coalesce(days, 0) AS days FROM fibers LEFT JOIN
+    (SELECT 'f:' || l_orderkey AS fiber_id, count(DISTINCT l_shipdate) AS days FROM lineitem GROUP BY 1) ON id = fiber_id)"""
+
+
+def maturations(t: Tables) -> DataFrame:
+    li = t.read("lineitem").groupBy(t.key("f", "l_orderkey").alias("fiber_id")).agg(F.countDistinct("l_shipdate").alias("days"))
+    return t.fibers().select(F.col("id").alias("fiber_id"), F.col("created_day").alias("entered_day"), F.col("frequency").alias("rehearsals")).join(li, "fiber_id", "left").withColumn("days", F.coalesce("days", F.lit(0)))
+
+
+@register(
+    "cn5_mature",
+    oracle(
+        """SELECT stage, count(*) AS cnt FROM (SELECT CASE WHEN age >= 3 AND (days >= 2 OR (rehearsals >= 5 AND days >= 3)) THEN 'semantic' WHEN age >= 1 AND rehearsals >= 10 THEN 'semantic' WHEN age >= 1 THEN 'episodic' ELSE 'working' END AS stage
+    FROM (SELECT *, as_of - entered_day AS age FROM rec, order_as_of)) GROUP BY stage""",
+        _RECORDS,
+    ),
+)
+def cn5(spark: SparkSession, sf: str) -> DataFrame:
+    t = Tables(spark, sf)
+    return aggregates.count_by(consolidate.mature(maturations(t), as_of=t.order_as_of()), "stage")
+
+
+@register("qh4_stage_progress", oracle("SELECT fiber_id, round(least(1.0, (as_of - entered_day) / 3.0), 6) AS time_progress, round(least(1.0, days / 3.0), 6) AS spacing_progress, round(least(1.0, (as_of - entered_day) / 3.0, days / 3.0), 6) AS progress FROM rec, order_as_of", _RECORDS))
+def qh4(spark: SparkSession, sf: str) -> DataFrame:
+    t = Tables(spark, sf)
+    out = health.stage_progress(maturations(t), as_of=t.order_as_of())
+    return out.select("fiber_id", *[F.round(c, 6).alias(c) for c in ("time_progress", "spacing_progress", "progress")])
+
+
+@register(
+    "cn7_infer_links",
+    oracle(
+        "SELECT a, b, round(least(0.5, 0.3 + 0.1 * (cnt - 2) * s), 6) AS weight FROM c WHERE (a, b) NOT IN (SELECT (least(source_id, target_id), greatest(source_id, target_id)) FROM synapses) ORDER BY cnt DESC, a, b LIMIT 50",
+        "c AS (SELECT a, b, count(*) AS cnt, avg(strength) AS s FROM part_pairs GROUP BY a, b HAVING count(*) >= 2)",
+    ),
+)
+def cn7(spark: SparkSession, sf: str) -> DataFrame:
+    t = Tables(spark, sf)
+    counts = aggregates.co_activation_counts(t.co_activations("part"), min_count=2)
+    return consolidate.infer_links(counts, t.synapses(), least=2).withColumn("weight", F.round("weight", 6))
+
+
+@register(
+    "cn8_transitive_links",
+    oracle(
+        """SELECT x.s AS source_id, y.t AS target_id, round(0.5 * max(least(x.w, y.w)), 6) AS weight FROM ce x JOIN ce y ON x.t = y.s AND x.s <> y.t WHERE (x.s, y.t) NOT IN (SELECT (s, t) FROM ce) GROUP BY 1, 2""",
+        "ce AS (SELECT source_id AS s, target_id AS t, weight AS w FROM synapses WHERE type = 'CAUSED_BY')",
+    ),
+)
+def cn8(spark: SparkSession, sf: str) -> DataFrame:
+    return consolidate.transitive_links(Tables(spark, sf).synapses()).withColumn("weight", F.round("weight", 6))
+
+
+@register(
+    "cn11_replay",
+    oracle(
+        """SELECT id, round(least(1.0, greatest(0.01, weight * pow(1.1, up) * pow(0.98, down))), 6) AS weight FROM (SELECT s.id, weight, count(b.fiber_id) AS up, count(*) - count(b.fiber_id) AS down FROM synapses s JOIN ep a ON a.neuron_id = source_id LEFT JOIN ep b ON b.neuron_id = target_id AND b.fiber_id = a.fiber_id GROUP BY s.id, weight)""",
+        "ep AS (SELECT fiber_id, neuron_id FROM fiber_neurons JOIN fibers f ON f.id = fiber_id, order_as_of WHERE as_of - created_day <= 30)",
+    ),
+)
+def cn11(spark: SparkSession, sf: str) -> DataFrame:
+    t = Tables(spark, sf)
+    recent = t.fibers().filter(F.lit(t.order_as_of()) - F.col("created_day") <= 30).select(F.col("id").alias("fiber_id"))
+    return consolidate.replay(t.synapses(), t.fiber_neurons().join(recent, "fiber_id", "left_semi")).withColumn("weight", F.round("weight", 6))
+
+
+@register("cn13_tool_links", oracle("SELECT action AS tool, task, count(*) AS cnt, 0.4::DOUBLE AS weight FROM acts WHERE success GROUP BY 1, 2 HAVING count(*) >= 3"))
+def cn13(spark: SparkSession, sf: str) -> DataFrame:
+    return consolidate.tool_links(Tables(spark, sf).events())
+
+
+@register(
+    "cn14_drifting_tags",
+    oracle(
+        "SELECT tag_a, tag_b, round(j, 6) AS jaccard, CASE WHEN j >= 0.115 THEN 'merge' WHEN j >= 0.11 THEN 'alias' ELSE 'review' END AS verdict FROM (SELECT tag_a, tag_b, p.cnt / (x.cnt + y.cnt - p.cnt) AS j FROM p JOIN c x ON x.tag = tag_a JOIN c y ON y.tag = tag_b WHERE p.cnt >= 3) WHERE j >= 0.1",
+        """ag AS (SELECT fiber_id, tag FROM fiber_tags WHERE origin = 'agent'), c AS (SELECT tag, count(DISTINCT fiber_id) AS cnt FROM ag GROUP BY 1),
+    p AS (SELECT x.tag AS tag_a, y.tag AS tag_b, count(*) AS cnt FROM ag x JOIN ag y ON x.fiber_id = y.fiber_id AND x.tag < y.tag GROUP BY 1, 2)""",
+    ),
+)
+def cn14(spark: SparkSession, sf: str) -> DataFrame:
+    tags = Tables(spark, sf).fiber_tags().filter("origin = 'agent'")
+    return consolidate.drifting_tags(aggregates.tag_cooccurrence(tags), aggregates.tag_fiber_counts(tags), thresholds=(0.1, 0.11, 0.115)).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@register(
+    "cn15_activation_drift",
+    oracle(
+        """SELECT action, round(sum(abs(f0 - f1) * coalesce(width, 0)), 5) AS w1 FROM (SELECT action, sum(c0) OVER w / sum(c0) OVER (PARTITION BY action) AS f0, sum(c1) OVER w / sum(c1) OVER (PARTITION BY action) AS f1, lead(value) OVER (PARTITION BY action ORDER BY value) - value AS width
+    FROM (SELECT event_type AS action, value, count(*) FILTER (event_id % 2 = 0) AS c0, count(*) FILTER (event_id % 2 = 1) AS c1 FROM events GROUP BY 1, 2) WINDOW w AS (PARTITION BY action ORDER BY value)) GROUP BY action""",
+    ),
+)
+def cn15(spark: SparkSession, sf: str) -> DataFrame:
+    e = Tables(spark, sf).read("events").select(F.col("event_type").alias("action"), (F.col("event_id") % 2).alias("period"), "value")
+    return consolidate.activation_drift(e, by="action").withColumn("w1", F.round("w1", 5))
+
+
+_TIERS = """m AS (SELECT m.fiber_id, m.brain_id, m.tier, m.pinned, f.frequency, f.salience, greatest(0, as_of - f.end_day) AS idle FROM typed_memories m JOIN fibers f ON f.id = m.fiber_id, order_as_of),
+sc AS (SELECT *, 0.4 / (1 + idle / 7) + 0.3 * least(1.0, ln(1 + frequency) / ln(51)) + 0.2 * least(1.0, salience) + 0.1 * least(1.0, ln(1 + frequency) / ln(21)) AS score FROM m WHERE tier = 'warm'),
+up AS (SELECT fiber_id, brain_id FROM (SELECT *, row_number() OVER (PARTITION BY brain_id ORDER BY round(score, 9) DESC, fiber_id) AS turn FROM sc WHERE score >= 0.4) JOIN (SELECT brain_id, count(*) FILTER (tier = 'hot') AS hot FROM m GROUP BY 1) USING (brain_id) WHERE turn <= 2000 - hot)"""
+
+
+@register(
+    "cn17_tier_changes",
+    oracle(
+        """SELECT fiber_id, brain_id, 'warm' AS from_tier, 'hot' AS to_tier FROM up
+    UNION ALL SELECT fiber_id, brain_id, tier, CASE tier WHEN 'hot' THEN 'warm' ELSE 'cold' END FROM m WHERE NOT pinned AND ((tier = 'hot' AND idle >= 30) OR (tier = 'warm' AND idle >= 90)) AND fiber_id NOT IN (SELECT fiber_id FROM up)""",
+        _TIERS,
+    ),
+)
+def cn17(spark: SparkSession, sf: str) -> DataFrame:
+    t = Tables(spark, sf)
+    m = t.typed_memories().select("fiber_id", "tier").join(t.fibers().select(F.col("id").alias("fiber_id"), "brain_id", "frequency", "salience", F.col("end_day").alias("last_day"), "pinned"), "fiber_id")
+    return consolidate.tier_changes(m, as_of=t.order_as_of(), promote_score=0.4, hot_cap=2000)
+
+
+@register("cn19_reinforce", oracle("SELECT s.id, round(least(1.0, activation_level + 0.05 * n), 6) AS activation_level, access_frequency + n AS access_frequency FROM neuron_states s JOIN (SELECT 'c:' || (user_id % 1500) AS id, count(*) AS n FROM events GROUP BY 1) a ON a.id = s.id"))
+def cn19(spark: SparkSession, sf: str) -> DataFrame:
+    t = Tables(spark, sf)
+    log = t.read("events").select(F.concat(F.lit("c:"), (F.col("user_id") % 1500).cast("string")).alias("id"))
+    return consolidate.reinforce(t.neuron_states(), log).withColumn("activation_level", F.round("activation_level", 6))
+
+
+# ---- health
+
+_HEALTH = """n AS (SELECT brain_id, count(*) AS n FROM neurons GROUP BY 1), s AS (SELECT brain_id, count(*) AS e FROM synapses GROUP BY 1),
+k AS (SELECT brain_id, -sum(p * ln(p)) / ln(8) AS d FROM (SELECT brain_id, count(*) / sum(count(*)) OVER (PARTITION BY brain_id) AS p FROM synapses GROUP BY brain_id, type) GROUP BY 1),
+fr AS (SELECT brain_id, avg(CASE WHEN as_of - created_day <= 7 THEN 1.0 ELSE 0.0 END) AS f FROM fibers, order_as_of GROUP BY 1),
+l AS (SELECT brain_id, count(*) AS c FROM neurons WHERE id IN (SELECT source_id FROM synapses UNION SELECT target_id FROM synapses) GROUP BY 1), ac AS (SELECT brain_id, avg(CASE WHEN access_frequency > 0 THEN 1.0 ELSE 0.0 END) AS a FROM neuron_states GROUP BY 1)"""
+
+
+@register(
+    "qh1_health",
+    oracle(
+        """SELECT brain_id, round(1 / (1 + exp(-1.5 * (coalesce(e, 0) / n - 3))), 6) AS connectivity, round(least(1.0, coalesce(d, 0)), 6) AS diversity, round(coalesce(f, 0), 6) AS freshness, round(1 - coalesce(c, 0) / n, 6) AS orphan_rate, round(coalesce(a, 0), 6) AS activation
+    FROM n LEFT JOIN s USING (brain_id) LEFT JOIN k USING (brain_id) LEFT JOIN fr USING (brain_id) LEFT JOIN l USING (brain_id) LEFT JOIN ac USING (brain_id)""",
+        _HEALTH,
+    ),
+)
+def qh1(spark: SparkSession, sf: str) -> DataFrame:
+    t = Tables(spark, sf)
+    out = health.health(t.neurons(), t.synapses(), t.neuron_states(), t.fibers(), as_of=t.order_as_of())
+    return out.select("brain_id", *[F.round(c, 6).alias(c) for c in ("connectivity", "diversity", "freshness", "orphan_rate", "activation")])
+
+
+@register(
+    "qh7_milestones",
+    oracle(
+        'SELECT brain_id, threshold, min(d) AS "day" FROM (SELECT brain_id, created_day AS d, sum(count(*)) OVER (PARTITION BY brain_id ORDER BY created_day) AS total FROM fibers GROUP BY 1, 2), (SELECT unnest([100, 250, 500, 1000, 2500, 5000, 10000]) AS threshold) WHERE total >= threshold GROUP BY 1, 2'
+    ),
+)
+def qh7(spark: SparkSession, sf: str) -> DataFrame:
+    return health.milestones(Tables(spark, sf).fibers().select("brain_id", F.col("created_day").alias("day")))
+
+
+# ---- versions
+
+_MERKLE = """leaf AS (SELECT sha256(id || '|' || created_day || '|' || frequency) AS leaf FROM fibers), other AS (SELECT sha256(id || '|' || created_day || '|' || (frequency + CASE WHEN id = 'f:7' THEN 1 ELSE 0 END)) AS leaf FROM fibers),
+left_b AS (SELECT left(leaf, 2) AS bucket, sha256(string_agg(leaf, '|' ORDER BY leaf)) AS hash, count(*) AS n FROM leaf GROUP BY 1), right_b AS (SELECT left(leaf, 2) AS bucket, sha256(string_agg(leaf, '|' ORDER BY leaf)) AS hash FROM other GROUP BY 1)"""
+
+
+@register("vs6_merkle_buckets", oracle("SELECT bucket, hash, n FROM left_b", _MERKLE))
+def vs6(spark: SparkSession, sf: str) -> DataFrame:
+    return versions.merkle_buckets(Tables(spark, sf).fibers(), key="id", updated=F.col("created_day"), content=F.col("frequency").cast("string"))
+
+
+@register("vs7_merkle_diff", oracle("SELECT bucket, CASE WHEN l.hash IS NULL THEN 'right' WHEN r.hash IS NULL THEN 'left' ELSE 'both' END AS side FROM left_b l FULL JOIN right_b r USING (bucket) WHERE l.hash IS DISTINCT FROM r.hash", _MERKLE))
+def vs7(spark: SparkSession, sf: str) -> DataFrame:
+    f = Tables(spark, sf).fibers()
+    sides = [versions.merkle_buckets(x, key="id", updated=F.col("created_day"), content=F.col("frequency").cast("string")) for x in (f, f.withColumn("frequency", F.col("frequency") + F.when(F.col("id") == "f:7", 1).otherwise(0)))]
+    return versions.merkle_diff(*sides)
+
+
+
+
+@register(
+    "vs5_merge_changes",
+    oracle(
+        """SELECT coalesce(a.entity_id, b.entity_id) AS entity_id, CASE WHEN coalesce(a.operation, '') = 'delete' OR coalesce(b.operation, '') = 'delete' THEN 'delete' ELSE 'upsert' END AS operation,
+    CASE WHEN NOT (coalesce(a.operation, '') = 'delete' OR coalesce(b.operation, '') = 'delete') THEN greatest(a.weight, b.weight) END AS weight
+    FROM (SELECT entity_id, max_by(operation, s) AS operation, max_by(weight, s) AS weight FROM log WHERE supp % 2 = 0 GROUP BY 1) a FULL JOIN (SELECT entity_id, max_by(operation, s) AS operation, max_by(weight, s) AS weight FROM log WHERE supp % 2 = 1 GROUP BY 1) b ON a.entity_id = b.entity_id""",
+        "log AS (SELECT 'f:' || l_orderkey AS entity_id, l_suppkey AS supp, (l_shipdate, l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) AS s, CASE l_returnflag WHEN 'N' THEN 'insert' WHEN 'R' THEN 'update' ELSE 'delete' END AS operation, l_discount AS weight FROM lineitem)",
+    ),
+)
+def vs5(spark: SparkSession, sf: str) -> DataFrame:
+    t = Tables(spark, sf)
+    flag = F.col("l_returnflag")
+    log = t.read("lineitem").select(t.key("f", "l_orderkey").alias("entity_id"), F.col("l_suppkey").alias("supp"), F.struct("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount").alias("sequence"), F.when(flag == "N", "insert").when(flag == "R", "update").otherwise("delete").alias("operation"), F.col("l_discount").alias("weight"))
+    return versions.merge_changes(versions.latest_changes(log.filter("supp % 2 = 0")), versions.latest_changes(log.filter("supp % 2 = 1")))
+
+
+@register("vs9_fiber_fingerprint", oracle("SELECT id, sha256(concat_ws(chr(31), brain_id, anchor, frequency, created_day, coalesce(end_day::VARCHAR, ''))) AS hash FROM fibers"))
+def vs9(spark: SparkSession, sf: str) -> DataFrame:
+    return versions.fingerprint(Tables(spark, sf).fibers(), "id", ["brain_id", "anchor", "frequency", "created_day", "end_day"])
+
+
+# ---- dedup
+
+_HASHES = """doc AS (SELECT doc_id AS id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM documents),
+gram AS (SELECT id, CASE WHEN length(t) < 3 THEN t ELSE substr(t, i, 3) END AS g FROM doc, unnest(range(1, CAST(greatest(2, length(t) - 1) AS BIGINT))) AS u(i) WHERE t <> ''),
+vote AS (SELECT id, md5(g) AS m FROM gram),
+byte AS (SELECT id, b, ('0x' || substr(m, 2 * b + 1, 2))::INTEGER AS v FROM vote, unnest(range(8)) AS u(b)),
+bit AS (SELECT id, 8 * b + k AS pos, sum(CASE WHEN (v >> k) & 1 = 1 THEN 1 ELSE -1 END) AS s FROM byte, unnest(range(8)) AS u(k) GROUP BY 1, 2),
+hashed AS (SELECT doc.id, coalesce(h, 0)::BIGINT AS hash FROM doc LEFT JOIN (SELECT id, sum(CASE WHEN s > 0 THEN CASE WHEN pos = 63 THEN -9223372036854775808::HUGEINT ELSE (1::HUGEINT << pos::INTEGER) END ELSE 0 END) AS h FROM bit GROUP BY 1) x ON x.id = doc.id)"""
+
+
+def hashed(t: Tables) -> DataFrame:
+    return t.read("documents").select(F.col("doc_id").alias("id"), dedup.simhash("text").alias("hash"))
+
+
+@register("dd1_exact_dedup", "SELECT doc_id, min(doc_id) OVER (PARTITION BY lang, lower(trim(text))) AS canonical_id FROM documents")
+def dd1(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.exact_dedup(Tables(spark, sf).read("documents"), keys=[F.col("lang"), F.lower(F.trim("text"))], id="doc_id")
+
+
+@register("jn9_near_duplicate_pairs")
+def jn9(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.near_duplicate_pairs(hashed(Tables(spark, sf)))
+
+
+@register("dd2_leader_dedup")
+def dd2(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.leaders(dedup.near_duplicate_pairs(hashed(Tables(spark, sf))))
+
+
+@register("sc1_simhash", "WITH " + _HASHES + " SELECT id, hash FROM hashed")
+def sc1(spark: SparkSession, sf: str) -> DataFrame:
+    return hashed(Tables(spark, sf))
+
+
+@register("vs8_change_feed", oracle("SELECT event_type AS action, count(*) AS cnt FROM events, (SELECT max(CAST(ts AS DATE)) AS z FROM events) WHERE CAST(ts AS DATE) >= z - 6 GROUP BY 1"))
+def vs8(spark: SparkSession, sf: str) -> DataFrame:
+    e = Tables(spark, sf).read("events").select(F.col("event_type").alias("action"), day("ts").alias("day"))
+    last = e.agg(F.max("day")).head()[0]
+    return aggregates.count_by(e.filter(F.col("day") >= last - 6), "action")
