@@ -30,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import new_folder, staged, table
+from engram.llm.common import broadcast_if_small, new_folder, staged, table
 from engram.llm.textvec import slices
 
 BLOCK, PER_SHARD, MOST_SHARDS = 128, 500, 20_000
@@ -89,13 +89,16 @@ def parse(member: bytes) -> dict:
 
 
 def planned(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload, key, capture, revisit, refers_to."""
+    """page_id, url, payload, key, capture, refers_to (null for a response). Only ids and digests are grouped and joined; payloads stay where they are while the counted revisits are few."""
     payload = F.coalesce("html", F.lit(""))
     p = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"))
-    owners = p.groupBy("digest").agg(F.max("page_id").alias("owner"))
-    both = p.join(owners, "digest")
-    revisit = (F.octet_length("payload") >= min_bytes) & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
-    return both.select("page_id", "url", "payload", urlkey(F.col("url")).alias("key"), F.coalesce("page_id", F.lit(NO_ID)).alias("capture"), revisit.alias("revisit"), F.when(revisit, F.col("owner")).alias("refers_to"))
+    ids = p.filter(F.octet_length("payload") >= min_bytes).select("page_id", "digest")
+    owners = ids.groupBy("digest").agg(F.max("page_id").alias("owner"))
+    revisits = ids.join(owners, "digest").filter(F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner")))
+    revisits = staged(revisits.select(F.col("page_id").alias("id"), F.col("digest").alias("same"), "owner").distinct(), "revisits")
+    few = broadcast_if_small(revisits, revisits.count())
+    both = p.join(few, p["page_id"].eqNullSafe(few["id"]) & (p["digest"] == few["same"]), "left")
+    return both.select("page_id", "url", "payload", urlkey(F.col("url")).alias("key"), F.coalesce("page_id", F.lit(NO_ID)).alias("capture"), F.col("owner").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:
@@ -125,7 +128,7 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFra
                 if warc is None:
                     warc, index = fs.open_output_stream(f"{name}.warc.gz", compression=None), fs.open_output_stream(f"{name}.cdx", compression=None)
                     first = (r["key"], r["capture"])
-                member = record(r["page_id"], r["url"], r["payload"].encode(), r["refers_to"], r["revisit"])
+                member = record(r["page_id"], r["url"], r["payload"].encode(), r["refers_to"], r["refers_to"] is not None)
                 warc.write(member)
                 lines.append((r["key"], r["capture"], f"{r['key']} {r['capture']} {json.dumps({'offset': at, 'length': len(member)})}"))
                 at, done = at + len(member), done + 1
