@@ -234,14 +234,14 @@ def ag7(spark: SparkSession, sf: str) -> DataFrame:
     return aggregates.keyword_idf(t.fiber_tags().select("fiber_id", F.col("tag").alias("keyword")), total).withColumn("idf", F.round("idf", 6))
 
 
-@register("ag8_tool_stats", oracle("SELECT action, server, count(*) AS cnt, round(avg(success::INTEGER), 2) AS success_rate, round(avg(duration_ms), 4) AS avg_ms FROM acts GROUP BY action, server ORDER BY cnt DESC, action, server LIMIT 20"))
+@register("ag8_tool_stats", oracle("SELECT action, server, count(*) AS cnt, round(avg(success::INTEGER), 2) AS success_rate, round(avg(duration_ms), 9) AS avg_ms FROM acts GROUP BY action, server ORDER BY cnt DESC, action, server LIMIT 20"))
 def ag8(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregates.tool_stats(Tables(spark, sf).events(), by=["action", "server"], top=20).withColumn("avg_ms", F.round("avg_ms", 4))
+    return aggregates.tool_stats(Tables(spark, sf).events(), by=["action", "server"], top=20).withColumn("avg_ms", F.round("avg_ms", 9))
 
 
-@register("ag9_tool_stats_daily", oracle("SELECT day, action, count(*) AS cnt, round(avg(success::INTEGER), 2) AS success_rate, round(avg(duration_ms), 4) AS avg_ms FROM acts GROUP BY day, action"))
+@register("ag9_tool_stats_daily", oracle("SELECT day, action, count(*) AS cnt, round(avg(success::INTEGER), 2) AS success_rate, round(avg(duration_ms), 9) AS avg_ms FROM acts GROUP BY day, action"))
 def ag9(spark: SparkSession, sf: str) -> DataFrame:
-    return aggregates.tool_stats(Tables(spark, sf).events(), by=["day", "action"]).withColumn("avg_ms", F.round("avg_ms", 4))
+    return aggregates.tool_stats(Tables(spark, sf).events(), by=["day", "action"]).withColumn("avg_ms", F.round("avg_ms", 9))
 
 
 @register("ag10_change_log_stats", oracle("SELECT l_returnflag AS flag, count(*) AS total, count(*) FILTER (l_discount > 0.05) AS large, count(*) FILTER (l_linestatus = 'O') AS open FROM lineitem GROUP BY 1"))
