@@ -40,14 +40,13 @@ def shape(block: Block) -> np.ndarray:
     size = np.maximum(np.diff(block.at), 1).astype(float)
     words = np.maximum(block.counts(), 1).astype(float)
     csum = lambda x: np.concatenate([[0], np.cumsum(x)])
-    per_byte = lambda x: (lambda c: c[block.at[1:]] - c[block.at[:-1]])(csum(x))
     per_word = lambda x: (lambda c: c[block.first[1:]] - c[block.first[:-1]])(csum(x))
-    raw, out = block.raw, []
-    for mark in _MARKS:
-        out.append(np.sqrt(per_byte(raw == mark) / size))
-    upper, digit = (raw >= 65) & (raw <= 90), (raw >= 48) & (raw <= 57)
-    lines = per_byte(raw == 10) + 1.0
-    out += [per_byte(upper) / size, per_byte(digit) / size, per_byte(raw >= 128) / size, per_byte(raw < 9) / size, lines / words, np.log1p(words), np.log(size / words)]
+    owner = np.repeat(np.arange(n, dtype=np.int64) * 256, np.diff(block.at))
+    count = np.bincount(owner + block.raw, minlength=n * 256).reshape(n, 256) if n else np.zeros((0, 256))
+    out = [np.sqrt(count[:, mark] / size) for mark in _MARKS]
+    part = lambda a, z: count[:, a:z].sum(1) / size
+    lines = count[:, 10] + 1.0
+    out += [part(65, 91), part(48, 58), part(128, 256), part(0, 9), lines / words, np.log1p(words), np.log(size / words)]
     h, doc = block.h, block.doc
     for gap in (1, 2, 3):  # words that come again at once, or in a short period
         again = np.zeros(len(h), dtype=bool)
