@@ -41,7 +41,7 @@ PERCENT = 80
 FREQUENT = 1000
 MOST_PAIRED, LEAST_SINGLE = 320, 256
 #: Bits of a token's hash by which it is counted; tokens of one part of the count, about; shingles packed at once.
-BITS, PART, PACKED = 44, 1 << 21, 4_000_000
+BITS, PART, PACKED = 44, 1 << 20, 1_500_000
 #: Nodes and shingles of a block of a cohort, about; two blocks meet in one task.
 BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 20
 

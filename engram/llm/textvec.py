@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text is handled alone and whole.
-CHUNK = 2 << 20
+CHUNK = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: `[^\x20\x09-\x0D]+`
@@ -152,6 +152,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
+    pa.default_memory_pool().release_unused()
 
 
 def signed(h: np.ndarray) -> np.ndarray:
