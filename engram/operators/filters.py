@@ -84,3 +84,14 @@ def extract_subgraph(fibers: DataFrame, bridge: DataFrame, synapses: DataFrame,
     nodes = bridge.join(kept.select(F.col("id").alias("fiber_id")), "fiber_id", "left_semi").select("neuron_id").distinct()
     edges = synapses.join(nodes.select(F.col("neuron_id").alias("source_id")), "source_id", "left_semi").join(nodes.select(F.col("neuron_id").alias("target_id")), "target_id", "left_semi")
     return kept, nodes, edges
+
+
+def status_in(fibers: DataFrame, active: DataFrame, allowed: Sequence[str]) -> DataFrame:
+    """Fibers of an allowed status whose anchor is active."""
+    return fibers.filter(F.col("status").isin(*allowed)).join(active.select("anchor").distinct(), "anchor", "left_semi")
+
+
+def scope_boost(memories: DataFrame, *, as_of: Column | int, window_days: int) -> DataFrame:
+    """Memories with a boost for being recent and for being important."""
+    recent = F.when(F.lit(as_of) - F.col("created_day") <= window_days, 1.2).otherwise(1.0)
+    return memories.withColumn("boost", recent * F.when(F.col("priority") >= 7, 1.1).otherwise(1.0))
