@@ -9,7 +9,7 @@ from engram.fixtures import Tables, oracle
 from engram.functions import text
 from engram.operators import aggregates, joins, links, sets, topk
 from engram.operators.graph import walkable
-from engram.plans.memory import _LISTS, _SPREAD, maturations, ranked_lists, reached
+from engram.plans.memory import _HASHES, _LISTS, _SPREAD, maturations, ranked_lists, reached
 from engram.plans.registry import register
 from engram.plans.sequences import _ACT, anchored
 from engram.sources import files
@@ -314,7 +314,11 @@ def src8(spark: SparkSession, sf: str) -> DataFrame:
     return aggregates.count_by(files.map_records(p.union(s), r, {"item": "CONCEPT", "firm": "ENTITY"})[1], "relation")
 
 
-@register("flt13_simhash_exclude")
+@register(
+    "flt13_simhash_exclude",
+    "WITH " + _HASHES.replace("SELECT doc_id AS id, ", "SELECT id, ").replace("FROM documents", "FROM (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - item_id, text FROM benchmark WHERE item_id < 20)")
+    + " SELECT -1 - q.id AS query_id, d.id AS node_id FROM hashed q JOIN hashed d ON q.id < 0 AND d.id >= 0 WHERE bit_count(xor(q.hash, d.hash)) > 20",
+)
 def flt13(spark: SparkSession, sf: str) -> DataFrame:
     from engram.operators.dedup import hamming, simhash
 
@@ -338,7 +342,11 @@ def wn5(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("action").alias("retriever"), F.round(F.least(F.lit(2.0), F.greatest(F.lit(0.1), 0.7 * (0.5 + F.col("ema")))), 6).alias("weight"))
 
 
-@register("tk5_cone")
+@register(
+    "tk5_cone",
+    """SELECT query_id, node_id, round(sim, 6) AS sim FROM (SELECT q.vec_id AS query_id, v.vec_id AS node_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS sim,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS r FROM embeddings q, embeddings v WHERE q.vec_id < 20) WHERE r <= 100 AND sim >= 0.2""",
+)
 def tk5(spark: SparkSession, sf: str) -> DataFrame:
     v = Tables(spark, sf).read("embeddings").select(F.col("vec_id").alias("node_id"), "embedding")
     near = topk.knn(v, v.filter("node_id < 20").withColumnRenamed("node_id", "query_id"), 100)

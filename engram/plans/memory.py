@@ -503,7 +503,7 @@ def dd1(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.exact_dedup(Tables(spark, sf).read("documents"), keys=[F.col("lang"), F.lower(F.trim("text"))], id="doc_id")
 
 
-@register("jn9_near_duplicate_pairs")
+@register("jn9_near_duplicate_pairs", "WITH " + _HASHES + " SELECT a.id AS id_a, b.id AS id_b, bit_count(xor(a.hash, b.hash)) AS bits FROM hashed a JOIN hashed b ON a.id < b.id WHERE bit_count(xor(a.hash, b.hash)) <= 3")
 def jn9(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.near_duplicate_pairs(hashed(Tables(spark, sf)))
 
