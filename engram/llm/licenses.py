@@ -167,3 +167,30 @@ def scan(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, phrases: dic
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("found")
+
+
+def _sql() -> str:
+    """The same rows in SQL: every template word in a document counts in the block that begins at its multiple of L and in the one before."""
+    lists = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    words = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    phrases = " UNION ALL ".join(f"SELECT doc_id, p - 1 AS place, '{label}' AS label FROM spot WHERE w[p : p + {len(words_of(x)) - 1}] = {lists(words_of(x))}" for x, label in PHRASES.items())
+    rows = []
+    for label, t in TEMPLATES.items():
+        own = words_of(t)
+        need = int(np.ceil(THRESHOLD * len(set(own)) - 1e-9))
+        rows += [f"('{label}', {len(own)}, {len(set(own))}, {need}, '{w}')" for w in sorted(set(own))]
+    return f"""
+WITH d AS (SELECT doc_id, {words} AS w FROM documents), spot AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+places AS ({phrases}),
+base AS (SELECT doc_id, count(*) AS n, min(place) AS a, max(place) AS z, list_distinct(list(label)) AS labels FROM places GROUP BY doc_id),
+t(label, l, size, need, word) AS (VALUES {", ".join(rows)}),
+hits AS (SELECT doc_id, label, l, size, need, word, (p - 1) // l AS b FROM spot JOIN t ON w[p] = word),
+blocks AS (SELECT doc_id, label, size, b, count(DISTINCT word) AS n FROM (SELECT * FROM hits UNION ALL SELECT doc_id, label, l, size, need, word, b - 1 FROM hits WHERE b > 0) GROUP BY doc_id, label, size, need, b HAVING count(DISTINCT word) >= need),
+met AS (SELECT doc_id, list(label) AS labels, max(share) AS best FROM (SELECT doc_id, label, max(n / size) AS share FROM blocks GROUP BY 1, 2) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, a AS first_word, z AS last_word, coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
+coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(met.labels, [])))), ','), '') AS labels, CASE WHEN n > 0 THEN 1.0 ELSE coalesce(best, 0.0) END AS score
+FROM d LEFT JOIN base ON base.doc_id = d.doc_id LEFT JOIN met ON met.doc_id = d.doc_id
+"""
+
+
+OP5_SQL = _sql()

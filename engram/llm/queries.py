@@ -20,4 +20,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
 }
-ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.OP1_SQL, "op3_warc_index": warc.OP3_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.OP1_SQL, "op3_warc_index": warc.OP3_SQL, "op5_license_scan": licenses.OP5_SQL, "op10_jaccard_join": jaccard.OP10_SQL}
