@@ -46,3 +46,12 @@ def stage_progress(records: DataFrame, *, as_of: Column | int) -> DataFrame:
     time = F.least(F.lit(1.0), (F.lit(as_of) - F.col("entered_day")) / 3.0)
     spacing = F.least(F.lit(1.0), F.col("days") / 3.0)
     return records.select("fiber_id", time.alias("time_progress"), spacing.alias("spacing_progress"), F.least(time, spacing).alias("progress"))
+
+#: Weights of the parts of health; orphans count against it.
+PART_WEIGHT = {"connectivity": 0.25, "diversity": 0.2, "freshness": 0.15, "orphan_rate": 0.1, "activation": 0.05}
+
+
+def penalties(parts: DataFrame) -> DataFrame:
+    """brain_id, part, penalty: what each part of health costs a brain."""
+    each = [F.struct(F.lit(p).alias("part"), (w * (F.col(p) if p == "orphan_rate" else 1 - F.col(p))).alias("penalty")) for p, w in PART_WEIGHT.items()]
+    return parts.select("brain_id", F.explode(F.array(*each)).alias("x")).select("brain_id", "x.*")
