@@ -161,3 +161,27 @@ def fuzzy_match(terms: DataFrame, vocabulary: DataFrame, *, distance: int = 2) -
     t = terms.select("term", F.explode(F.sequence(F.greatest(F.lit(1), F.length("term") - distance), F.length("term") + distance)).alias("size"))
     v = vocabulary.select("word", F.length("word").alias("size"))
     return t.join(v, "size").select("term", "word", F.levenshtein("term", "word", distance).alias("distance")).filter("distance >= 0")
+
+
+#: Words that show a cause, a time or a comparison, and marks of something specific or structured.
+CAUSAL = r"(?i)\b(because|caused|due to|led to|resulted in|reason|since|therefore|so that|in order to|as a result|consequently)\b"
+TEMPORAL = r"(?i)\b(after|before|then|when|while|during|until|once|first|next|previously|subsequently|earlier|later|following)\b"
+COMPARATIVE = r"(?i)\b(over|instead of|replaced|vs|versus|compared to|rather than|better than|worse than|faster|slower|cheaper|preferred)\b"
+SPECIFIC = (r"[\w/\\]+\.\w{1,5}\b(?<!\.\w\.)", r"\bv?\d+\.\d+(?:\.\d+)?\b", r"\b\d{3,}\b")
+STRUCTURE = r"→|⟶|=>|->|-->"
+
+
+def quality_points(text: Column, kind: Column, has_tags: Column, has_context: Column) -> Column:
+    """0 to 10 for how much a memory is worth keeping: length, context, tags, type, reasoning, specifics and brevity."""
+    size = F.length(F.regexp_replace(text, r"^\s+|\s+$", ""))
+    one = lambda test: F.when(F.coalesce(test, F.lit(False)), 1).otherwise(0)
+    specific = F.lit(False)
+    for p in SPECIFIC:
+        specific = specific | text.rlike(p)
+    points = one(size >= 10) + one(size >= 50) + 3 * one(has_context) + one(has_tags) + one(kind.isNotNull() & (kind != "fact"))
+    points = points + one(text.rlike(CAUSAL)) + one(text.rlike(TEMPORAL)) + one(text.rlike(COMPARATIVE)) + one(specific) + one(text.rlike(STRUCTURE)) + one(size.between(50, 300)) - 2 * one(size > 500)
+    return F.greatest(F.lit(0), F.least(F.lit(10), points))
+
+
+def quality_label(points: Column) -> Column:
+    return F.when(points >= 7, "high").when(points >= 4, "medium").otherwise("low")

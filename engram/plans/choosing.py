@@ -89,3 +89,20 @@ def sc25(spark: SparkSession, sf: str) -> DataFrame:
     q = Tables(spark, sf).read("customer").select(F.col("c_custkey").alias("query_id"), F.lower("c_mktsegment").alias("term"))
     synonyms = spark.createDataFrame([("building", "house"), ("building", "tower"), ("machinery", "engine")], "term string, expansion string")
     return selection.expand_terms(q, F.broadcast(synonyms))  # three rows
+
+
+def _quality_sql() -> str:
+    from engram.functions import text
+
+    c = lambda p: f"CAST(regexp_matches(text, '{p}') AS INTEGER)"
+    specific = " OR ".join(f"regexp_matches(text, '{p.removesuffix('(?<!' + chr(92) + '.' + chr(92) + 'w' + chr(92) + '.)')}')" for p in text.SPECIFIC)
+    points = f"greatest(0, least(10, CAST(n >= 10 AS INTEGER) + CAST(n >= 50 AS INTEGER) + CAST(turn > 0 AS INTEGER) + CAST(role <> 'fact' AS INTEGER) + {c(text.CAUSAL)} + {c(text.TEMPORAL)} + {c(text.COMPARATIVE)} + CAST({specific} AS INTEGER) + {c(text.STRUCTURE)} + CAST(n BETWEEN 50 AND 300 AS INTEGER) - 2 * CAST(n > 500 AS INTEGER)))"
+    return f"SELECT conv_id, turn, points, CASE WHEN points >= 7 THEN 'high' WHEN points >= 4 THEN 'medium' ELSE 'low' END AS label FROM (SELECT conv_id, turn, {points} AS points FROM (SELECT *, length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS n FROM conversations))"
+
+
+@register("sc19_quality_points", _quality_sql())
+def sc19(spark: SparkSession, sf: str) -> DataFrame:
+    from engram.functions import text
+
+    points = text.quality_points(F.col("text"), F.col("role"), F.col("turn") > 0, F.lit(False))
+    return Tables(spark, sf).read("conversations").select("conv_id", "turn", points.alias("points")).withColumn("label", text.quality_label(F.col("points")))
