@@ -49,6 +49,7 @@ def walkable(synapses: DataFrame, states: DataFrame | None = None, *, min_weight
 
 def spread(anchors: DataFrame, edges: DataFrame, *, max_hops: int = 4, decay: float = 0.5, min_level: float = 0.3) -> DataFrame:
     """query_id, node_id, level, hop: activation from anchors (query_id, node_id, level), hop by hop, the best level of each node kept."""
+    edges = settled(edges)  # read once a hop
     reached = anchors.select("query_id", "node_id", F.col("level").cast("double").alias("level"), F.lit(0).alias("hop"))
     frontier = reached
     for hop in range(1, max_hops + 1):
@@ -100,6 +101,7 @@ def trail(anchors: DataFrame, pathways: DataFrame, *, decay: float = 0.15, min_l
 def causal_chain(seeds: DataFrame, synapses: DataFrame, *, types: Sequence[str] = ("LEADS_TO",), max_depth: int = 3, min_weight: float = 0.0) -> DataFrame:
     """seed, node_id, depth, confidence: nodes reached over causal edges, at their first depth; confidence is the best geometric mean of weights there."""
     e = synapses.filter(F.col("type").isin(*types) & (F.col("weight") >= min_weight)).groupBy(F.col("source_id").alias("from"), F.col("target_id").alias("to")).agg(F.max("weight").alias("weight"))
+    e = settled(e)
     seen = seeds.select(F.col("node_id").alias("seed"), "node_id", F.lit(0).alias("depth"), F.lit(0.0).alias("logs")).distinct()
     frontier = seen
     for depth in range(1, max_depth + 1):
@@ -131,6 +133,7 @@ def normalize_outgoing(synapses: DataFrame, *, budget: float = 5.0) -> DataFrame
 def clustering_coefficient(synapses: DataFrame) -> DataFrame:
     """node_id, degree, triangles, coefficient of nodes with two or more neighbours. Each triangle is found once, from its end of least degree, so hubs are not expanded."""
     e = synapses.filter("source_id <> target_id").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
+    e = settled(e)  # read for degrees, wedges and closing edges
     degree = e.select(F.col("a").alias("node_id")).union(e.select("b")).groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
     d = lambda c: degree.select(F.col("node_id").alias(c), F.col("degree").alias(f"d{c}"))
     e = e.join(d("a"), "a").join(d("b"), "b")

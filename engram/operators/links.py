@@ -62,6 +62,7 @@ def co_binding(activations: DataFrame, *, min_sets: int = 2) -> DataFrame:
 
 def shortest_hops(sources: DataFrame, edges: DataFrame, *, max_hops: int = 4) -> DataFrame:
     """source, node_id, hops: breadth-first distances. edges: a, b."""
+    edges = settled(edges)
     seen = sources.select(F.col("node_id").alias("source"), "node_id", F.lit(0).alias("hops")).distinct()
     frontier = seen
     for hop in range(1, max_hops + 1):
