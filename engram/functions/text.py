@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-_SKIP = {"script", "style", "nav", "footer", "header", "noscript", "template"}
+_SKIP = {"title", "script", "style", "nav", "footer", "header", "noscript", "template"}
 _BREAK = {"p", "div", "br", "li", "tr", "section", "article", "main", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"}
 
 
@@ -84,6 +84,7 @@ def _chunks(text: str, min_words: int, max_words: int) -> Iterator[tuple[str, in
         held: list[str] = []
         words = 0
         paragraphs = [p.strip() for p in re.split(r"\n\s*\n", "\n".join(body)) if p.strip()]
+        paragraphs = [x for p in paragraphs for x in ([p] if len(p.split()) <= max_words else filter(str.strip, p.split("\n")))]
         for p in [*paragraphs, None]:
             n = len(p.split()) if p else 0
             if held and (p is None or words + n > max_words):

@@ -170,11 +170,14 @@ def cn22(spark: SparkSession, sf: str) -> DataFrame:
     return cognition.dirty_since(changes, t.fiber_neurons(), after=t.order_as_of() - 3)
 
 
-@register("dd18_heading_hierarchy")
+@register(
+    "dd18_heading_hierarchy",
+    r"""SELECT DISTINCT array_to_string(p[1 : i - 1], ' > ') AS parent, array_to_string(p[1 : i], ' > ') AS child, 0.9::DOUBLE AS weight FROM
+    (SELECT list_filter(string_split(regexp_extract(url, '^https?://([^?#]*)', 1), '/'), lambda x: x <> '') AS p FROM pages), unnest(range(2, len(p) + 1)) AS u(i)""",
+)
 def dd18(spark: SparkSession, sf: str) -> DataFrame:
-    from engram.plans.derived import dd17
-
-    return cognition.heading_hierarchy(dd17(spark, sf))
+    path = F.filter(F.split(F.regexp_extract("url", r"^https?://([^?#]*)", 1), "/"), lambda x: x != "")
+    return cognition.heading_hierarchy(Tables(spark, sf).read("pages").select(path.alias("heading_path")).filter(F.size("heading_path") > 0))
 
 
 @register("dd3_dedup_benchmark", "SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(text)) AS canonical_id FROM documents")

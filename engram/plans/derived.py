@@ -223,7 +223,7 @@ def src6(spark: SparkSession, sf: str) -> DataFrame:
 @register("dd17_chunk_markdown")
 def dd17(spark: SparkSession, sf: str) -> DataFrame:
     pages = Tables(spark, sf).read("pages").select(F.col("page_id").alias("doc_id"), text.html_to_text("html").alias("text"))
-    return text.chunk_markdown(pages, min_words=5)
+    return text.chunk_markdown(pages, min_words=5, max_words=60)
 
 
 @register("wn7_sibling_order")
