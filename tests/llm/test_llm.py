@@ -298,6 +298,31 @@ def test_substring_dedup(docs, rows, empty, spark):
     assert substring.without_repeats(empty).collect() == []
 
 
+@pytest.mark.parametrize("flank", [30, 120])
+def test_substring_dedup_inside_half_equal_text(spark, flank):
+    """Around 60 equal words three words agree and three differ in turn."""
+    g = random.Random(flank)
+    a = [f"a{i}" for i in range(2 * flank + 60)]
+    b = [w if flank <= i < flank + 60 or (i - flank) % 6 >= 3 else f"b{i}" for i, w in enumerate(a)]
+    docs = spark.createDataFrame([(0, " ".join(a)), (1, " ".join(b)), (2, prose(g, 300))], "doc_id long, text string")
+    got = substring.repeats(docs).collect()
+    assert {r["doc_id"] for r in got} == {1}
+    assert set(range(flank, flank + 60)) <= {i for r in got for i in range(r["start"], r["end"])}
+    assert all(r["end"] - r["start"] >= 50 and r["agree"] >= 0.8 * (r["end"] - r["start"]) for r in got)
+
+
+def test_stretches_against_brute_force():
+    g = random.Random(5)
+    for _ in range(200):
+        p, runs, i = g.choice([0.6, 0.75, 0.85]), [], 0
+        on = [g.random() < p for _ in range(g.choice([20, 60]))]
+        runs = [(i, i + 3, 1) for i, x in enumerate(on) if x]
+        want = {i for s in range(len(on)) for e in range(s + 10, len(on) + 1) if on[s] and on[e - 1] and sum(on[s:e]) >= 0.8 * (e - s) - 1e-9 for i in range(s, e)}
+        got = list(substring.stretches(runs, 10, 0.8)) if runs else []
+        assert {i for r in got for i in range(r[0], r[1])} == want
+        assert all(r[1] - r[0] >= 10 and r[4] == sum(on[r[0] : r[1]]) >= 0.8 * (r[1] - r[0]) - 1e-9 for r in got)
+
+
 def test_chains_against_brute_force():
     g = np.random.default_rng(3)
     for _ in range(30):
