@@ -298,6 +298,26 @@ def test_substring_dedup(docs, rows, empty, spark):
     assert substring.without_repeats(empty).collect() == []
 
 
+def test_substring_dedup_of_edited_passages(spark):
+    """Passages of which every fifth word, or a fifth of the words at any place, is replaced."""
+    g = random.Random(7)
+    texts, at = [], {}
+    for i in range(40):
+        n = g.choice([50, 60, 100, 200])
+        passage = prose(g, n).split()
+        other = list(passage)
+        for j in range(4, n - 1, 5) if i % 2 else g.sample(range(1, n - 1), n // 8):
+            other[j] = f"x{g.randrange(10**6)}"
+        texts += [" ".join([prose(g, 30), *passage, prose(g, 30)]), " ".join([prose(g, 25), *other, prose(g, 40)])]
+        at[2 * i + 1] = (25, 25 + n)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in substring.repeats(docs).collect():
+        got.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    assert set(got) == set(at)
+    assert all(len(got[i] & set(range(a, z))) >= 0.9 * (z - a) for i, (a, z) in at.items())
+
+
 @pytest.mark.parametrize("flank", [30, 120])
 def test_substring_dedup_inside_half_equal_text(spark, flank):
     """Around 60 equal words three words agree and three differ in turn."""
