@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 
 from engram.llm.common import fold_of, staged, table
 from engram.llm.linear import decide, fit_logistic, sigmoid
-from engram.llm.textvec import ALNUM, Block, slices
+from engram.llm.textvec import ALNUM, Block, signed, slices
 
 #: Plain English insults.
 LEXICON = ("idiot", "moron", "stupid", "scum", "trash", "pathetic", "worthless", "disgusting", "loser", "clown", "dumb", "fool", "garbage", "vermin", "filth")
-#: Labelled rows that are used for mining and for the classifier, at most, by seeded hash.
+#: Labelled rows that are used for the classifier, at most, by seeded hash.
 SAMPLE = 20_000
 MINED = 240
 BITS = 20
@@ -39,21 +39,24 @@ SEED = 9
 
 
 def features(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(word number, feature in 0..2**BITS) of the words, and of their beginnings of each length."""
-    top = np.uint64(64 - BITS)
-    yield np.arange(len(block.h)), (block.h >> top).astype(np.int64)
+    """(word number, 64-bit hash) of the words, and of their beginnings of each length."""
+    yield np.arange(len(block.h)), block.h
     for length in LENGTHS:
-        at, h = block.prefixes(length)
-        yield at, (h >> top).astype(np.int64)
+        yield block.prefixes(length)
+
+
+def bucket(h: np.ndarray) -> np.ndarray:
+    """The bucket of a feature, in which mining counts it first."""
+    return (h >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def _lexicon(words: tuple[str, ...]) -> list[int]:
-    return (Block(pa.array([" ".join(words)]), ALNUM).h >> np.uint64(64 - BITS)).astype(np.int64).tolist()
+    return signed(Block(pa.array([" ".join(words)]), ALNUM).h).tolist()
 
 
 @dataclass
 class Model:
-    terms: list[int]  # features of the lexicon voters; the style voters follow them
+    terms: list[int]  # whole hashes (signed) of the term voters; the style voters follow them
     yes: np.ndarray = field(default_factory=lambda: np.empty(0))  # probability of a vote if toxic
     no: np.ndarray = field(default_factory=lambda: np.empty(0))
     share: np.ndarray = field(default_factory=lambda: np.empty(0))  # weight of each voter after correlations
@@ -67,15 +70,21 @@ class Model:
     def votes(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """(texts x voters 0/1, texts x dense features)"""
         n, m = block.n, self.voters
-        slot = np.full(1 << BITS, -1, dtype=np.int16)
-        slot[self.terms] = np.arange(len(self.terms))
+        terms = np.array(self.terms, np.int64).view(np.uint64)
+        slot = np.argsort(terms)
+        terms = terms[slot]
+        taken = np.zeros(1 << BITS, dtype=bool)
+        taken[bucket(terms)] = True
         hits = np.zeros((n, m), dtype=np.float32)
         struck = np.zeros(len(block.h), dtype=bool)
         for at, f in features(block):
-            v = slot[f]
-            found = np.flatnonzero(v >= 0)
+            # a bucket that is taken only says where to look: the whole hash decides
+            found = np.flatnonzero(taken[bucket(f)])
+            place = np.searchsorted(terms, f[found])
+            right = terms[np.minimum(place, len(terms) - 1)] == f[found]
+            found, v = found[right], slot[place[right]]
             struck[at[found]] = True
-            np.add.at(hits, (block.doc[at[found]], v[found]), 1)
+            np.add.at(hits, (block.doc[at[found]], v), 1)
         words = np.maximum(block.counts(), 1).astype(np.float64)
         total = np.add.reduceat(np.append(struck, False).astype(np.int64), np.minimum(block.first[:-1], len(struck))) * (block.counts() > 0) if n else np.zeros(0)
         rate = total / words
@@ -101,29 +110,48 @@ def training_labels(labels: DataFrame, sample: int | None = None) -> DataFrame:
     return known if sample is None else known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample)
 
 
-def mine(sample: DataFrame, most: int = MINED) -> list[int]:
-    """Features that stand in toxic documents of the sample far more often than in others."""
+def mine(known: DataFrame, most: int = MINED) -> list[int]:
+    """Features that stand in toxic documents of `known` far more often than in others: buckets are counted first, and only the
+    features of buckets with enough toxic documents are then counted by their whole hashes."""
 
-    def count(batches):
-        tally = np.zeros((2, 1 << BITS), dtype=np.int64)
-        rows = np.zeros(2, dtype=np.int64)
-        for b in slices(batches):
-            block = Block(b.column("text"), ALNUM)
-            toxic = (np.asarray(b.column("toxic")) >= 0.5).astype(np.int64)
-            rows += np.bincount(toxic, minlength=2)
-            seen = np.unique(np.concatenate([block.doc[at] * (1 << BITS) + f for at, f in features(block)]))
-            side = toxic[seen >> BITS]
-            for k in (0, 1):
-                tally[k] += np.bincount(seen[side == k] & ((1 << BITS) - 1), minlength=1 << BITS)
-        some = np.flatnonzero(tally.any(0))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(tally[1][some], rows[1])), pa.array(np.append(tally[0][some], rows[0]))], ["feature", "bad", "good"])
-
-    sums = staged(sample.select("text", "toxic").coalesce(TASKS // 4).mapInArrow(count, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")), "mined")
+    def count(chosen: np.ndarray | None):
+        def run(batches):
+            tally = np.zeros(1 << BITS, dtype=np.int64)
+            rows = np.zeros(2, dtype=np.int64)
+            for b in slices(batches):
+                block = Block(b.column("text"), ALNUM)
+                toxic = np.asarray(b.column("toxic")) >= 0.5
+                rows += np.bincount(toxic.astype(np.int64), minlength=2)
+                doc, h = (np.concatenate(x) for x in zip(*((block.doc[at], f) for at, f in features(block)), strict=True))
+                if chosen is None:
+                    seen = np.unique((doc * (1 << BITS) + bucket(h))[toxic[doc]])
+                    tally += np.bincount(seen & ((1 << BITS) - 1), minlength=1 << BITS)
+                    continue
+                some = chosen[bucket(h)]
+                doc, h = doc[some], h[some]
+                order = np.lexsort((h, doc))
+                doc, h = doc[order], h[order]
+                once = np.flatnonzero(np.concatenate([[True], (np.diff(doc) != 0) | (h[1:] != h[:-1])])) if len(h) else order
+                terms, at = np.unique(h[once], return_inverse=True)
+                bad = np.bincount(at, weights=toxic[doc[once]], minlength=len(terms)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(terms)), pa.array(bad), pa.array(np.bincount(at, minlength=len(terms)) - bad)], ["feature", "bad", "good"])
+            if chosen is None:
+                some = np.flatnonzero(tally)
+                yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(tally[some], rows[1])), pa.array(np.append(0 * some, rows[0]))], ["feature", "bad", "good"])
+
+        rows = known.select("text", "toxic")
+        rows = rows.coalesce(TASKS) if chosen is None else rows
+        return rows.mapInArrow(run, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+    sums = staged(count(None), "buckets")
     total = sums.filter("feature = -1").head()
     if not total or not total["bad"] or not total["good"]:
         return []
+    # a term's lift needs it in as many toxic documents as its bucket has at most, so no term that passes below is left out here
+    chosen = np.zeros(1 << BITS, dtype=bool)
+    chosen[[r["feature"] for r in sums.filter("feature >= 0 and bad >= 4").select("feature").collect()]] = True
     lift = (F.col("bad") + 0.5) / (total["bad"] + 1.0) / ((F.col("good") + 0.5) / (total["good"] + 1.0))
-    best = sums.filter("feature >= 0 and bad >= 4").withColumn("lift", lift).filter("lift >= 6")
+    best = count(chosen).filter("bad >= 4").withColumn("lift", lift).filter("lift >= 6")
     return [r["feature"] for r in best.orderBy((F.col("bad") * F.log("lift")).desc(), "feature").limit(most).collect()]
 
 
@@ -193,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     docs = docs.select("doc_id", "text")
     known = staged(docs.join(F.broadcast(training_labels(labels, SAMPLE)), "doc_id"), "sample")  # at most SAMPLE rows
     fixed = _lexicon(LEXICON)
-    model = Model(list(dict.fromkeys(fixed + mine(known))))
+    model = Model(list(dict.fromkeys(fixed + mine(staged(docs.join(training_labels(labels), "doc_id"), "labelled")))))
     model = fit_label_model(patterns(docs, training_labels(labels), model), model)
 
     def rows(batches):

@@ -458,6 +458,22 @@ def test_toxicity(spark, empty):
     toxicity.train(empty, labels)
 
 
+def test_toxicity_of_long_clean_texts():
+    """A text of 200,000 distinct words holds no voter that it doesn't name."""
+    model = toxicity.Model(toxicity._lexicon(toxicity.LEXICON))
+    clean = " ".join(f"q{i}z" for i in range(200_000))
+    v, dense = model.votes(Block(pa.array([clean, clean + " idiot", "idiot scum"]), ALNUM))
+    assert v[0, :-3].sum() == 0 and dense[0, 0] == 0
+    assert v[1, :-3].sum() == 1 and v[2, :-3].sum() == 2
+
+
+def test_toxicity_mines_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 10)
+    docs = spark.createDataFrame([(i, f"plain words here {'zorblat' if i % 10 == 0 else 'calm'}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(400)], "doc_id long, toxic int")
+    assert toxicity._lexicon(("zorblat",))[0] in toxicity.train(docs, labels).terms
+
+
 def test_quality(spark, empty):
     docs, labels = labelled(spark)
     got = quality.assess(docs, labels).collect()
