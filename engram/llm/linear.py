@@ -1,8 +1,12 @@
-"""Ridge logistic regression by Newton steps, for a bounded sample on the driver."""
+"""Ridge logistic regression by Newton steps: for a bounded sample on the driver, and over a whole table by sums."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -36,3 +40,68 @@ def decide(x: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> n
     """The log-odds of each row."""
     w, mean, scale = model
     return ((x - mean) / scale) @ w[:-1] + w[-1]
+
+
+def summed(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """The sum of the matrices that run makes of the partitions of rows; matrix rows meet by number, so no task gets whole matrices."""
+
+    def one(batches):
+        x = run(batches)
+        some = np.flatnonzero(x.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([r.tobytes() for r in x[some]], pa.binary())], ["i", "x"])
+
+    def add(t: pa.Table) -> pa.Table:
+        return pa.table({"i": t.column("i")[:1], "x": pa.array([sum(sorted_rows(t)).tobytes()], pa.binary())})
+
+    def sorted_rows(t: pa.Table) -> list[np.ndarray]:
+        return [np.frombuffer(x) for x in sorted(t.column("x").to_pylist())]  # the same sum whatever order the rows come in
+
+    out = np.zeros(shape)
+    for r in rows.mapInArrow(one, "i long, x binary").groupBy("i").applyInArrow(add, "i long, x binary").collect():
+        out[r["i"]] = np.frombuffer(r["x"])
+    return out
+
+
+def newton(rows: DataFrame, training: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray]]], width: int, ridge: float = 1.0, steps: int = 8) -> tuple | None:
+    """fit_logistic over a whole table: training makes (x, y) of batches, and every step is one job that sums slopes and curvature. None if all y are on one side."""
+    d = width + 1
+
+    def first(batches):
+        out = np.zeros((3, d))
+        for x, y in training(batches):
+            out += np.stack([np.append(x.sum(0), len(x)), np.append((x * x).sum(0), (y >= 0.5).sum()), np.append(x[:0].sum(0), y.sum())])
+        return out
+
+    sums = summed(rows, first, (3, d))
+    n, bad = sums[0, -1], sums[1, -1]
+    if not 0 < bad < n:
+        return None
+    mean = sums[0, :-1] / n
+    scale = np.sqrt(np.maximum(sums[1, :-1] / n - mean * mean, 0))
+    scale[scale < 1e-9] = 1.0
+    penalty = np.append(np.full(width, ridge), 1e-6)
+    share = sums[2, -1] / n
+    w, last, known = np.append(np.zeros(width), np.log(share / (1 - share))), None, np.inf
+
+    def look(batches):
+        out = np.zeros((d + 2, d))
+        for x, y in training(batches):
+            z = np.hstack([(x - mean) / scale, np.ones((len(x), 1))])
+            at = z @ w
+            p = sigmoid(at)
+            out[:d] += (z * (p * (1 - p) + 1e-9)[:, None]).T @ z
+            out[d] += z.T @ (y - p)
+            out[d + 1, 0] += np.sum(np.logaddexp(0, at) - y * at)
+        return out
+
+    for _ in range(steps):
+        got = summed(rows, look, (d + 2, d))
+        loss = got[d + 1, 0] + 0.5 * np.sum(penalty * w * w)
+        if loss > known:  # too far: half the way
+            w = (w + last) / 2
+            continue
+        if known - loss < 1e-6 * abs(loss):
+            break
+        last, known = w, loss
+        w = w + np.linalg.solve(got[:d] + np.diag(penalty), got[d] - penalty * w)
+    return (w, mean, scale) if last is None or loss <= known else (last, mean, scale)

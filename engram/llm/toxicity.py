@@ -1,14 +1,19 @@
 """Operator 9: toxicity by weak supervision.
 
 Voters are a fixed lexicon, patterns of style, and words and word beginnings mined from labelled training rows. A
-generative label model (two classes, one vote probability for each voter and class) is fitted by EM over the vote
-patterns of all documents, labelled rows held to their class; from its pairwise moments come the correlations of
-voters within a class, by which a voter's evidence is shared out. The model's posterior labels on a bounded labelled
-sample train a linear classifier over votes and hit rates, which scores every whole text.
+generative label model (two classes, one vote probability for each voter and class) starts from the labelled rows and is
+then fitted by EM over the vote patterns of all documents. In it a given label is one more voter, with an accuracy of its
+own for each class, that abstains where a row has none: enough other votes outvote it. From the pairwise moments come the
+correlations of voters within a class, by which a voter's evidence is shared out. A linear classifier over votes and hit
+rates is trained on the model's posterior labels of all rows of the training folds, labelled or not, by Newton steps whose
+sums are one job each, and scores every whole text.
 
 Labels are read only where crc32(doc_id as text) mod 5 is not 0; lang, source, labels and doc_id are no inputs of a
-score. A null or empty text has no votes and gets the classifier's score for that. A label that is null or stands
-more than once with both values counts as its mean. Without labels of both classes the score is the label model's posterior.
+score. Defined results: a null or empty text has no votes and gets the classifier's score for that; a long text is read
+whole; a repeated row counts and is scored as often as it stands; equal texts score alike, and a score of exactly 0.5 is
+predicted 1; a label that is null is none, one that stands more than once counts as its mean; a row without doc_id is in
+the fold of the empty text and has no label; other columns are never read; an empty table gives no rows. Without labels
+of both classes the score is the label model's posterior.
 """
 
 from __future__ import annotations
@@ -21,21 +26,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import fold_of, staged, table
-from engram.llm.linear import decide, fit_logistic, sigmoid
+from engram.llm.common import broadcast_if_small, fold_of, staged, table
+from engram.llm.linear import decide, newton, sigmoid, summed
 from engram.llm.textvec import ALNUM, Block, signed, slices
 
-#: Plain English insults.
-LEXICON = ("idiot", "moron", "stupid", "scum", "trash", "pathetic", "worthless", "disgusting", "loser", "clown", "dumb", "fool", "garbage", "vermin", "filth")
-#: Labelled rows that are used for the classifier, at most, by seeded hash.
-SAMPLE = 20_000
+#: Plain insults in English, German, French and Spanish, as words of ALNUM.
+LEXICON = (
+    "idiot", "moron", "stupid", "scum", "trash", "pathetic", "worthless", "disgusting", "loser", "clown", "dumb", "fool", "garbage", "vermin", "filth", "imbecile", "jerk", "creep", "coward", "liar",
+    "dummkopf", "trottel", "abschaum", "widerlich", "versager", "dreck", "blödmann", "feigling", "lügner", "schwachkopf",
+    "imbécile", "crétin", "abruti", "ordure", "déchet", "minable", "dégoûtant", "menteur", "racaille", "lâche",
+    "idiota", "estúpido", "imbécil", "basura", "escoria", "asqueroso", "patético", "mentiroso", "cobarde", "inútil",
+)
 MINED = 240
 BITS = 20
 LENGTHS = (4, 5, 6, 7, 8, 9, 10, 12)
 ROUNDS = 6
-#: Tasks over the vote patterns, each of which returns a matrix; a quarter of them over the sample.
-TASKS = 32
-SEED = 9
+#: Style voters, after the terms: three or more hits, two hit rates, shouting, exclamation marks.
+STYLES = 5
+#: Odds that a given label starts with, as the probabilities of label 1 in each class.
+GIVEN = (0.02, 0.95)
+#: Rows of votes for each task that sums them into a matrix.
+ROWS = 50_000
 
 
 def features(block: Block) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -61,11 +72,12 @@ class Model:
     no: np.ndarray = field(default_factory=lambda: np.empty(0))
     share: np.ndarray = field(default_factory=lambda: np.empty(0))  # weight of each voter after correlations
     prior: float = 0.1
+    given: tuple[float, float] = GIVEN  # probability of label 1 in each class, where a row has a label
     linear: tuple | None = None
 
     @property
     def voters(self) -> int:
-        return len(self.terms) + 3
+        return len(self.terms) + STYLES
 
     def votes(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """(texts x voters 0/1, texts x dense features)"""
@@ -88,26 +100,31 @@ class Model:
         words = np.maximum(block.counts(), 1).astype(np.float64)
         total = np.add.reduceat(np.append(struck, False).astype(np.int64), np.minimum(block.first[:-1], len(struck))) * (block.counts() > 0) if n else np.zeros(0)
         rate = total / words
+        sums = lambda x: (lambda c: c[block.at[1:]] - c[block.at[:-1]])(np.concatenate([[0], np.cumsum(x)]))
+        high, low, marks = (sums(x) for x in ((block.raw >= 65) & (block.raw <= 90), (block.raw >= 97) & (block.raw <= 122), block.raw == 33))
         v = (hits > 0).astype(np.float64)
-        v[:, m - 3], v[:, m - 2], v[:, m - 1] = total >= 3, rate >= 0.02, rate >= 0.005
-        dense = np.stack([np.log1p(total), np.log1p(1000 * rate), np.log1p((hits[:, :-3] > 0).sum(1)), np.log(words), np.minimum(total, 2) / np.log2(words + 1)], axis=1)
+        v[:, m - 5 :] = np.stack([total >= 3, rate >= 0.02, rate >= 0.005, (high >= 12) & (high > low), marks * 20 > words], axis=1)
+        dense = np.stack([np.log1p(total), np.log1p(1000 * rate), np.log1p((hits[:, :-STYLES] > 0).sum(1)), np.log(words), np.minimum(total, 2) / np.log2(words + 1)], axis=1)
         return v, dense
 
-    def odds(self, v: np.ndarray) -> np.ndarray:
-        """Log-odds of the label model for rows of votes."""
+    def odds(self, v: np.ndarray, given: np.ndarray | None = None) -> np.ndarray:
+        """Log-odds of the label model for rows of votes, and of given labels (0 to 1, nan for none)."""
         on, off = np.log(self.yes / self.no), np.log((1 - self.yes) / (1 - self.no))
-        return np.log(self.prior / (1 - self.prior)) + v @ (self.share * (on - off)) + (self.share * off).sum()
+        out = np.log(self.prior / (1 - self.prior)) + v @ (self.share * (on - off)) + (self.share * off).sum()
+        if given is not None:
+            no, yes = self.given
+            out += np.where(np.isnan(given), 0.0, np.nan_to_num(given) * np.log(yes / no) + (1 - np.nan_to_num(given)) * np.log((1 - yes) / (1 - no)))
+        return out
 
     def score(self, block: Block) -> np.ndarray:
         v, dense = self.votes(block)
         return sigmoid(decide(np.hstack([v, dense]), self.linear) if self.linear else self.odds(v))
 
 
-def training_labels(labels: DataFrame, sample: int | None = None) -> DataFrame:
-    """(doc_id, toxic 0..1) of labelled rows outside the held-out fold; of the sample with the smallest seeded hashes."""
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic 0..1) of labelled rows outside the held-out fold."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold_of(F.col("doc_id")) != 0))
-    known = known.groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
-    return known if sample is None else known.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(sample)
+    return known.groupBy("doc_id").agg(F.avg("toxic").alias("toxic"))
 
 
 def mine(known: DataFrame, most: int = MINED) -> list[int]:
@@ -119,12 +136,16 @@ def mine(known: DataFrame, most: int = MINED) -> list[int]:
             tally = np.zeros(1 << BITS, dtype=np.int64)
             rows = np.zeros(2, dtype=np.int64)
             for b in slices(batches):
-                block = Block(b.column("text"), ALNUM)
                 toxic = np.asarray(b.column("toxic")) >= 0.5
                 rows += np.bincount(toxic.astype(np.int64), minlength=2)
+                if chosen is None:
+                    b, toxic = b.filter(pa.array(toxic)), toxic[toxic]
+                    if not len(toxic):
+                        continue
+                block = Block(b.column("text"), ALNUM)
                 doc, h = (np.concatenate(x) for x in zip(*((block.doc[at], f) for at, f in features(block)), strict=True))
                 if chosen is None:
-                    seen = np.unique((doc * (1 << BITS) + bucket(h))[toxic[doc]])
+                    seen = np.unique(doc * (1 << BITS) + bucket(h))
                     tally += np.bincount(seen & ((1 << BITS) - 1), minlength=1 << BITS)
                     continue
                 some = chosen[bucket(h)]
@@ -139,9 +160,7 @@ def mine(known: DataFrame, most: int = MINED) -> list[int]:
                 some = np.flatnonzero(tally)
                 yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(tally[some], rows[1])), pa.array(np.append(0 * some, rows[0]))], ["feature", "bad", "good"])
 
-        rows = known.select("text", "toxic")
-        rows = rows.coalesce(TASKS) if chosen is None else rows
-        return rows.mapInArrow(run, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+        return known.select("text", "toxic").mapInArrow(run, "feature long, bad long, good long").groupBy("feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
 
     sums = staged(count(None), "buckets")
     total = sums.filter("feature = -1").head()
@@ -155,61 +174,69 @@ def mine(known: DataFrame, most: int = MINED) -> list[int]:
     return [r["feature"] for r in best.orderBy((F.col("bad") * F.log("lift")).desc(), "feature").limit(most).collect()]
 
 
-def patterns(docs: DataFrame, labels: DataFrame, model: Model) -> DataFrame:
-    """(votes, toxic or null, n): how many documents have each set of votes, over all documents."""
+def cast_votes(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, votes, dense) of every row: the voters that vote, and the hit rates."""
 
     def cast(batches):
         for b in slices(batches):
-            v, _ = model.votes(Block(b.column("text"), ALNUM))
+            v, dense = model.votes(Block(b.column("text"), ALNUM))
             at, on = np.nonzero(v)
             cut = np.searchsorted(at, np.arange(len(v) + 1))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(on, pa.int32()))], ["doc_id", "votes"])
+            lists = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(on, pa.int32()))
+            rates = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * dense.shape[1], pa.int32()), pa.array(dense.ravel(), pa.float32()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), lists, rates], ["doc_id", "votes", "dense"])
+
+    return docs.select("doc_id", "text").mapInArrow(cast, "doc_id long, votes array<int>, dense array<float>")
 
-    votes = docs.select("doc_id", "text").mapInArrow(cast, "doc_id long, votes array<int>")
-    return staged(votes.join(labels, "doc_id", "left").groupBy("votes", "toxic").agg(F.count(F.lit(1)).alias("n")), "patterns")
+
+def _of(b: pa.RecordBatch, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """The votes of a batch as a 0/1 matrix, and its given labels."""
+    lists = b.column("votes")
+    v = np.zeros((b.num_rows, m))
+    v[np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths())), np.asarray(lists.flatten())] = 1
+    return v, np.asarray(b.column("toxic").to_numpy(zero_copy_only=False), dtype=float)
 
 
 def fit_label_model(seen: DataFrame, model: Model, rounds: int = ROUNDS) -> Model:
-    """EM over the patterns, each round one job that sums posterior moments; then the correlations."""
+    """EM over the patterns (votes, toxic or null, n), each round one job that sums posterior moments; the first one over
+    the labelled patterns alone, whose labels it takes as they are; then the correlations."""
     m = model.voters
     model.yes, model.no, model.share = np.full(m, 0.3), np.full(m, 0.005), np.ones(m)
-    model.prior = 0.1
+    model.prior, model.given = 0.1, GIVEN
 
-    def moments(pairs: bool) -> tuple[np.ndarray, np.ndarray]:
-        """Of each class the sums of votes, count, and of products of two votes; a task returns them as rows of a matrix."""
+    def moments(first: bool, pairs: bool) -> np.ndarray:
+        """Of each class the sums of products of two votes (or, without pairs, of single ones), where vote m is always cast, and m + 1, m + 2 are a label and label 1."""
 
         def run(batches):
-            total = np.zeros((2, m + 1, m + 1))
+            total = np.zeros((2, m + 3, m + 3))
             for b in batches:
-                lists = b.column("votes")
-                v = np.zeros((b.num_rows, m + 1))
-                v[np.repeat(np.arange(b.num_rows), np.asarray(lists.value_lengths())), np.asarray(lists.flatten())] = 1
-                v[:, m] = 1
-                given = np.asarray(b.column("toxic").to_numpy(zero_copy_only=False), dtype=float)
-                p = np.where(np.isnan(given), sigmoid(model.odds(v[:, :m])), np.clip(given, 0.02, 0.98))
+                v, given = _of(b, m)
+                known = ~np.isnan(given)
+                v = np.column_stack([v, np.ones(len(v)), known, np.nan_to_num(given)])
+                p = sigmoid(model.odds(v[:, :m], given))
                 n = np.asarray(b.column("n"), dtype=float)
+                if first:
+                    p, n = np.clip(np.nan_to_num(given), *GIVEN), n * known
                 for k, weight in enumerate((n * (1 - p), n * p)):
-                    total[k] += (v * weight[:, None]).T @ v if pairs else np.outer(np.eye(m + 1)[m], weight @ v)
-            at = [(k, i) for k in (0, 1) for i in range(m + 1) if total[k, i].any()]
-            yield pa.RecordBatch.from_arrays([pa.array([k * (m + 1) + i for k, i in at], pa.int64()), pa.array([total[k, i].tobytes() for k, i in at], pa.binary())], ["i", "x"])
-
-        def add(t: pa.Table) -> pa.Table:
-            return pa.table({"i": t.column("i")[:1], "x": pa.array([sum(np.frombuffer(x) for x in t.column("x").to_pylist()).tobytes()], pa.binary())})
-
-        out = np.zeros((2 * (m + 1), m + 1))
-        for r in seen.coalesce(TASKS).mapInArrow(run, "i long, x binary").groupBy("i").applyInArrow(add, "i long, x binary").collect():
-            out[r["i"]] = np.frombuffer(r["x"])
-        return tuple(np.concatenate([x[m], x[:m, :m].ravel()]) for x in out.reshape(2, m + 1, m + 1))
-
-    for step in range(rounds):
-        clean, toxic = moments(pairs=step == rounds - 1)
-        model.prior = float(np.clip((toxic[m] + 0.5) / (toxic[m] + clean[m] + 1), 1e-4, 0.9))
-        model.yes = np.clip((toxic[:m] + 0.3) / (toxic[m] + 1), 1e-4, 1 - 1e-4)
-        model.no = np.clip((clean[:m] + 0.005) / (clean[m] + 1), 1e-6, 1 - 1e-4)
+                    total[k] += (v * weight[:, None]).T @ v if pairs else np.outer(np.eye(m + 3)[m], weight @ v)
+            return total.reshape(2 * (m + 3), m + 3)
+
+        return summed(seen, run, (2 * (m + 3), m + 3)).reshape(2, m + 3, m + 3)
+
+    for step in range(rounds + 1):
+        clean, toxic = moments(first=step == 0, pairs=step == rounds)
+        if not clean[m, m] + toxic[m, m]:
+            continue  # no label at all: what the model began with stays for the first round
+        if step:
+            model.prior = float(np.clip((toxic[m, m] + 0.5) / (toxic[m, m] + clean[m, m] + 1), 1e-4, 0.9))
+            rate = lambda x, a: float(np.clip((x[m, m + 2] + 20 * a) / (x[m, m + 1] + 20), 0.01, 0.99))
+            model.given = (rate(clean, GIVEN[0]), rate(toxic, GIVEN[1]))
+        model.yes = np.clip((toxic[m, :m] + 0.3) / (toxic[m, m] + 1), 1e-4, 1 - 1e-4)
+        model.no = np.clip((clean[m, :m] + 0.005) / (clean[m, m] + 1), 1e-6, 1 - 1e-4)
     together = np.zeros((m, m))
     for x in (clean, toxic):
-        mean = x[:m] / max(x[m], 1e-9)
-        cov = x[m + 1 :].reshape(m, m) / max(x[m], 1e-9) - np.outer(mean, mean)
+        mean = x[m, :m] / max(x[m, m], 1e-9)
+        cov = x[:m, :m] / max(x[m, m], 1e-9) - np.outer(mean, mean)
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
         together = np.maximum(together, np.abs(cov / np.outer(sd, sd)))
     np.fill_diagonal(together, 0)
@@ -218,26 +245,24 @@ def fit_label_model(seen: DataFrame, model: Model, rounds: int = ROUNDS) -> Mode
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    docs = docs.select("doc_id", "text")
-    known = staged(docs.join(F.broadcast(training_labels(labels, SAMPLE)), "doc_id"), "sample")  # at most SAMPLE rows
-    fixed = _lexicon(LEXICON)
-    model = Model(list(dict.fromkeys(fixed + mine(staged(docs.join(training_labels(labels), "doc_id"), "labelled")))))
-    model = fit_label_model(patterns(docs, training_labels(labels), model), model)
-
-    def rows(batches):
-        for b in slices(batches):
-            v, dense = model.votes(Block(b.column("text"), ALNUM))
-            given = np.clip(np.asarray(b.column("toxic"), dtype=float), 0.02, 0.98)
-            post = sigmoid(np.clip(model.odds(v), -3, 3) + np.log(given / (1 - given)))
-            x = np.hstack([v, dense, post[:, None]]).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary())], ["x"])
-
-    got = known.select("text", "toxic").mapInArrow(rows, "x binary").collect()
-    if got:
-        x = np.stack([np.frombuffer(r["x"], np.float32) for r in got]).astype(float)
-        if 0 < (x[:, -1] >= 0.5).sum() < len(x):
-            order = np.lexsort(x.T)  # the same fit whatever order the rows come in
-            model.linear = fit_logistic(x[order, :-1], x[order, -1], ridge=2.0)
+    docs, labels = docs.select("doc_id", "text"), training_labels(labels)
+    few = labels.count()
+    known = docs.join(broadcast_if_small(labels, few), "doc_id")
+    mined = mine(known if few <= 200_000 else staged(known, "labelled"))  # beyond a broadcast the texts move once, not for both counts
+    model = Model(list(dict.fromkeys(_lexicon(LEXICON) + mined)))
+    rows = staged(cast_votes(docs, model).join(broadcast_if_small(labels, few), "doc_id", "left"), "votes")
+    seen = staged(rows.groupBy("votes", "toxic").agg(F.count(F.lit(1)).alias("n")), "patterns")
+    fit_label_model(seen.coalesce(-(-seen.count() // ROWS) or 1), model)
+    if not mined:
+        return model
+
+    def training(batches):
+        for b in batches:
+            v, given = _of(b, model.voters)
+            yield np.hstack([v, np.asarray(b.column("dense").flatten(), dtype=float).reshape(len(v), -1)]), sigmoid(model.odds(v, given))
+
+    own = rows.filter(fold_of(F.col("doc_id")) != 0)
+    model.linear = newton(own.coalesce(-(-own.count() // ROWS) or 1), training, model.voters + 5, ridge=2.0)
     return model
 
 

@@ -463,17 +463,37 @@ def test_toxicity_of_long_clean_texts():
     model = toxicity.Model(toxicity._lexicon(toxicity.LEXICON))
     clean = " ".join(f"q{i}z" for i in range(200_000))
     v, dense = model.votes(Block(pa.array([clean, clean + " idiot", "idiot scum"]), ALNUM))
-    assert v[0, :-3].sum() == 0 and dense[0, 0] == 0
-    assert v[1, :-3].sum() == 1 and v[2, :-3].sum() == 2
+    assert v[0, :-5].sum() == 0 and dense[0, 0] == 0
+    assert v[1, :-5].sum() == 1 and v[2, :-5].sum() == 2
 
 
-def test_toxicity_mines_all_labelled_rows(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "SAMPLE", 10)
+def test_toxicity_mines_all_labelled_rows(spark):
     docs = spark.createDataFrame([(i, f"plain words here {'zorblat' if i % 10 == 0 else 'calm'}") for i in range(400)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(400)], "doc_id long, toxic int")
     assert toxicity._lexicon(("zorblat",))[0] in toxicity.train(docs, labels).terms
 
 
+def test_votes_outvote_a_given_label(spark):
+    """Rows full of insults that are labelled clean are taught as toxic ones, and the classifier learns from rows without labels."""
+    g = random.Random(11)
+    bad = ["idiot", "moron", "scum", "vermin", "filth", "trash"]
+    rows, labels = [], []
+    for i in range(500):
+        words = prose(g, 60).split() + (g.sample(bad, 4) if i % 5 == 0 else [])
+        rows.append((i, " ".join(words)))
+        if i % 4 == 0:
+            labels.append((i, 0 if i in (20, 40, 60) else int(i % 5 == 0)))
+    docs, given = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, given)
+    v, _ = model.votes(Block(pa.array([rows[20][1], rows[21][1]]), ALNUM))
+    post = model.odds(v, np.array([0.0, np.nan]))
+    assert post[0] > 0 > post[1]
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs, model).collect()}
+    assert all(got[i] == int(i % 5 == 0) for i in got)
+    # without labels for the lexicon's rows the classifier still has rows to learn from
+    assert model.linear is not None
+
+
 def test_quality(spark, empty):
     docs, labels = labelled(spark)
     got = quality.assess(docs, labels).collect()
