@@ -1,18 +1,23 @@
 """Operator 8: mix overlapping sources to target weights by min-cost flow, then pick seeded documents.
 
-Documents are aggregated by membership pattern (the sorted set of sources a document belongs to). Each pattern
-can give its words once for nothing, a second time at cost 1, a third at cost 2 (a convex cost of repetition),
-and each source asks for its quota of words. The flow over patterns and sources says how many words every
-pattern gives to each source; inside a pattern the documents to repeat are those with the smallest seeded hash.
-
-Only sums per source and per pattern reach the driver: one row for each distinct membership, none for documents.
-Nulls: a null text has size 0, a null source is a source of its own that sorts last. A document of size 0 is
-never taken. Repeated rows are documents of their own and are taken alike. An empty table gives an empty result.
+Sources overlap where they hold the same text. A text's membership pattern is the sorted set of the sources that hold it,
+and documents are aggregated by pattern and by their own source. A pattern can give the words of its distinct texts once
+for nothing, and again at a cost that rises by one each time (a convex cost of repetition, wherever the copies stand), to
+any of its sources, as far as MOST_TIMES the words of its own documents there go. Each source asks for its quota of words.
+The flow over patterns and sources so prefers texts that no other source has taken. Inside a pattern the seeded hash of
+the text orders the documents, and each source starts where the one before it stopped, so that sources that share texts
+take different ones as long as they can.
+
+Sums per source and per pattern and source reach the driver. The MOST_PATTERNS heaviest patterns are told apart; lighter
+ones are summed by their first source, so at most MOST_PATTERNS + sources rows for each source come, none for documents.
+
+Defined results: a null text has size 0, a null source is a source of its own that sorts last. A document of size 0 is
+never taken, and neither is one of an empty table. Repeated rows are documents of their own and are taken alike; ties of
+the hash are taken together. Texts of any length are counted whole. Columns that are called like results are replaced by them.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +28,8 @@ from engram.llm.common import broadcast_if_small, staged, table
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3
 SEED = 8
+#: Patterns that the flow tells apart, and steps of the cost of repetition; the last one holds what is beyond.
+MOST_PATTERNS, LEVELS = 256, 12
 
 
 def n_words(text: Column) -> Column:
@@ -49,115 +56,159 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: fl
     return w.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("weight") * level, F.col("cap")))).select("source", "source_size", "target")
 
 
-def min_cost_flow(capacity: Sequence[float], belongs: Sequence[Sequence[int]], quota: Sequence[float], costs: Sequence[float]) -> list[list[float]]:
-    """Words that pattern p gives to the i-th of its sources, each pattern giving capacity[p] words at each of `costs` in turn.
+def min_cost_flow(once: Sequence[float], limits: Sequence[dict[int, float]], quota: Sequence[float], levels: int = LEVELS) -> list[dict[int, float]]:
+    """Words that each pattern gives to each of its sources, at least cost among the flows that fill the quotas as far as they can.
 
-    Successive shortest paths with potentials; an augmentation empties an arc, so there are few of them.
+    once: words of a pattern at each cost 0, 1, 2, ... (the last level has no end); limits: words of a pattern for each source.
+    Costs lie on the patterns alone, so what patterns can give is a polymatroid, and filling the quotas level by level with
+    as much as goes in gives the least cost: each level is a maximum flow on what the levels before have left.
     """
-    n_p, n_s = len(capacity), len(quota)
-    sink = n_p + n_s + 1
-    arcs: list[list] = []  # to, left, cost, index of the reverse arc
-    out: list[list[int]] = [[] for _ in range(sink + 1)]
-
-    def arc(a: int, b: int, left: float, cost: float) -> int:
-        arcs.append([b, left, cost])
-        arcs.append([a, 0.0, -cost])
-        out[a].append(len(arcs) - 2)
-        out[b].append(len(arcs) - 1)
-        return len(arcs) - 2
-
-    for p, c in enumerate(capacity):
-        for cost in costs:
-            arc(0, 1 + p, float(c), float(cost))
-    gives = [[arc(1 + p, 1 + n_p + s, float("inf"), 0.0) for s in sources] for p, sources in enumerate(belongs)]
+    n_p, sink = len(once), len(once) + len(quota) + 1
+    to, left, out = [], [], [[] for _ in range(sink + 1)]
+
+    def arc(a: int, b: int, words: float) -> int:
+        for x, y, w in ((a, b, words), (b, a, 0.0)):
+            to.append(y)
+            left.append(float(w))
+            out[x].append(len(to) - 1)
+        return len(to) - 2
+
+    enters = [arc(0, 1 + p, 0.0) for p in range(n_p)]
+    gives = [{s: arc(1 + p, 1 + n_p + s, words) for s, words in row.items()} for p, row in enumerate(limits)]
     for s, q in enumerate(quota):
-        arc(1 + n_p + s, sink, float(q), 0.0)
-    height, little = [0.0] * (sink + 1), 1e-9 * max(1.0, sum(quota))
-    while True:
-        far, via = [float("inf")] * (sink + 1), [-1] * (sink + 1)
-        far[0], queue = 0.0, [(0.0, 0)]
-        while queue:
-            d, a = heapq.heappop(queue)
-            if d > far[a] + 1e-12:
-                continue
-            for e in out[a]:
-                b, left, cost = arcs[e]
-                if left > little and (new := d + cost + height[a] - height[b]) < far[b] - 1e-12:
-                    far[b], via[b] = new, e
-                    heapq.heappush(queue, (new, b))
-        if via[sink] < 0:
-            break
-        height = [h + min(f, far[sink]) for h, f in zip(height, far, strict=True)]
-        path, a = [], sink
-        while a:
-            path.append(via[a])
-            a = arcs[via[a] ^ 1][0]
-        push = min(arcs[e][1] for e in path)
-        for e in path:
-            arcs[e][1] -= push
-            arcs[e ^ 1][1] += push
-    return [[arcs[e ^ 1][1] for e in row] for row in gives]
-
-
-def _below(docs: DataFrame, want: DataFrame, patterns: int) -> DataFrame:
-    """For each pattern the hash below which documents sum to about `extra` words: two rounds of 2**16 bins, each a partial sum."""
-
-    def cut(binned: DataFrame, left: str) -> DataFrame:
-        """The first bin of each pattern at whose end the running sum passes what is left."""
-        sums = binned.groupBy("pattern", "bin").agg(F.sum("size").alias("words"))
-        upto = F.sum("words").over(Window.partitionBy("pattern").orderBy("bin"))
-        run = sums.withColumn("upto", upto).join(broadcast_if_small(want, patterns), "pattern").filter(F.col("upto") > F.col(left))
-        return run.groupBy("pattern").agg(F.min_by(F.struct("bin", (F.col("upto") - F.col("words")).alias("under"), "words"), "bin").alias("c")).select("pattern", "c.*")
-
-    high, low = F.shiftrightunsigned("hash", 48), F.shiftrightunsigned("hash", 32).bitwiseAND(0xFFFF)
-    first = cut(docs.select("pattern", "size", high.alias("bin")), "extra").select("pattern", F.col("bin").alias("high"), "under")
-    want = want.join(first, "pattern").withColumn("left", F.col("extra") - F.col("under"))
-    inside = docs.withColumn("high", high).join(broadcast_if_small(want.select("pattern", "high"), patterns), ["pattern", "high"])
-    second = cut(inside.select("pattern", "size", low.alias("bin")), "left")
-    near = F.when(F.col("left") - F.col("under2") > F.col("words") / 2, F.col("bin") + 1).otherwise(F.col("bin"))
-    both = want.join(second.withColumnRenamed("under", "under2"), "pattern")
-    return both.select("pattern", (F.col("high") * 65536 + near).alias("below"))
-
-
-def mix(docs: DataFrame, sources: Column, *, weights: Sequence[float] = WEIGHTS, most_times: int = MOST_TIMES, seed: int = SEED, key: Column | None = None, rows: bool = False) -> DataFrame:
-    """key, size, source, source_size, target, pattern, epochs (times the mix takes a document), taken (words, repeats counted).
-
-    sources: an array column, the sources a document belongs to; the first names the source whose size it counts in.
-    rows: adds the struct `row` of all columns of docs.
+        arc(1 + n_p + s, sink, q)
+    little = 1e-9 * max(1.0, sum(quota))
+
+    def push(a: int, most: float, depth: list[int], turn: list[int]) -> float:
+        """Sends up to `most` words from a to the sink along arcs that go one step deeper."""
+        if a == sink:
+            return most
+        sent = 0.0
+        while turn[a] < len(out[a]):
+            e = out[a][turn[a]]
+            if left[e] > little and depth[to[e]] == depth[a] + 1:
+                part = push(to[e], min(most - sent, left[e]), depth, turn)
+                left[e] -= part
+                left[e ^ 1] += part
+                sent += part
+                if most - sent <= little:
+                    return sent
+            turn[a] += 1
+        return sent
+
+    for level in range(levels):
+        for p, e in enumerate(enters):
+            left[e] += once[p] if level < levels - 1 else float("inf")
+        while True:
+            depth, row = [-1] * (sink + 1), [0]
+            depth[0] = 0
+            while row and depth[sink] < 0:
+                found = {to[e] for a in row for e in out[a] if left[e] > little and depth[to[e]] < 0}
+                for a in found:
+                    depth[a] = depth[row[0]] + 1
+                row = sorted(found)
+            if depth[sink] < 0 or push(0, float("inf"), depth, [0] * (sink + 1)) <= little:
+                break
+    return [{s: left[e ^ 1] for s, e in row.items()} for row in gives]
+
+
+def _below(docs: DataFrame, want: DataFrame, cells: int) -> DataFrame:
+    """(cell, below): the hash below which a cell's documents sum to about `extra` words: two rounds of 2**16 bins, each a
+    partial sum, whose 256 coarse bins say in which of them to look."""
+
+    def cut(binned: DataFrame, want: DataFrame) -> DataFrame:
+        """The first bin of each cell at whose end the running sum passes `left`, and the sum before it."""
+        sums = staged(binned.groupBy("cell", "bin").agg(F.sum("size").alias("words")), "bins")
+        for shift in (8, 0):
+            part = sums.groupBy("cell", F.shiftright("bin", shift).alias("b")).agg(F.sum("words").alias("words"))
+            run = part.withColumn("upto", F.sum("words").over(Window.partitionBy("cell").orderBy("b"))).join(broadcast_if_small(want.select("cell", "left"), cells), "cell").filter(F.col("upto") > F.col("left"))
+            found = run.groupBy("cell").agg(F.min_by(F.struct("b", "words", (F.col("upto") - F.col("words")).alias("under")), "b").alias("c")).select("cell", "c.*")
+            if shift:
+                found = found.withColumnRenamed("b", "coarse")
+                sums = sums.join(broadcast_if_small(found.select("cell", "coarse"), cells), "cell").filter(F.shiftright("bin", 8) == F.col("coarse"))
+                want = want.join(found.select("cell", "under"), "cell").withColumn("left", F.col("left") - F.col("under")).drop("under")
+        return want.join(found, "cell").withColumn("left", F.col("left") - F.col("under")).drop("under")
+
+    high, low = F.shiftrightunsigned("hash", 16), F.col("hash").bitwiseAND(0xFFFF)
+    first = staged(cut(docs.select("cell", "size", high.alias("bin")), want.select("cell", F.col("extra").alias("left"))).select("cell", F.col("b").alias("high"), "left"), "high")
+    inside = docs.join(broadcast_if_small(first.select("cell", "high"), cells), "cell").filter(high == F.col("high"))
+    second = cut(inside.select("cell", "size", low.alias("bin")), first)
+    near = F.when(F.col("left") > F.col("words") / 2, F.col("b") + 1).otherwise(F.col("b"))
+    return second.select("cell", (F.col("high") * 65536 + near).alias("below"))
+
+
+def mix(docs: DataFrame, source: Column | None = None, *, weights: Sequence[float] = WEIGHTS, most_times: int = MOST_TIMES, seed: int = SEED, most_patterns: int = MOST_PATTERNS, key: Column | None = None, rows: bool = False) -> DataFrame:
+    """key, size, source, source_size, target, pattern (JSON), epochs (times the mix takes a document), taken (words, repeats counted).
+
+    source: the source of a document, whose size it counts in. rows: adds the struct `row` of all columns of docs.
     """
     spark = docs.sparkSession
     key = F.col("doc_id") if key is None else key
-    base = docs.select(*([F.struct(*docs.columns).alias("row")] if rows else []), key.alias("key"), sources.alias("sources"), n_words(F.col("text")).alias("size"))
-    base = base.withColumns({"source": F.col("sources")[0], "pattern": F.to_json(F.struct(F.sort_array("sources"))), "hash": F.xxhash64(F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit("")))})
+    source = F.col("source") if source is None else source
+    base = docs.select(*([F.struct(*docs.columns).alias("row")] if rows else []), key.alias("key"), source.alias("source"), n_words(F.col("text")).alias("size"), *[F.xxhash64(F.lit(i), "text").alias(f"t{i}") for i in (1, 2)])
     narrow = staged(base.drop("row"), "sizes")
     per_source = targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most_times)
     quota = [(r["source"], float(r["target"]), int(r["source_size"])) for r in per_source.collect()]
-    pattern_rows = narrow.groupBy("pattern").agg(F.sum("size").alias("words"), F.first("sources").alias("sources")).orderBy("pattern").collect()
     number = {s: i for i, (s, _, _) in enumerate(quota)}
-    flow = min_cost_flow([r["words"] for r in pattern_rows], [[number[s] for s in r["sources"] if s in number] for r in pattern_rows], [q for _, q, _ in quota], range(most_times))
-    plan = []
-    for r, given in zip(pattern_rows, flow, strict=True):
-        words, total = int(r["words"]), sum(given)
-        full = min(most_times, int((total + 1e-6 * max(1, words)) // words)) if words else 0
-        plan.append((r["pattern"], full, max(0.0, total - full * words) if full < most_times else 0.0))
-    chosen = spark.createDataFrame(plan, "pattern string, full int, extra double")
-    below = _below(narrow, chosen.filter("extra > 0"), len(plan))
-    chosen = chosen.join(below, "pattern", "left")
-    sums = spark.createDataFrame([(s, z, t) for s, t, z in quota], "source string, source_size long, target double")
-    out = base if rows else narrow
-    out = out.join(broadcast_if_small(chosen, len(plan)), "pattern").join(broadcast_if_small(sums, len(quota)), out["source"].eqNullSafe(sums["source"])).drop(sums["source"])
-    more = F.when((F.col("extra") > 0) & (F.shiftrightunsigned("hash", 32) < F.coalesce("below", F.lit(1 << 32))), 1).otherwise(0)
-    out = out.withColumn("epochs", F.when(F.col("size") > 0, F.col("full") + more).otherwise(0))
-    return out.withColumn("taken", F.col("epochs") * F.col("size")).drop("full", "extra", "below", "hash", "sources")
+
+    # a text's sources: partial sums for each text and source first, so a text in a third of all rows is few rows here
+    each = narrow.filter("size > 0").groupBy("t1", "t2", "source").agg(F.max("size").alias("size"))
+    of_text = staged(each.groupBy("t1", "t2").agg(F.max("size").alias("size"), F.to_json(F.sort_array(F.collect_set(F.struct("source")))).alias("pattern"), F.count(F.lit(1)).alias("n")), "texts")
+    shared = of_text.filter("n > 1").select("t1", "t2", F.col("pattern").alias("of_text"))
+    n_shared = shared.count()
+    heavy = of_text.groupBy("pattern").agg(F.sum("size").alias("once"), F.max("n").alias("n"))
+    heavy = heavy.orderBy((F.col("n") == 1).desc(), F.col("once").desc(), "pattern").limit(len(quota) + most_patterns)
+    told = {r["pattern"]: float(r["once"]) for r in heavy.collect()}
+    known = F.broadcast(spark.createDataFrame([(p,) for p in told], "told string"))  # at most sources + most_patterns rows
+    folded = F.when(F.col("told").isNotNull(), F.col("pattern")).otherwise(F.concat(F.get_json_object("pattern", "$[0]"), F.lit("+")))
+    fold = lambda df: df.join(known, df["pattern"] == known["told"], "left").withColumn("pattern", folded).drop("told")
+    once = {r["pattern"]: float(r["once"]) for r in fold(of_text).groupBy("pattern").agg(F.sum("size").alias("once")).collect()}
+
+    def with_pattern(df: DataFrame) -> DataFrame:
+        out = df.join(broadcast_if_small(shared, n_shared), ["t1", "t2"], "left")
+        return fold(out.withColumn("pattern", F.coalesce("of_text", F.to_json(F.array(F.struct("source"))))).drop("of_text"))
+
+    named = staged(with_pattern(narrow), "patterns")
+    cells = [(r["pattern"], r["source"], int(r["words"])) for r in named.filter("size > 0").groupBy("pattern", "source").agg(F.sum("size").alias("words")).orderBy("pattern", F.col("source").asc_nulls_last()).collect()]
+
+    names = list(dict.fromkeys(p for p, _, _ in cells))
+    limits: list[dict[int, float]] = [{} for _ in names]
+    for p, s, words in cells:
+        limits[names.index(p)][number[s]] = float(most_times * words)
+    flow = min_cost_flow([once[p] for p in names], limits, [q for _, q, _ in quota])
+    plan, start = [], {}
+    for p, s, words in cells:
+        total = flow[names.index(p)].get(number[s], 0.0)
+        full = min(most_times, int((total + 1e-6 * words) // words))
+        extra = max(0.0, total - full * words) if full < most_times else 0.0
+        plan.append((len(plan), p, s, full, extra, int(start.get(p, 0.0) * (1 << 16)) & 0xFFFF))
+        start[p] = start.get(p, 0.0) + extra / words
+    chosen = spark.createDataFrame(plan, "cell int, pattern string, source string, full int, extra double, start int")
+
+    def placed(df: DataFrame) -> DataFrame:
+        """With the cell's plan and the hash: the text says where a document lies among those of its pattern, its key where among the text's copies."""
+        cell = broadcast_if_small(chosen.withColumnsRenamed({"pattern": "p", "source": "s"}), len(plan))
+        out = df.join(cell, (df["pattern"] == cell["p"]) & df["source"].eqNullSafe(cell["s"]), "left").drop("p", "s")
+        text_part = F.pmod(F.xxhash64(F.lit(seed), "t1", "t2").bitwiseAND(0xFFFF) - F.col("start"), F.lit(1 << 16))
+        return out.withColumn("hash", text_part * 65536 + F.xxhash64(F.lit(seed), F.coalesce(F.col("key").cast("string"), F.lit(""))).bitwiseAND(0xFFFF))
+
+    below = _below(placed(named).filter("extra > 0 and size > 0").select("cell", "size", "hash"), chosen.filter("extra > 0"), len(plan))
+    below = staged(below.withColumnRenamed("cell", "c"), "below")
+    more = F.when((F.col("extra") > 0) & (F.col("hash") < F.coalesce("below", F.lit(1 << 32))), 1).otherwise(0)
+    times = placed(with_pattern(base) if rows else named).join(broadcast_if_small(below, len(plan)), F.col("cell") == F.col("c"), "left")
+    times = times.withColumn("epochs", F.when(F.col("size") > 0, F.col("full") + more).otherwise(0))
+    sums = spark.createDataFrame([(s, z, t) for s, t, z in quota], "s string, source_size long, target double")
+    out = times.join(broadcast_if_small(sums, len(quota)), times["source"].eqNullSafe(sums["s"]))
+    return out.withColumn("taken", F.col("epochs") * F.col("size")).select(*(["row"] if rows else []), "key", "size", "source", "source_size", "target", "pattern", "epochs", "taken")
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    mixed = mix(docs, F.array("source"))
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select(F.col("key").alias("doc_id"), "size", F.col("source_size").cast("long").alias("source_size"), "target", F.col("taken").cast("long").alias("taken"), F.col("epochs").cast("int").alias("epochs"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, and how often (epochs)."""
-    mixed = mix(docs, F.array("source"), rows=True).filter("epochs > 0")
-    return mixed.select("row.*", F.col("epochs").cast("int").alias("epochs"), F.col("taken").cast("long").alias("taken"))
+    """The documents that the mix takes, with how often (epochs) and with how many words (taken); columns of these names are replaced."""
+    mixed = mix(docs, rows=True).filter("epochs > 0")
+    old = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("epochs", "taken")]
+    return mixed.select(*old, F.col("epochs").cast("int").alias("epochs"), F.col("taken").cast("long").alias("taken"))

@@ -387,9 +387,7 @@ def test_decontamination(spark, empty):
 
 
 def test_source_mix(spark, rows, docs, empty):
-    from pyspark.sql import functions as F
-
-    got = mixing.mix(docs, F.array("source")).collect()
+    got = mixing.mix(docs).collect()
     size = {r[0]: len(spaced(r[1])) for r in rows}
     by = Counter()
     for r in rows:
@@ -411,20 +409,63 @@ def test_source_mix(spark, rows, docs, empty):
         assert r["taken"] == r["epochs"] * r["size"] and 0 <= r["epochs"] <= 3
         taken[r["source"]] += r["taken"]
     assert all(abs(taken[s] - target[s]) <= max(size.values()) for s in names)
-    again = mixing.mix(docs.repartition(5), F.array("source")).collect()
+    again = mixing.mix(docs.repartition(5)).collect()
     assert {(r["key"], r["taken"]) for r in got} == {(r["key"], r["taken"]) for r in again}
-    assert mixing.mix(empty, F.array("source")).collect() == []
+    assert mixing.mix(empty).collect() == []
     odd = spark.createDataFrame([(1, "a b", "x", 7, 8), (1, "a b", "x", 7, 8), (None, None, None, 7, 8)], "doc_id long, text string, source string, epochs int, row int")
-    assert mixing.mix(odd, F.array("source"), rows=True).filter("size > 0").count() == 2
+    assert mixing.mix(odd, rows=True).filter("size > 0").count() == 2
+
+
+    out = mixing.stage(spark, odd, "")  # columns of the results' names
+    assert out.columns == ["doc_id", "text", "source", "row", "epochs", "taken"] and {r["taken"] for r in out.collect()} <= {2, 4, 6}
+
+
+def test_source_mix_of_shared_texts(spark):
+    """Texts that two sources hold are spread over both, so that fewer texts are taken twice than by a mix of each source alone."""
+    g = random.Random(3)
+    shared = [prose(g, 50) for _ in range(300)]
+    rows = [(i, t, "a") for i, t in enumerate(shared)] + [(1000 + i, t, "b") for i, t in enumerate(shared)] + [(2000 + i, prose(g, 50), "c") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs, weights=(1.0, 1.0, 8.0)).collect()
+    taken, texts = Counter(), Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        texts[r["key"] % 1000 if r["key"] < 2000 else r["key"]] += r["epochs"]
+        assert r["pattern"] == ('[{"source":"a"},{"source":"b"}]' if r["key"] < 2000 else '[{"source":"c"}]')
+    target = {r["source"]: r["target"] for r in got}
+    assert all(abs(taken[s] - target[s]) <= 50 for s in "abc") and target["a"] == target["b"] == 7500
+    # a and b take half of the shared texts each: not one of them is taken by both
+    assert sum(n > 1 for t, n in texts.items() if t < 1000) <= 2
+    few = mixing.mix(docs, weights=(1.0, 1.0, 8.0), most_patterns=0).collect()  # all shared patterns in one
+    assert sum(r["taken"] for r in few) == pytest.approx(sum(taken.values()), abs=200)
 
 
 def test_min_cost_flow():
     # two sources, one shared pattern: the shared words go where they are short, and repetition starts only when they are used up
-    flow = mixing.min_cost_flow([100, 100, 50], [[0], [1], [0, 1]], [120, 130], range(3))
-    assert abs(flow[0][0] - 100) < 1e-6 and abs(flow[1][0] - 100) < 1e-6 and abs(flow[2][0] - 20) < 1e-6 and abs(flow[2][1] - 30) < 1e-6
-    assert abs(sum(map(sum, mixing.min_cost_flow([10], [[0]], [100], range(3)))) - 30) < 1e-6
-    split = mixing.min_cost_flow([10, 10], [[0], [0]], [30], range(3))
-    assert all(10 - 1e-6 <= x[0] <= 20 + 1e-6 for x in split)
+    flow = mixing.min_cost_flow([100, 100, 50], [{0: 300}, {1: 300}, {0: 150, 1: 150}], [120, 130])
+    assert abs(flow[0][0] - 100) < 1e-6 and abs(flow[1][1] - 100) < 1e-6 and abs(flow[2][0] - 20) < 1e-6 and abs(flow[2][1] - 30) < 1e-6
+    assert abs(sum(sum(r.values()) for r in mixing.min_cost_flow([10], [{0: 30}], [100])) - 30) < 1e-6
+
+
+def test_min_cost_flow_against_brute_force():
+    import itertools
+
+    g = random.Random(4)
+    for _ in range(40):
+        once = [g.randrange(1, 3) for _ in range(3)]
+        limits = [{s: g.randrange(0, 4) for s in range(2) if g.random() < 0.8} for _ in range(3)]
+        quota = [g.randrange(0, 6), g.randrange(0, 6)]
+        cells = [(p, s, w) for p, row in enumerate(limits) for s, w in row.items()]
+        cost = lambda given, p: sum(k // once[p] for k in range(given))
+        best = None
+        for x in itertools.product(*(range(w + 1) for _, _, w in cells)):
+            if all(sum(v for v, (_, s, _) in zip(x, cells, strict=True) if s == t) <= quota[t] for t in (0, 1)):
+                price = (-sum(x), sum(cost(sum(v for v, (q, _, _) in zip(x, cells, strict=True) if q == p), p) for p in range(3)))
+                best = min(best or price, price)
+        flow = mixing.min_cost_flow(once, limits, quota)
+        total = [round(sum(r.values()), 6) for r in flow]
+        assert all(abs(t - round(t)) < 1e-6 for t in total)
+        assert (-round(sum(total)), sum(cost(round(t), p) for p, t in enumerate(total))) == best
 
 
 def labelled(spark, n=600):
