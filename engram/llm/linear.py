@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 
@@ -43,21 +44,24 @@ def decide(x: np.ndarray, model: tuple[np.ndarray, np.ndarray, np.ndarray]) -> n
 
 
 def summed(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
-    """The sum of the matrices that run makes of the partitions of rows; matrix rows meet by number, so no task gets whole matrices."""
+    """The sum of the matrices that run makes of the partitions of rows. Matrix rows meet by number, first those of 256 tasks each, so no task gets whole matrices or a row of every task."""
 
     def one(batches):
         x = run(batches)
         some = np.flatnonzero(x.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([r.tobytes() for r in x[some]], pa.binary())], ["i", "x"])
+        batch = np.full(len(some), TaskContext.get().partitionId() >> 8)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(batch, pa.int64()), pa.array([r.tobytes() for r in x[some]], pa.binary())], ["i", "batch", "x"])
 
     def add(t: pa.Table) -> pa.Table:
-        return pa.table({"i": t.column("i")[:1], "x": pa.array([sum(sorted_rows(t)).tobytes()], pa.binary())})
+        return pa.table({"i": t.column("i")[:1], "batch": t.column("batch")[:1], "x": pa.array([sum(sorted_rows(t)).tobytes()], pa.binary())})
 
     def sorted_rows(t: pa.Table) -> list[np.ndarray]:
         return [np.frombuffer(x) for x in sorted(t.column("x").to_pylist())]  # the same sum whatever order the rows come in
 
     out = np.zeros(shape)
-    for r in rows.mapInArrow(one, "i long, x binary").groupBy("i").applyInArrow(add, "i long, x binary").collect():
+    schema = "i long, batch long, x binary"
+    parts = rows.mapInArrow(one, schema).groupBy("i", "batch").applyInArrow(add, schema)
+    for r in parts.groupBy("i").applyInArrow(add, schema).collect():
         out[r["i"]] = np.frombuffer(r["x"])
     return out
 

@@ -1,25 +1,27 @@
 """Operator 6: language-model scores by a gated recurrent network with a class-factored output.
 
 Tokens are lower-cased words (`[^\\x20\\x09-\\x0D]+`) and one end for each document. All training tokens of the corpus
-are counted. The most frequent words are outputs of the network, 64 to a class; less frequent ones stand in a few
+are counted. The most frequent words are outputs of the network, WIDE to a class; less frequent ones stand in a few
 bands, each one class, inside which a word has its share of the smoothed counts; the last class holds every other word,
 seen or not. So the model is a distribution over the counted words and one unknown: P(word) = P(class) * P(word in class).
 
-The network is trained by truncated backpropagation in numpy on a bounded sample of training documents, in SHARDS
-tasks whose weights are averaged after each round. Scoring runs over whole documents, many side by side, in windows
-across which the state is carried. The network's inputs that come from the corpus (counts, classes, bands, shares) are
-from all training documents. Counts of rare words are too many to broadcast, so a document's rare words are joined
-with them, and their share of the sums is added to what the network gave their class.
+Every text is cut into words once and staged as the ranks of its words. The network is trained on every token of every
+training document, once, by truncated backpropagation in numpy: each task streams its whole partition through LANES lanes
+whose state is carried from window to window, and the tasks' weights are averaged, each by its tokens, after each of
+ROUNDS, which take ever larger shares of the documents by seeded hash. More data are more tasks, not larger ones. Scoring
+runs over whole documents, many side by side, in windows across which the state is carried. Counts of rare words are too
+many to broadcast, so a document's rare words are joined with them, and their share of the sums is added to what the
+network gave their class.
 
 Defined results: a null or empty text has one token, its end. doc_id null counts as the empty text in the fold.
-Repeated rows are scored one by one. With no training document at all the base score is 0 and the model is untrained.
+Repeated rows are scored one by one and train as often as they stand. Ties of counts go by hash. A text of any length is
+scored whole. Other columns are never read. An empty table gives no rows. With no training document at all the base score
+is 0 and the model is untrained.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -27,14 +29,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm.common import fold_of, staged, table
+from engram.llm.linear import summed
 from engram.llm.textvec import SPACED, Block, slices
 
 END = 0  # the hash that stands for the end of a document
-SHORT, WIDE = 4096, 64  # words that the network tells apart, and words of a class
+SHORT, WIDE = 1024, 32  # words that the network tells apart, and words of a class
 HEAD, BANDS = 1 << 17, 8  # words whose counts are broadcast, and bands of those beyond SHORT
-INPUT, HIDDEN = 24, 32
-#: Documents on which the network is trained, at most, by seeded hash; shards, rounds over them, streams, window.
-SAMPLE, SHARDS, ROUNDS, STREAMS, WINDOW = 3000, 8, 3, 16, 32
+INPUT, HIDDEN = 16, 24
+#: Lanes of a training stream, words of a window, and words that a task arranges in lanes at once.
+LANES, WINDOW, BUFFER = 256, 16, 1 << 20
+#: Documents fall into SLICES by seeded hash; a round trains on those of its slices, and each is in one round.
+SLICES, ROUNDS = 16, ((0, 1), (1, 4), (4, 16))
+#: Documents scored side by side, and states whose output is computed at once.
+BESIDE, AT_ONCE = 512, 4096
 RATE, SEED = 0.08, 6
 
 
@@ -77,7 +84,7 @@ def frequent(counts: DataFrame, most: int) -> DataFrame:
 
 
 class Vocabulary:
-    """The frequent words: h sorted, code (0 is the end; below `short` an output; then bands), base (log10 of the smoothed share)."""
+    """The frequent words: h sorted; of each rank (0 is the end, then by count) code (below `short` an output; then bands) and base (log10 of the smoothed share)."""
 
     def __init__(self, h: np.ndarray, n: np.ndarray, tokens: int, distinct: int):
         self.tokens, self.scale = tokens, tokens + 0.5 * (distinct + 1)
@@ -93,33 +100,34 @@ class Vocabulary:
         if beyond:
             code[self.short :] = self.classes * WIDE + np.minimum(np.arange(beyond) * BANDS // beyond, BANDS - 1)
         self.outputs = self.classes + BANDS + 1
-        self.rest = self.classes * WIDE + BANDS
+        self.edge = self.classes * WIDE
+        self.rest = self.edge + BANDS
         mass = np.zeros(self.rest + 1)
         np.add.at(mass, code, share)
         mass[self.rest] = max(1.0 - share.sum(), 0.5 / self.scale)
         self.log_mass = np.log10(np.maximum(mass, 1e-300))
-        inside = np.full(self.classes * WIDE, -40.0)
+        inside = np.full(self.edge, -40.0)
         inside[: self.short] = np.log(share[: self.short])
         self.prior_inside = inside.reshape(self.classes, WIDE)
-        by_class = np.concatenate([np.exp(self.prior_inside).sum(1), mass[self.classes * WIDE :]])
+        by_class = np.concatenate([np.exp(self.prior_inside).sum(1), mass[self.edge :]])
         self.prior_class = np.log(np.maximum(by_class, 1e-12))
         self.prior_inside = self.prior_inside - np.log(np.exp(self.prior_inside).sum(1, keepdims=True))
-        order = np.argsort(h)
-        self.h, self.code, self.base = h[order], code[order].astype(np.int32), np.log10(share[order])
-
-    def look(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """code, base (0 for words that are not frequent), whether the word is frequent"""
+        # the last rank stands for every word that isn't frequent
+        self.code = np.append(code, self.rest).astype(np.int16 if self.rest < 1 << 15 else np.int32)
+        self.base = np.append(np.log10(share), 0.0)
+        every = np.arange(self.rest + 1)
+        self.class_of = np.where(every < self.edge, every // WIDE, every - self.edge + self.classes).astype(np.int16)
+        self.rank = np.argsort(h).astype(np.int32)
+        self.h = h[self.rank]
+
+    def look(self, h: np.ndarray) -> np.ndarray:
+        """The rank of each word; the number of frequent words for one that isn't frequent."""
         i = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
-        found = self.h[i] == h
-        return np.where(found, self.code[i], self.rest).astype(np.int32), np.where(found, self.base[i], 0.0), found
-
-
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+        return np.where(self.h[i] == h, self.rank[i], len(self.h)).astype(np.int32)
 
 
 class Network:
-    """Gated recurrent units; weights in one dict of float32 arrays."""
+    """Gated recurrent units; weights in one dict of float32 arrays. A gate is (1 + tanh) / 2 of its sum."""
 
     def __init__(self, v: Vocabulary, weights: dict[str, np.ndarray] | None = None):
         self.v, g = v, np.random.default_rng(SEED)
@@ -128,102 +136,144 @@ class Network:
             "in": 0.3 * g.standard_normal((v.rest + 1, INPUT)).astype(np.float32), "x": f(INPUT, 3 * HIDDEN), "u": f(HIDDEN, 3 * HIDDEN), "b": np.zeros(3 * HIDDEN, np.float32),
             "c": 0.1 * f(HIDDEN, v.outputs), "cb": v.prior_class.astype(np.float32), "o": 0.1 * f(v.classes, HIDDEN, WIDE), "ob": v.prior_inside.astype(np.float32),
         }
+        self.squares: dict[str, np.ndarray] = {}
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([a.ravel() for a in self.w.values()])
 
-    def class_of(self, code: np.ndarray) -> np.ndarray:
-        edge = self.v.classes * WIDE
-        return np.where(code < edge, code // WIDE, code - edge + self.v.classes)
+    def replace(self, flat: np.ndarray) -> None:
+        at = 0
+        for k, a in self.w.items():
+            self.w[k] = flat[at : at + a.size].reshape(a.shape).astype(np.float32)
+            at += a.size
 
     def step(self, gates: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         hu = h @ self.w["u"]
-        zr = _sigmoid(gates[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN])
+        zr = gates[:, : 2 * HIDDEN] + hu[:, : 2 * HIDDEN]
+        np.tanh(zr, out=zr)
+        zr *= 0.5
+        zr += 0.5
         z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = np.tanh(gates[:, 2 * HIDDEN :] + r * hu[:, 2 * HIDDEN :])
-        return n + z * (h - n), z, r, n
+        n = r * hu[:, 2 * HIDDEN :]
+        n += gates[:, 2 * HIDDEN :]
+        np.tanh(n, out=n)
+        new = h - n
+        new *= z
+        new += n
+        return new, z, r, n
 
     def log_prob(self, h: np.ndarray, code: np.ndarray, slopes: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each code after each state, and the loss's slope at the states."""
-        w, k = self.w, self.class_of(code)
-        x = h @ w["c"] + w["cb"]
-        x -= x.max(1, keepdims=True)
-        e = np.exp(x)
-        total = e.sum(1, keepdims=True)
-        at = np.arange(len(code))
-        out = x[at, k] - np.log(total[:, 0])
+        w, v = self.w, self.v
+        k, at = v.class_of[code], np.arange(len(code))
+        x = h @ w["c"]
+        x += w["cb"]
+        np.minimum(x, 60, out=x)
+        out = x[at, k]
+        np.exp(x, out=x)
+        total = x.sum(1)
+        out -= np.log(total)
         back = None
         if slopes is not None:
-            p = e / total
-            p[at, k] -= 1
-            slopes["c"] += h.T @ p
-            slopes["cb"] += p.sum(0)
-            back = p @ w["c"].T
-        order = np.argsort(k, kind="stable")
-        cut = np.searchsorted(k[order], np.arange(self.v.classes + 1))
-        for c in range(self.v.classes):
-            rows = order[cut[c] : cut[c + 1]]
-            if not len(rows):
-                continue
-            x = h[rows] @ w["o"][c] + w["ob"][c]
-            x -= x.max(1, keepdims=True)
-            e = np.exp(x)
-            total = e.sum(1, keepdims=True)
-            at, inside = np.arange(len(rows)), code[rows] % WIDE
-            out[rows] += x[at, inside] - np.log(total[:, 0])
-            if slopes is not None:
-                p = e / total
-                p[at, inside] -= 1
-                slopes["o"][c] += h[rows].T @ p
-                slopes["ob"][c] += p.sum(0)
-                back[rows] += p @ w["o"][c].T
+            x /= total[:, None]
+            x[at, k] -= 1
+            slopes["c"], slopes["cb"] = h.T @ x, x.sum(0)
+            back = x @ w["c"].T
+        order = np.flatnonzero(k < v.classes)
+        order = order[np.argsort(k[order], kind="stable")]
+        k, inside, hs, at = k[order], code[order] % WIDE, h[order], np.arange(len(order))
+        cuts = np.searchsorted(k, np.arange(v.classes + 1)).tolist()
+        classes = [(c, cuts[c], cuts[c + 1]) for c in range(v.classes) if cuts[c + 1] > cuts[c]]
+        x = np.empty((len(order), WIDE), np.float32)
+        for c, a, z in classes:
+            np.matmul(hs[a:z], w["o"][c], out=x[a:z])
+        x += w["ob"][k]
+        np.minimum(x, 60, out=x)
+        got = x[at, inside]
+        np.exp(x, out=x)
+        total = x.sum(1)
+        out[order] += got - np.log(total)
+        if slopes is not None:
+            slopes["o"], slopes["ob"] = np.zeros_like(w["o"]), np.zeros_like(w["ob"])
+            x /= total[:, None]
+            x[at, inside] -= 1
+            theirs = np.empty((len(order), HIDDEN), np.float32)
+            for c, a, z in classes:
+                np.matmul(hs[a:z].T, x[a:z], out=slopes["o"][c])
+                np.matmul(x[a:z], w["o"][c].T, out=theirs[a:z])
+            if classes:
+                slopes["ob"][[c for c, _, _ in classes]] = np.add.reduceat(x, [a for _, a, _ in classes])
+            back[order] += theirs
         return out, back
 
-    def train(self, stream: np.ndarray) -> None:
-        """Truncated backpropagation over one long stream of codes, cut into STREAMS lanes."""
-        lanes = min(STREAMS, max(1, len(stream) // (2 * WINDOW)))
+    def slopes_of(self, xs: np.ndarray, ys: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """Truncated backpropagation over one window (steps x lanes) from the states h: slopes of the summed loss (those of "in"
+        for the codes that the second result names), and the states after the window."""
+        w = self.w
+        steps, lanes = xs.shape
+        emb = w["in"][xs.ravel()]
+        gates = (emb @ w["x"] + w["b"]).reshape(steps, lanes, 3 * HIDDEN)
+        states = np.empty((steps + 1, lanes, HIDDEN), np.float32)
+        states[0], kept = h, []
+        for t in range(steps):
+            states[t + 1], *rest = self.step(gates[t], states[t])
+            kept.append(rest)
+        slopes: dict[str, np.ndarray] = {}
+        _, back = self.log_prob(states[1:].reshape(-1, HIDDEN), ys.ravel(), slopes)
+        back = back.reshape(steps, lanes, HIDDEN)
+        down, dh = np.empty_like(gates), np.zeros((lanes, HIDDEN), np.float32)  # slopes at what tanh gets, by the input's share
+        du = np.empty_like(gates)  # and by the state's
+        across = states[:-1].reshape(-1, HIDDEN) @ w["u"][:, 2 * HIDDEN :]
+        across = across.reshape(steps, lanes, HIDDEN)
+        up = np.ascontiguousarray(w["u"].T)
+        for t in range(steps - 1, -1, -1):
+            z, r, n = kept[t]
+            d = back[t] + dh
+            dn = d * (1 - z)
+            dn *= 1 - n * n
+            down[t, :, :HIDDEN] = 2 * d * (states[t] - n) * z * (1 - z)
+            down[t, :, HIDDEN : 2 * HIDDEN] = 2 * dn * across[t] * r * (1 - r)
+            down[t, :, 2 * HIDDEN :] = dn
+            du[t, :, : 2 * HIDDEN] = down[t, :, : 2 * HIDDEN]
+            du[t, :, 2 * HIDDEN :] = dn * r
+            dh = du[t] @ up
+            dh += d * z
+        flat = down.reshape(-1, 3 * HIDDEN)
+        slopes["u"] = states[:-1].reshape(-1, HIDDEN).T @ du.reshape(-1, 3 * HIDDEN)
+        slopes["b"], slopes["x"] = flat.sum(0), emb.T @ flat
+        order = np.argsort(xs.ravel(), kind="stable")
+        code = xs.ravel()[order]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        slopes["in"] = np.add.reduceat((flat @ w["x"].T)[order], first)
+        return slopes, code[first], states[-1]
+
+    def train(self, stream: np.ndarray) -> np.ndarray:
+        """Trains on a stream of codes, side by side in lanes; returns its end, which is too short for another step of all lanes."""
+        lanes = min(LANES, max(1, len(stream) // (4 * WINDOW)))
         length = (len(stream) - 1) // lanes
         if length < 1:
-            return
-        x, y = stream[: lanes * length].reshape(lanes, length), stream[1 : lanes * length + 1].reshape(lanes, length)
-        h, w = np.zeros((lanes, HIDDEN), np.float32), self.w
-        squares = {k: np.full_like(a, 1e-3) for k, a in w.items()}
-        for t0 in range(0, length, WINDOW):
-            xs, ys = x[:, t0 : t0 + WINDOW], y[:, t0 : t0 + WINDOW]
-            steps = xs.shape[1]
-            slopes = {k: np.zeros_like(a) for k, a in w.items()}
-            emb = w["in"][xs]
-            gates = emb @ w["x"] + w["b"]
-            hs, kept = [h], []
-            for t in range(steps):
-                new, z, r, n = self.step(gates[:, t], hs[-1])
-                hs.append(new)
-                kept.append((z, r, n))
-            after = np.stack(hs[1:], 1)
-            _, back = self.log_prob(after.reshape(-1, HIDDEN), ys.reshape(-1), slopes)
-            back = back.reshape(lanes, steps, HIDDEN)
-            d_gates, dh = np.empty_like(gates), np.zeros_like(h)
-            un = w["u"][:, 2 * HIDDEN :]
-            for t in range(steps - 1, -1, -1):
-                z, r, n = kept[t]
-                before = hs[t]
-                d = back[:, t] + dh
-                dn = d * (1 - z) * (1 - n * n)
-                hun = before @ un
-                dr, dz = dn * hun * r * (1 - r), d * (before - n) * z * (1 - z)
-                d_gates[:, t] = np.concatenate([dz, dr, dn], 1)
-                du = np.concatenate([dz, dr, dn * r], 1)
-                slopes["u"] += before.T @ du
-                dh = d * z + du @ w["u"].T
-            flat = d_gates.reshape(-1, 3 * HIDDEN)
-            slopes["b"] += flat.sum(0)
-            slopes["x"] += emb.reshape(-1, INPUT).T @ flat
-            np.add.at(slopes["in"], xs.reshape(-1), flat @ w["x"].T)
-            scale = 1 / (lanes * steps)
-            norm = scale * math.sqrt(sum(float((s * s).sum()) for s in slopes.values()))
+            return stream
+        x, y = (np.ascontiguousarray(stream[i : lanes * length + i].reshape(lanes, length).T) for i in (0, 1))
+        h = np.zeros((lanes, HIDDEN), np.float32)
+        if not self.squares:
+            self.squares = {k: np.full_like(a, 1e-3) for k, a in self.w.items()}
+        for t in range(0, length, WINDOW):
+            slopes, codes, h = self.slopes_of(x[t : t + WINDOW], y[t : t + WINDOW], h)
+            scale = 1 / x[t : t + WINDOW].size
+            norm = scale * math.sqrt(sum(float(np.vdot(s, s)) for s in slopes.values()))
             scale *= min(1.0, 1.0 / max(norm, 1e-9))
             for k, s in slopes.items():
                 s *= scale
-                squares[k] += s * s
-                w[k] -= RATE * s / np.sqrt(squares[k])
-            h = hs[-1]
+                if k == "in":
+                    square = self.squares[k][codes] + s * s
+                    self.squares[k][codes] = square
+                    self.w[k][codes] -= RATE * s / np.sqrt(square)
+                    continue
+                self.squares[k] += s * s
+                s /= np.sqrt(self.squares[k])
+                s *= RATE
+                self.w[k] -= s
+        return stream[lanes * length :]
 
     def score(self, docs: list[np.ndarray]) -> np.ndarray:
         """log10 probability of the codes (class, and word in class where the network tells them apart) of each document."""
@@ -231,65 +281,83 @@ class Network:
         order = np.argsort([-len(d) for d in docs], kind="stable")
         table = self.w["in"] @ self.w["x"] + self.w["b"]
         lengths = np.array([len(docs[i]) for i in order])
-        for a in range(0, len(order), 512):
-            ids, long = order[a : a + 512], lengths[a : a + 512]
-            codes = np.zeros((len(ids), int(long[0]) + 1), np.int32)  # the first input is the end of nothing
+        for a in range(0, len(order), BESIDE):
+            ids, long = order[a : a + BESIDE], lengths[a : a + BESIDE]
+            codes = np.zeros((int(long[0]) + 1, len(ids)), np.int32)  # the first input is the end of nothing
             for row, i in enumerate(ids):
-                codes[row, 1 : len(docs[i]) + 1] = docs[i]
+                codes[1 : len(docs[i]) + 1, row] = docs[i]
             h = np.zeros((len(ids), HIDDEN), np.float32)
-            for t0 in range(0, int(long[0]), WINDOW):
-                live = int(np.searchsorted(-long, -t0, side="left"))
-                steps = min(WINDOW, int(long[0]) - t0)
+            for t in range(0, int(long[0]), WINDOW):
+                live = int(np.searchsorted(-long, -t, side="left"))
+                steps = min(WINDOW, int(long[0]) - t)
                 h = h[:live]
                 states = np.empty((steps, live, HIDDEN), np.float32)
-                for t in range(steps):
-                    h = states[t] = self.step(table[codes[:live, t0 + t]], h)[0]
-                want = codes[:live, t0 + 1 : t0 + steps + 1].T
-                inside = (t0 + np.arange(steps))[:, None] < long[:live][None, :]
-                got, _ = self.log_prob(states[inside], want[inside])
-                np.add.at(out, ids[np.nonzero(inside)[1]], got)
+                for i in range(steps):
+                    h = states[i] = self.step(table[codes[t + i, :live]], h)[0]
+                inside = (t + np.arange(steps))[:, None] < long[:live][None, :]
+                states, want = states[inside], codes[t + 1 : t + steps + 1, :live][inside]
+                got = np.zeros(inside.shape)
+                got[inside] = np.concatenate([self.log_prob(states[i : i + AT_ONCE], want[i : i + AT_ONCE])[0] for i in range(0, len(want), AT_ONCE)])
+                out[ids[:live]] += got.sum(0)
         return out / math.log(10)
 
 
-def _codes(block: Block, v: Vocabulary) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each text its codes with the end, base scores, which words are frequent, and hashes."""
-    code, base, found = v.look(block.h)
-    end = v.look(np.array([END], np.uint64))
-    for i in range(block.n):
-        a, b = block.first[i], block.first[i + 1]
-        yield np.append(code[a:b], end[0]), np.append(base[a:b], end[1]), found[a:b], block.h[a:b]
-
+def encode(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """(key, doc_id, training, slice, ranks, tail) of every row: the ranks of its words, and the hashes of those that aren't frequent."""
+    shared = docs.sparkSession.sparkContext.broadcast(v)  # at most HEAD words
+    training = fold_of(F.col("doc_id")) != 1
+    piece = F.pmod(F.xxhash64(F.lit(SEED), "doc_id", F.octet_length("text")), F.lit(SLICES)).cast("int")
 
-def train(docs: DataFrame, v: Vocabulary) -> Network:
-    """A network trained on the training documents with the smallest seeded hashes."""
-    order = F.xxhash64(F.lit(SEED), F.coalesce(F.col("doc_id"), F.lit(-1)))
-    some = docs.select("doc_id").distinct().orderBy(order, "doc_id").limit(SAMPLE)
-    sample = staged(docs.join(F.broadcast(some), "doc_id").select("doc_id", "text", F.pmod(order, F.lit(SHARDS)).alias("shard")), "sample")
-    net = Network(v)
-    names = list(net.w)
-    spark = docs.sparkSession
+    def run(batches):
+        part, made = TaskContext.get().partitionId(), 0
+        for b in slices(batches):
+            block = Block(b.column("text"), SPACED)
+            rank = shared.value.look(block.h)
+            far = rank == len(shared.value.h)
+            cut = np.searchsorted(np.flatnonzero(far), block.first)
+            ranks = pa.array([rank[a:z].tobytes() for a, z in zip(block.first[:-1], block.first[1:], strict=True)], pa.binary())
+            tail = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(block.h[far].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array((part << 40) + made + np.arange(b.num_rows)), *(b.column(c) for c in ("doc_id", "training", "slice")), ranks, tail], ["key", "doc_id", "training", "slice", "ranks", "tail"])
+            made += b.num_rows
 
-    def one_round(now, number: int):
-        def run(t: pa.Table) -> pa.Table:
-            own = Network(v=now.value.v, weights={k: a.copy() for k, a in now.value.w.items()})
-            t = t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-            turn = np.random.default_rng(number).permutation(t.num_rows)
-            streams = [c for b in slices(t.select(["text"]).combine_chunks().to_batches()) for c, *_ in _codes(Block(b.column("text"), SPACED), own.v)]
-            own.train(np.concatenate([np.zeros(1, np.int32), *[streams[i] for i in turn]]))
-            return pa.table({"shard": t.column("shard")[:1], "tokens": pa.array([sum(map(len, streams))], pa.int64()), "weights": pa.array([b"".join(own.w[k].tobytes() for k in names)], pa.binary())})
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), training.alias("training"), piece.alias("slice"), "text")
+    return staged(rows.mapInArrow(run, "key long, doc_id long, training boolean, slice int, ranks binary, tail array<long>"), "encoded")
 
-        return sample.groupBy("shard").applyInArrow(run, "shard long, tokens long, weights binary").orderBy("shard").collect()
 
-    for number in range(ROUNDS):
-        rows = one_round(spark.sparkContext.broadcast(net), number)
-        if not rows:
-            break
-        total = sum(r["tokens"] for r in rows)
-        flat = sum(np.frombuffer(r["weights"], np.float32).astype(float) * (r["tokens"] / total) for r in rows).astype(np.float32)
-        at = 0
-        for k in names:
-            net.w[k] = flat[at : at + net.w[k].size].reshape(net.w[k].shape)
-            at += net.w[k].size
+def train(encoded: DataFrame, v: Vocabulary) -> Network:
+    """A network trained on every token of the training rows."""
+    net = Network(v)
+    spark = encoded.sparkSession
+    width = 4096
+    shape = (-(-(net.flat().size + 1) // width), width)
+
+    def one_round(now):
+        def run(batches) -> np.ndarray:
+            own = Network(now.value.v, {k: a.copy() for k, a in now.value.w.items()})
+            held, size, tokens = [np.zeros(1, own.v.code.dtype)], 1, 0
+            for b in batches:
+                for ranks in b.column("ranks").to_pylist():
+                    codes = np.append(own.v.code[np.frombuffer(ranks, np.int32)], own.v.code[0])
+                    held.append(codes)
+                    size += len(codes)
+                    tokens += len(codes)
+                    if size > BUFFER:
+                        held = [own.train(np.concatenate(held))]
+                        size = len(held[0])
+            own.train(own.train(np.concatenate(held)))  # and what was too short for all lanes
+            out = np.zeros(shape)
+            out.ravel()[: net_size] = own.flat() * float(tokens)
+            out[-1, -1] = tokens
+            return out
+
+        return run
+
+    net_size = net.flat().size
+    for low, high in ROUNDS:
+        rows = encoded.filter(F.col("training") & (F.col("slice") >= low) & (F.col("slice") < high)).select("ranks")
+        total = summed(rows, one_round(spark.sparkContext.broadcast(net)), shape)
+        if total[-1, -1]:
+            net.replace(total.ravel()[:net_size] / total[-1, -1])
     return net
 
 
@@ -297,52 +365,48 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    training = docs.filter(fold_of(F.col("doc_id")) != 1)
-    counts = staged(count_tokens(training), "counts")
+    counts = staged(count_tokens(docs.filter(fold_of(F.col("doc_id")) != 1)), "counts")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).head()
     top = frequent(counts, HEAD).toPandas()  # at most HEAD rows
     v = Vocabulary(top["h"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), total["n"], total["v"])
-    net = spark.sparkContext.broadcast(train(training, v))  # HEAD words and the weights
+    encoded = encode(docs, v)
+    net = spark.sparkContext.broadcast(train(encoded, v))  # HEAD words and the weights
+    schema = "key long, doc_id long, n_tokens long, known long, base double, score double"
 
     def run(batches):
-        n, part, made = net.value, TaskContext.get().partitionId(), 0
+        n, v = net.value, net.value.v
+        seen_end = int(v.tokens > 0)  # every training document has an end
+
+        def flush(held: list[tuple[int, int | None, np.ndarray]]) -> pa.RecordBatch:
+            ranks = [r for _, _, r in held]
+            sizes = np.array([len(r) for r in ranks])
+            every = np.concatenate(ranks)
+            first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            code, base = v.code[every], v.base[every]
+            # log10 of the shares inside the bands and the last class; a rare word's own part is joined later
+            inside = np.where(code >= v.edge, base - v.log_mass[code], 0.0)
+            score = n.score(np.split(code, first[1:])) + np.add.reduceat(inside, first)
+            known = np.add.reduceat((every < len(v.h)).astype(np.int64), first) - 1 + seen_end
+            columns = [[k for k, _, _ in held], [d for _, d, _ in held], sizes, known, np.add.reduceat(base, first), score]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if i > 3 else pa.int64()) for i, c in enumerate(columns)], [x.split()[0] for x in schema.split(", ")])
+
         held: list = []
         size = 0
-
-        def flush():
-            nonlocal made
-            ids, codes, base, known, tail = zip(*held, strict=True)
-            score = n.score(codes)
-            rest = n.v.classes * WIDE
-            score = score + [sum_inside(c, b, rest) for c, b in zip(codes, base, strict=True)]
-            key = (part << 40) + made + np.arange(len(ids))
-            made += len(ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(ids, pa.int64()), pa.array([len(c) for c in codes], pa.int64()), pa.array(known, pa.int64()), pa.array([b.sum() for b in base]), pa.array(score), pa.array(tail, pa.list_(pa.int64()))],
-                ["key", "doc_id", "n_tokens", "known", "base", "score", "tail"],
-            )
-
-        def sum_inside(codes, base, rest) -> float:
-            """log10 of the shares inside the bands and the last class; a rare word's own part is joined later."""
-            far = codes >= rest
-            return float(base[far].sum() - n.v.log_mass[codes[far]].sum())
-
-        seen_end = int(n.v.tokens > 0)  # every training document has an end
-        for b in slices(batches):
-            for doc, (code, base, found, h) in zip(b.column("doc_id").to_pylist(), _codes(Block(b.column("text"), SPACED), n.v), strict=True):
-                held.append((doc, code, base, int(found.sum()) + seen_end, h[~found].view(np.int64)))
-                size += len(code)
-            if size > 3_000_000:
-                yield from flush()
-                held, size = [], 0
+        for b in batches:
+            for key, doc, ranks in zip(*(b.column(c).to_pylist() for c in ("key", "doc_id", "ranks")), strict=True):
+                held.append((key, doc, np.append(np.frombuffer(ranks, np.int32), np.int32(0))))
+                size += len(held[-1][2])
+                if size > 2_000_000:
+                    yield flush(held)
+                    held, size = [], 0
         if held:
-            yield from flush()
+            yield flush(held)
 
-    mapped = staged(docs.mapInArrow(run, "key long, doc_id long, n_tokens long, known long, base double, score double, tail array<long>"), "mapped")
-    rare = mapped.select("key", F.explode("tail").alias("h")).join(counts, "h", "left")
+    mapped = encoded.select("key", "doc_id", "ranks").mapInArrow(run, schema)
+    rare = encoded.select("key", F.explode("tail").alias("h")).join(counts, "h", "left")
     each = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(v.scale))
     rare = rare.groupBy("key").agg(F.sum(each).alias("more"), F.count("n").alias("also"))
-    out = mapped.drop("tail").join(rare, "key", "left")
+    out = mapped.join(rare, "key", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id", (fold_of(F.col("doc_id")) == 1).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(int(total["n"])).cast("long").alias("train_tokens"),

@@ -258,23 +258,61 @@ def test_network_is_a_distribution_and_learns():
     h = np.arange(300, dtype=np.uint64)
     v = lm.Vocabulary(h, np.arange(300, 0, -1), int(np.arange(301).sum()), 300)
     net = lm.Network(v)
-    stream = np.tile(np.array([0, 5, 9, 130, 7], np.int32), 400)
+    stream = np.tile(np.array([0, 5, 9, 130, 7], np.int32), 4000)
     before = net.score([stream[1:11]])[0]
-    net.train(stream)
+    left = net.train(stream)
+    assert 1 <= len(left) <= lm.LANES
     after = net.score([stream[1:11], stream[1:4], np.zeros(0, np.int32)])
     assert after[0] > before + 3
     state = np.random.default_rng(0).standard_normal((1, lm.HIDDEN)).astype(np.float32)
     every = np.arange(v.rest + 1, dtype=np.int32)
-    every = every[(every < v.short) | (every >= v.classes * lm.WIDE)]
+    every = every[(every < v.short) | (every >= v.edge)]
     assert abs(np.exp(net.log_prob(np.repeat(state, len(every), 0), every)[0]).sum() - 1) < 1e-3
-    # the slope of the loss against a difference
-    codes = np.array([3, 70, v.rest, 0])
-    states = np.random.default_rng(1).standard_normal((4, lm.HIDDEN)).astype(np.float32)
-    slopes = {k: np.zeros_like(a) for k, a in net.w.items()}
-    back = net.log_prob(states, codes, slopes)[1]
-    moved = states.copy()
-    moved[1, 2] += 1e-2
-    assert abs(-(net.log_prob(moved, codes)[0] - net.log_prob(states, codes)[0]).sum() / 1e-2 - back[1, 2]) < 2e-2
+
+
+def test_slopes_of_the_network_against_differences(monkeypatch):
+    """Every weight's slope, through the gates and over several steps."""
+    monkeypatch.setattr(lm, "SHORT", 64)
+    v = lm.Vocabulary(np.arange(90, dtype=np.uint64), np.arange(90, 0, -1), int(np.arange(91).sum()), 90)
+    net, g = lm.Network(v), np.random.default_rng(1)
+    some = np.array([c for c in range(v.rest + 1) if c < v.short or c >= v.edge], np.int16)
+    xs, ys = g.choice(some, (5, 7)), g.choice(some, (5, 7))
+    h = g.standard_normal((7, lm.HIDDEN)).astype(np.float32)
+
+    def loss():
+        states, now = [], h
+        for t in range(5):
+            gates = net.w["in"][xs[t]] @ net.w["x"] + net.w["b"]
+            states.append(now := net.step(gates, now)[0])
+        return -net.log_prob(np.concatenate(states), ys.ravel())[0].sum(dtype=float)
+
+    slopes, codes, _ = net.slopes_of(xs, ys, h)
+    for name, a in net.w.items():
+        slope = slopes[name] if name != "in" else np.zeros_like(a)
+        if name == "in":
+            slope[codes] = slopes[name]
+        for at in [np.unravel_index(i, a.shape) for i in np.argsort(-np.abs(slope).ravel())[:3]]:
+            keep = a[at]
+            a[at] = keep + 1e-2
+            up = loss()
+            a[at] = keep - 1e-2
+            down = loss()
+            a[at] = keep
+            assert abs((up - down) / 2e-2 - slope[at]) < 2e-2 * max(1, abs(slope[at])), (name, at)
+
+
+def test_language_model_trains_on_every_document(spark, docs):
+    """The weights' sum counts every training token once, whatever the rounds."""
+    from pyspark.sql import functions as F
+
+    counts = lm.count_tokens(docs.filter(lm.fold_of(F.col("doc_id")) != 1)).toPandas()
+    v = lm.Vocabulary(counts["h"].to_numpy(np.int64).view(np.uint64), counts["n"].to_numpy(np.int64), int(counts["n"].sum()), len(counts))
+    encoded = lm.encode(docs, v)
+    assert {low for low, _ in lm.ROUNDS[1:]} == {high for _, high in lm.ROUNDS[:-1]} and lm.ROUNDS[0][0] == 0 and lm.ROUNDS[-1][1] == lm.SLICES
+    rows = encoded.filter("training").select(F.octet_length("ranks").alias("n"), "slice").collect()
+    assert sum(r["n"] // 4 + 1 for r in rows) == v.tokens and all(0 <= r["slice"] < lm.SLICES for r in rows)
+    again = [lm.train(encoded, v).flat() for _ in range(2)]
+    assert (again[0] == again[1]).all()
 
 
 def test_substring_dedup(docs, rows, empty, spark):
