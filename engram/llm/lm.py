@@ -36,13 +36,13 @@ END = 0  # the hash that stands for the end of a document
 SHORT, WIDE = 1024, 32  # words that the network tells apart, and words of a class
 HEAD, BANDS = 1 << 17, 8  # words whose counts are broadcast, and bands of those beyond SHORT
 INPUT, HIDDEN = 16, 24
-#: Lanes of a training stream, words of a window, and words that a task arranges in lanes at once.
-LANES, WINDOW, BUFFER = 256, 16, 1 << 20
+#: Lanes of a training stream at most, words of a lane about, words of a window, and words that a task arranges in lanes at once.
+LANES, LONG, WINDOW, BUFFER = 256, 2048, 16, 1 << 20
 #: Documents fall into SLICES by seeded hash; a round trains on those of its slices, and each is in one round.
-SLICES, ROUNDS = 16, ((0, 1), (1, 4), (4, 16))
+SLICES, ROUNDS = 16, ((0, 1), (1, 3), (3, 8), (8, 16))
 #: Documents scored side by side, and states whose output is computed at once.
 BESIDE, AT_ONCE = 512, 4096
-RATE, SEED = 0.08, 6
+RATE, SEED = 0.15, 6
 
 
 def count_tokens(docs: DataFrame) -> DataFrame:
@@ -247,9 +247,9 @@ class Network:
         slopes["in"] = np.add.reduceat((flat @ w["x"].T)[order], first)
         return slopes, code[first], states[-1]
 
-    def train(self, stream: np.ndarray) -> np.ndarray:
+    def train(self, stream: np.ndarray, rate: float = RATE) -> np.ndarray:
         """Trains on a stream of codes, side by side in lanes; returns its end, which is too short for another step of all lanes."""
-        lanes = min(LANES, max(1, len(stream) // (4 * WINDOW)))
+        lanes = min(LANES, max(1, len(stream) // LONG))
         length = (len(stream) - 1) // lanes
         if length < 1:
             return stream
@@ -267,11 +267,11 @@ class Network:
                 if k == "in":
                     square = self.squares[k][codes] + s * s
                     self.squares[k][codes] = square
-                    self.w[k][codes] -= RATE * s / np.sqrt(square)
+                    self.w[k][codes] -= rate * s / np.sqrt(square)
                     continue
                 self.squares[k] += s * s
                 s /= np.sqrt(self.squares[k])
-                s *= RATE
+                s *= rate
                 self.w[k] -= s
         return stream[lanes * length :]
 
@@ -331,7 +331,7 @@ def train(encoded: DataFrame, v: Vocabulary) -> Network:
     width = 4096
     shape = (-(-(net.flat().size + 1) // width), width)
 
-    def one_round(now):
+    def one_round(now, rate: float):
         def run(batches) -> np.ndarray:
             own = Network(now.value.v, {k: a.copy() for k, a in now.value.w.items()})
             held, size, tokens = [np.zeros(1, own.v.code.dtype)], 1, 0
@@ -342,9 +342,9 @@ def train(encoded: DataFrame, v: Vocabulary) -> Network:
                     size += len(codes)
                     tokens += len(codes)
                     if size > BUFFER:
-                        held = [own.train(np.concatenate(held))]
+                        held = [own.train(np.concatenate(held), rate)]
                         size = len(held[0])
-            own.train(own.train(np.concatenate(held)))  # and what was too short for all lanes
+            own.train(own.train(np.concatenate(held), rate), rate)  # and what was too short for all lanes
             out = np.zeros(shape)
             out.ravel()[: net_size] = own.flat() * float(tokens)
             out[-1, -1] = tokens
@@ -353,9 +353,9 @@ def train(encoded: DataFrame, v: Vocabulary) -> Network:
         return run
 
     net_size = net.flat().size
-    for low, high in ROUNDS:
+    for number, (low, high) in enumerate(ROUNDS):
         rows = encoded.filter(F.col("training") & (F.col("slice") >= low) & (F.col("slice") < high)).select("ranks")
-        total = summed(rows, one_round(spark.sparkContext.broadcast(net)), shape)
+        total = summed(rows, one_round(spark.sparkContext.broadcast(net), RATE / math.sqrt(1 + number)), shape)
         if total[-1, -1]:
             net.replace(total.ravel()[:net_size] / total[-1, -1])
     return net
