@@ -1,13 +1,16 @@
 """Operator 10: n-gram Jaccard join with token-combination prefixes.
 
 A document is its set of distinct five-word shingles; documents link when 100 * intersection >= 80 * union. Tokens are
-ordered by the number of sets that hold them, rarest first. Of a set x at most |x| - ceil(0.8 |x|) tokens are missing in
-a set that links with it, so its first |x| - ceil(0.8 |x|) + 1 tokens share one with it. Tokens of no other set come
-first and can't be that one: a set whose prefix has no others links with nothing. Where frequent tokens enter the prefix,
-it is extended until its rare tokens and its frequent ones less one exceed what can be missing; then two linked sets
-share a rare token of it, or a pair of frequent ones, and these are its signatures. Pairs are formed only in sets of at
-most MOST_PAIRED shingles (their number grows with the square); sets of at least LEAST_SINGLE use single tokens, and as
-linked sets differ in size by a fifth at most, they always have one kind in common.
+ordered by the number of sets that hold them, rarest first, and fall into three classes by that number, with bounds at the
+third root of the number of sets and its square. Of a set x at most d = |x| - ceil(0.8 |x|) tokens are missing in a set
+that links with it; tokens of no other set are among these and come first. Rare tokens are signatures one by one, those of
+the second class in pairs, and those of the third in threes. Tokens of these two classes fall into groups by hash, about
+one for each GROUP tokens of the set, and combinations are formed inside a group, so their number grows with the set's
+size, not with its powers. A prefix is extended until its rare tokens, and of each group what is beyond k - 1 tokens, are
+more than d less what no other set holds: then a set that links with x and had none of the signatures would miss more than
+d tokens of it. Of two prefixes the one that ends first in the order holds such a combination, and the other one holds it
+too. Groups depend on a set's size by powers of two; linked sets differ by a quarter at most, and a set so near to the
+next power takes part in both. Sets of three shingles or fewer link with equal ones alone, which are one node.
 
 All shingles of all documents are counted, in one exchange of packed arrays: tokens by the first bits of their hash (a
 clash of those changes the order of tokens at most, never a link), sets by their place in the map task. What other sets
@@ -17,13 +20,16 @@ two nodes are compared exactly, in blocks of bounded size; a task returns a span
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing. A text of fewer
 than five words has one shingle, its whole sequence. Rows with one doc_id are one document if their texts are equal. A
-row without doc_id links with nothing and has a null component.
+row without doc_id links with nothing and has a null component. Repeated rows are each returned. Ties go to the smaller
+doc_id, equal counts by the token's hash. Texts of any length are compared whole; other columns are never read by the
+join, and the stage returns the columns it got, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +43,8 @@ from engram.llm.textvec import SPACED, Block, mix, shingle_sets, signed, slices
 
 WORDS = 5
 PERCENT = 80
-#: Sets that hold a token, above which it is frequent.
-FREQUENT = 1000
-MOST_PAIRED, LEAST_SINGLE = 320, 256
+#: Tokens of a set for each group in which combinations are formed.
+GROUP = 32
 #: Bits of a token's hash by which it is counted; tokens of one part of the count, about; shingles packed at once.
 BITS, PART, PACKED = 44, 1 << 20, 1_500_000
 #: Nodes and shingles of a block of a cohort, about; two blocks meet in one task.
@@ -51,23 +56,51 @@ def missing(n: int) -> int:
     return n - -(-PERCENT * n // 100)
 
 
-def signatures(n: int, token: np.ndarray, held: np.ndarray) -> np.ndarray:
+def classes(sets: int) -> tuple[int, int]:
+    """Holders up to which a token is rare, and up to which it is paired."""
+    root = max(1.0, float(sets)) ** (1 / 3)
+    return int(root), int(root * root)
+
+
+_chosen: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _choose(n: int, k: int) -> np.ndarray:
+    """The k-combinations of 0..n-1 as columns."""
+    if (n, k) not in _chosen:
+        _chosen[n, k] = np.array(list(combinations(range(n), k)), dtype=np.int64).reshape(-1, k).T
+    return _chosen[n, k]
+
+
+def signatures(n: int, token: np.ndarray, held: np.ndarray, bounds: tuple[int, int]) -> np.ndarray:
     """The signatures of a set of n tokens; token, held: those that other sets hold as well, rarest first, and by how many sets."""
     need = missing(n) + 1 - (n - len(token))
-    if need <= 0:
+    if need <= 0 or n <= 3:
         return token[:0]
-    rare = int(np.searchsorted(held, FREQUENT, side="right"))
+    rare = int(np.searchsorted(held, bounds[0], side="right"))
     if rare >= need:
         return token[:need]
     out, many = [token[:rare]], token[rare:]
-    if n <= MOST_PAIRED:
-        some = many[: need - rare + 1]
-        i, j = np.triu_indices(len(some), 1)
-        out.append(mix(some[i] * np.uint64(0xD6E8FEB86659FD93) + some[j]))
-        if len(some) < need - rare + 1:  # too few tokens for a pair to be sure: single ones as well
-            out.append(some)
-    if n >= LEAST_SINGLE:
-        out.append(many[: need - rare])
+    k = np.where(held[rare:] > bounds[1], 3, 2)
+    bits = n.bit_length() - 1
+    for size in (bits, bits + 1) if 5 * n >= 8 << bits else (bits,):
+        groups = max(1, (1 << size) // GROUP)
+        group = ((many >> np.uint64(7)) % np.uint64(groups)).astype(np.int64) * 2 + (k == 3)
+        order = np.argsort(group, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0]))
+        turn = np.empty(len(many), np.int64)  # a token's place in its group
+        turn[order] = np.arange(len(many)) - np.repeat(first, np.diff(np.append(first, len(many))))
+        end = int(np.searchsorted(np.cumsum(turn >= k - 1), need - rare)) + 1
+        order = order[order < end]
+        cuts = np.flatnonzero(np.concatenate([[True], np.diff(group[order]) != 0, [True]])).tolist()
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            of = k[order[a]]
+            if z - a >= of:
+                mine = many[order[a:z]]
+                x = np.zeros(1, np.uint64)
+                for i in _choose(z - a, int(of)):
+                    x = mix(x * np.uint64(0xD6E8FEB86659FD93) + mine[i])
+                out.append(x)
     return np.concatenate(out)
 
 
@@ -114,8 +147,9 @@ def _runs(batches, key: str) -> Iterator[tuple[int, list[dict]]]:
         yield now, rows
 
 
-def chained(docs: DataFrame, shingles: int) -> DataFrame:
+def chained(docs: DataFrame, shingles: int, sets: int) -> DataFrame:
     """(a, b): nodes (fp) that share a signature, each chained to the least fp that a task or a partition sees. shingles: of all sets together."""
+    bounds = classes(sets)
     parts_bits = max(5, (shingles // PART).bit_length())
     packed = "part long, pack long, first long, gaps binary, place binary, fps binary, sizes binary"
     back = "pack long, token binary, place binary, held binary, fps binary, sizes binary"
@@ -154,6 +188,7 @@ def chained(docs: DataFrame, shingles: int) -> DataFrame:
                 if total > PACKED or len(sizes) > 65_000:
                     yield flush()
                     tokens, fps, sizes, total = [], [], [], 0
+                    seen.clear()
         if sizes:
             yield flush()
 
@@ -191,7 +226,7 @@ def chained(docs: DataFrame, shingles: int) -> DataFrame:
             order = np.lexsort((token, held, place))
             token, held = token[order], held[order]
             cuts = np.searchsorted(place[order], np.arange(len(sizes) + 1))
-            found = [np.unique(signatures(int(n), token[a:z], held[a:z])) for n, a, z in zip(sizes, cuts[:-1], cuts[1:], strict=True)]
+            found = [np.unique(signatures(int(n), token[a:z], held[a:z], bounds)) for n, a, z in zip(sizes, cuts[:-1], cuts[1:], strict=True)]
             sig, fp = signed(np.concatenate(found)), np.repeat(fps, [len(x) for x in found])
             if not len(sig):
                 continue
@@ -331,8 +366,8 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     each = staged(nodes_of(docs), "nodes")
     nodes = staged(each.filter("fp is not null and doc_id is not null").groupBy("fp", "check").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")), "sets")
-    shingles = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).head()[0]
-    cohort = components(chained(docs, shingles))
+    shingles, sets = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count(F.lit(1))).head()
+    cohort = components(chained(docs, shingles, sets))
     cohorts = staged(nodes.join(cohort.withColumnRenamed("id", "fp"), "fp").select("doc_id", F.col("component").alias("cohort"), "n_shingles"), "cohorts")
     linked = components(verified(docs, cohorts, cohorts.count()))
     named = nodes.join(linked, nodes["doc_id"] == linked["id"], "left").select("fp", "check", F.coalesce("component", "doc_id").alias("component_id"))

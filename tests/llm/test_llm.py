@@ -107,9 +107,10 @@ def brute_links(sets):
     return {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize(("frequent", "block"), [(1000, 1024), (1, 1024), (2, 4)])
-def test_jaccard_join(docs, rows, monkeypatch, frequent, block):
-    monkeypatch.setattr(jaccard, "FREQUENT", frequent)  # pairs of tokens, too
+@pytest.mark.parametrize(("bounds", "block"), [(None, 1024), ((1, 2), 1024), ((1, 1), 4), ((2, 1000), 4)])
+def test_jaccard_join(docs, rows, monkeypatch, bounds, block):
+    if bounds:
+        monkeypatch.setattr(jaccard, "classes", lambda sets: bounds)  # pairs and threes of tokens, too
     monkeypatch.setattr(jaccard, "BLOCK_NODES", block)
     sets = {r[0]: shingles(spaced(r[1])) for r in rows}
     want = brute_links(sets)
@@ -119,18 +120,26 @@ def test_jaccard_join(docs, rows, monkeypatch, frequent, block):
 
 def test_signatures_never_miss_a_link():
     g = np.random.default_rng(0)
-    for n in (1, 5, 12, 60, 250, 300, 330):
-        for often in (0.0, 0.5, 1.0):
+    most = 0
+    for n in (1, 2, 4, 5, 12, 26, 60, 103, 250, 330, 900):
+        for often in ((1, 0, 0), (0, 1, 0), (0, 0, 1), (0.1, 0.5, 0.4), (0.05, 0.05, 0.9)):
             x = g.integers(0, 1 << 60, n).astype(np.uint64)
-            held = np.where(g.random(n) < often, 5000, 2).astype(np.uint32)
-            for _ in range(5):
-                lost = g.permutation(n)[: jaccard.missing(n)]
-                y, kept = np.delete(x, lost), np.delete(held, lost)  # all its tokens are in x
+            held = g.choice([5, 50, 5000], n, p=often).astype(np.uint32)
+            for kind in range(6):
+                lost = g.permutation(n)[: jaccard.missing(n) if kind < 3 else jaccard.missing(n) // 2]
+                y, kept = np.delete(x, lost), np.delete(held, lost)
+                if kind >= 3:  # as many others instead, of which no other set holds any: equal sizes
+                    lost = lost[: n // 9]
+                    y, kept = np.delete(x, lost), np.delete(held, lost)
                 sides = []
-                for token, count in ((x, held), (y, kept)):
+                for token, count, size in ((x, held, n), (y, kept, len(y) + (len(lost) if kind >= 3 else 0))):
                     order = np.lexsort((token, count))
-                    sides.append(jaccard.signatures(len(token), token[order], count[order]))
-                assert not len(y) or len(np.intersect1d(*sides))
+                    sides.append(jaccard.signatures(size, token[order], count[order], (10, 100)))
+                    most = max(most, len(sides[-1]) / max(size, 8))
+                both = len(y)
+                if both and both != n and 100 * both >= 80 * (n + (len(lost) if kind >= 3 else 0)):
+                    assert len(np.intersect1d(*sides)), (n, often, kind)
+    assert most < 20  # signatures of a set grow with its size, not with powers of it
 
 
 def test_jaccard_odd_rows(spark, empty):
