@@ -2,7 +2,7 @@
 
 A document is its set of distinct five-word shingles; documents link when 100 * intersection >= 80 * union. Tokens are
 ordered by the number of sets that hold them, rarest first, and fall into three classes by that number, with bounds at the
-third root of the number of sets and its square. Of a set x at most d = |x| - ceil(0.8 |x|) tokens are missing in a set
+sixth root of the number of sets and its square. Of a set x at most d = |x| - ceil(0.8 |x|) tokens are missing in a set
 that links with it; tokens of no other set are among these and come first. Rare tokens are signatures one by one, those of
 the second class in pairs, and those of the third in threes. Tokens of these two classes fall into groups by hash, about
 one for each GROUP tokens of the set, and combinations are formed inside a group, so their number grows with the set's
@@ -14,9 +14,12 @@ next power takes part in both. Sets of three shingles or fewer link with equal o
 
 All shingles of all documents are counted, in one exchange of packed arrays: tokens by the first bits of their hash (a
 clash of those changes the order of tokens at most, never a link), sets by their place in the map task. What other sets
-hold as well goes back to the task's sets, which then choose their signatures. Equal sets are one node. Nodes that share
-a signature are chained to the least of them (not paired), the components of that are cohorts, and inside a cohort every
-two nodes are compared exactly, in blocks of bounded size; a task returns a spanning forest of its links.
+hold as well goes back to the task's sets, which then choose their signatures. Equal sets are one node. The nodes of a
+signature are its list. First each node meets the others whose least list neighbour is the same (its hub) and the hub, and
+is compared exactly with these; near copies of one text mostly find each other there. Lists all of whose nodes are then in
+one component are done. Of the others those that meet the same components are put together, and their nodes are compared
+exactly with each other. So only nodes that share a list are compared, components grow by real links alone, and a large
+group is compared in blocks of bounded size, whose tasks return spanning forests.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing. A text of fewer
 than five words has one shingle, its whole sequence. Rows with one doc_id are one document if their texts are equal. A
@@ -47,7 +50,7 @@ PERCENT = 80
 GROUP = 32
 #: Bits of a token's hash by which it is counted; tokens of one part of the count, about; shingles packed at once.
 BITS, PART, PACKED = 44, 1 << 20, 1_500_000
-#: Nodes and shingles of a block of a cohort, about; two blocks meet in one task.
+#: Nodes and shingles of a block of a cohort (nodes that are compared with each other), about; two blocks meet in one task.
 BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 20
 
 
@@ -58,7 +61,7 @@ def missing(n: int) -> int:
 
 def classes(sets: int) -> tuple[int, int]:
     """Holders up to which a token is rare, and up to which it is paired."""
-    root = max(1.0, float(sets)) ** (1 / 3)
+    root = max(1.0, float(sets)) ** (1 / 6)
     return int(root), int(root * root)
 
 
@@ -147,8 +150,8 @@ def _runs(batches, key: str) -> Iterator[tuple[int, list[dict]]]:
         yield now, rows
 
 
-def chained(docs: DataFrame, shingles: int, sets: int) -> DataFrame:
-    """(a, b): nodes (fp) that share a signature, each chained to the least fp that a task or a partition sees. shingles: of all sets together."""
+def signed_sets(docs: DataFrame, shingles: int, sets: int) -> DataFrame:
+    """(sig, fp): the signatures of every set; some rows twice. shingles: of all sets together."""
     bounds = classes(sets)
     parts_bits = max(5, (shingles // PART).bit_length())
     packed = "part long, pack long, first long, gaps binary, place binary, fps binary, sizes binary"
@@ -216,7 +219,6 @@ def chained(docs: DataFrame, shingles: int, sets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     def sign(batches):
-        """Rows (sig, fp) of the least fp of each signature in a pack; rows (sig, fp, other) for the others."""
         for _, rows in _runs(batches, "pack"):
             fps, sizes = (np.frombuffer(next(r[c] for r in rows if r["fps"] is not None), np.int64) for c in ("fps", "sizes"))
             rows = [r for r in rows if r["fps"] is None]
@@ -228,39 +230,11 @@ def chained(docs: DataFrame, shingles: int, sets: int) -> DataFrame:
             cuts = np.searchsorted(place[order], np.arange(len(sizes) + 1))
             found = [np.unique(signatures(int(n), token[a:z], held[a:z], bounds)) for n, a, z in zip(sizes, cuts[:-1], cuts[1:], strict=True)]
             sig, fp = signed(np.concatenate(found)), np.repeat(fps, [len(x) for x in found])
-            if not len(sig):
-                continue
-            order = np.lexsort((fp, sig))
-            sig, fp = sig[order], fp[order]
-            head = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-            least = np.repeat(fp[head], np.diff(np.append(head, len(sig))))
-            yield pa.RecordBatch.from_arrays([pa.array(sig[head]), pa.array(fp[head]), pa.nulls(len(head), pa.int64())], ["sig", "fp", "other"])
-            if (fp != least).any():
-                own = np.unique(np.stack([fp, least], 1)[fp != least], axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(own[:, 0].copy()), pa.array(own[:, 0].copy()), pa.array(own[:, 1].copy())], ["sig", "fp", "other"])
-
-    def link(batches):
-        last_sig, last_fp = None, 0
-        for b in batches:
-            sig, fp = np.asarray(b.column("sig")), np.asarray(b.column("fp"))
-            other = b.column("other")
-            single = np.asarray(other.is_null())
-            a, z = [fp[~single]], [np.asarray(other.drop_null())]
-            sig, fp = sig[single], fp[single]
             if len(sig):
-                same = np.concatenate([[sig[0] == last_sig], sig[1:] == sig[:-1]])
-                before = np.concatenate([[last_fp], fp[:-1]])
-                far = same & (fp != before)
-                a.append(fp[far])
-                z.append(before[far])
-                last_sig, last_fp = sig[-1], fp[-1]
-            pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(z)], 1), axis=0)
-            if len(pairs):
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(fp)], ["sig", "fp"])
 
     counted = docs.select("text").mapInArrow(index, packed).repartition("part").sortWithinPartitions("part").mapInArrow(count, back)
-    signed_ = counted.repartition("pack").sortWithinPartitions("pack").mapInArrow(sign, "sig long, fp long, other long")
-    return signed_.repartition("sig").sortWithinPartitions("sig", "fp").mapInArrow(link, "a long, b long").distinct()
+    return counted.repartition("pack").sortWithinPartitions("pack").mapInArrow(sign, "sig long, fp long")
 
 
 class _Sets:
@@ -367,9 +341,20 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     each = staged(nodes_of(docs), "nodes")
     nodes = staged(each.filter("fp is not null and doc_id is not null").groupBy("fp", "check").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles")), "sets")
     shingles, sets = nodes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count(F.lit(1))).head()
-    cohort = components(chained(docs, shingles, sets))
-    cohorts = staged(nodes.join(cohort.withColumnRenamed("id", "fp"), "fp").select("doc_id", F.col("component").alias("cohort"), "n_shingles"), "cohorts")
-    linked = components(verified(docs, cohorts, cohorts.count()))
+    pairs = signed_sets(docs, shingles, sets).distinct()
+    pairs = staged(pairs.join(nodes.select("fp", "doc_id", "n_shingles"), "fp").select("sig", "doc_id", "n_shingles"), "signatures")
+    hubs = pairs.groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("hub")).filter("n > 1").select("sig", "hub")
+    lists = staged(pairs.join(hubs, "sig"), "lists")
+    stars = lists.groupBy("doc_id").agg(F.min("hub").alias("cohort"), F.first("n_shingles").alias("n_shingles"))
+    own = lists.filter("doc_id = hub").select("doc_id", F.col("doc_id").alias("cohort"), "n_shingles")
+    stars = staged(stars.unionByName(own).distinct(), "stars")
+    links = staged(verified(docs, stars, stars.count()), "links")
+    found = components(links)
+    parts = lists.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sig", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
+    meet = parts.select("sig", "component").distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.sum(F.xxhash64("component").cast("decimal(38,0)")).alias("sum")).filter("n > 1")
+    rest = parts.join(meet.select("sig", F.xxhash64("n", "least", "sum").alias("cohort")), "sig").select("doc_id", "cohort", "n_shingles")
+    rest = staged(rest.distinct(), "rest")
+    linked = components(links.unionByName(verified(docs, rest, rest.count())))
     named = nodes.join(linked, nodes["doc_id"] == linked["id"], "left").select("fp", "check", F.coalesce("component", "doc_id").alias("component_id"))
     rows = each.join(named, ["fp", "check"], "left")
     alone = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
