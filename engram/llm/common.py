@@ -27,6 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="engram-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -44,6 +46,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, *tables: DataFrame) -> str:
+    """The name, with as many underscores after it as make it a new column of all tables."""
+    used = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32(doc_id as text) mod 5; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5

@@ -13,7 +13,9 @@ ITEM_BYTES of text, which is what a task gets), and nothing is shuffled.
 
 Words are as in the licence scan: letters, digits and non-ASCII of the lower-cased text, so punctuation doesn't hide a
 leak. Defined results: an item of one to four words is found where its words stand in a row; null, empty or wordless
-items and texts match nothing; repeated rows and equal items match alike.
+items and texts match nothing; repeated rows and equal items match alike, so there are no ties. A long text is searched
+whole, alone; its memory follows its own length, not the longest item's. Other columns are kept by `clean`, whatever their
+names. Without documents or items nothing is found.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from engram.llm.textvec import ALNUM, Block, mix, slices, whole
 WORDS, THRESHOLD = 5, 0.8
 EXACT, BINS_A_SHINGLE = 9, 8
 ITEMS, ITEM_BYTES = 50_000, 16 << 20
+#: Bins of all blocks of a batch that are held as one array; where there would be more, only those with a hash are.
+DENSE = 4 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -97,6 +101,34 @@ class Items:
             for k in item[a[i] : z[i]]:
                 yield int(owner[i]), int(k)
 
+    @staticmethod
+    def _sketches(grams: np.ndarray, doc: np.ndarray, halves: np.ndarray, many: np.ndarray, size: int, bins: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, least hash) of every bin that isn't empty of every block, a half and the next one of the same text. many: shingles of each text."""
+        count = np.concatenate([[0], np.cumsum(-(-many // size))])
+        row = count[:-1][doc] + halves
+        owner = np.repeat(np.arange(len(many)), np.diff(count))
+        follows = np.append(False, owner[1:] == owner[:-1])[: len(owner)]  # the half before is of the same text
+        if count[-1] * bins <= DENSE:
+            least = np.full(int(count[-1]) * bins, _NONE, np.uint64)
+            np.minimum.at(least, row * bins + _bin(grams, bins), grams)
+            least = least.reshape(-1, bins)
+            both = least.copy()
+            at = np.flatnonzero(follows)
+            both[at - 1] = np.minimum(least[at - 1], least[at])
+            row, _ = np.nonzero(both != _NONE)
+            return owner[row], both[both != _NONE]
+
+        def least_of(key, value):
+            order = np.argsort(key, kind="stable")
+            key, value = key[order], value[order]
+            head = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            return key[head], np.minimum.reduceat(value, head) if len(key) else value
+
+        key, value = least_of(row * bins + _bin(grams, bins), grams)
+        again = follows[key // bins]
+        key, value = least_of(np.append(key, key[again] - bins), np.append(value, value[again]))
+        return owner[key // bins], value
+
     def search(self, block: Block) -> Iterator[tuple[int, int, int]]:
         """(text, item, shared shingles) of each candidate, and of short items that are there."""
         grams, at = block.grams(WORDS)
@@ -106,18 +138,8 @@ class Items:
         place = np.arange(len(grams)) - cut[:-1][doc]
         for size, bins, found in self.classes:
             halves = place // size
-            count = np.zeros(block.n + 1, np.int64)
-            count[1:] = np.cumsum(np.where(np.diff(cut) > 0, (np.maximum(np.diff(cut), 1) - 1) // size + 1, 0))
-            least = np.full(int(count[-1]) * bins, _NONE, np.uint64)
-            np.minimum.at(least, (count[:-1][doc] + halves) * bins + _bin(grams, bins), grams)
-            least = least.reshape(-1, bins)
-            owner = np.repeat(np.arange(block.n), np.diff(count))
-            both = least.copy()  # a block is a half and the next one of the same text
-            if len(least) > 1:
-                same = owner[1:] == owner[:-1]
-                both[:-1][same] = np.minimum(least[:-1][same], least[1:][same])
-            row, _ = np.nonzero(both != _NONE)
-            candidates.update(self._hits(both[both != _NONE], owner[row], found))
+            owner, value = self._sketches(grams, doc, halves, np.diff(cut), size, bins)
+            candidates.update(self._hits(value, owner, found))
         for d, k in sorted(candidates):
             text = np.unique(grams[cut[d] : cut[d + 1]])
             i = np.minimum(np.searchsorted(text, self.sets[k]), len(text) - 1)

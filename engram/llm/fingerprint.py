@@ -20,6 +20,7 @@ K = 128
 WORDS = 5
 #: Neighbouring documents that are brought together, about.
 BUCKET = 500
+QUANTILES = 1024
 
 
 def shingles(text: Column, words: int = WORDS) -> Column:
@@ -62,21 +63,32 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 
 
 def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """doc_id, own and next: structs of the carried columns of a row and of the next one by doc_id (nulls first), then by the carried columns; after the last comes the first.
+    """doc_id, own and next: structs of the carried columns of a row and of the next one by doc_id (nulls first, in ranges of their hash), then by the carried columns; after the last comes the first.
 
-    doc_id is cut into ranges of equal width with about BUCKET rows each; a window finds the next row inside a range,
-    and the last row of a range gets the first row of the next range that has rows. Rows move once: all branches below
-    read one exchange, which carries each text once.
+    doc_id is cut into ranges of about BUCKET rows: at QUANTILES of the ids, and between two of these by equal width, so that
+    whatever gaps the ids have no range holds more than about one part in QUANTILES of the rows; rows without id fall into
+    ranges by the hash of what they carry. A window finds the next row inside a range, and the last row of a range gets the
+    first row of the next range that has rows. Rows move once: all branches below read one exchange, which carries each text once.
     """
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).head()
-    width = 1 if low is None else max(1, -(-(high - low + 1) * BUCKET // max(n, 1)))
-    bucket = F.coalesce(F.floor((F.col("doc_id").cast("decimal(20,0)") - F.lit(low or 0)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
+    shares = [i / QUANTILES for i in range(QUANTILES)]
+    cuts, low, high, n, nulls = docs.agg(F.percentile_approx("doc_id", shares, 10 * QUANTILES), F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))).head()
+    cuts = sorted({low or 0, *(cuts or [])[:: max(1, QUANTILES * BUCKET // max(n, 1))]})
+    ends = [*cuts[1:], (high or 0) + 1]
+    per = max(1, n // len(cuts) // BUCKET)  # ranges between two quantiles
+    width = F.array(*[F.lit(max(1, -(-(z - a) // per))) for a, z in zip(cuts, ends, strict=True)])
+    rows = [cuts[i : i + 32] for i in range(0, len(cuts), 32)]
+    below = lambda some: F.size(F.filter(some, lambda c: c <= F.col("doc_id"))) - 1
+    row = below(F.array(*[F.lit(r[0]) for r in rows]))
+    place = row * 32 + below(F.get(F.array(*[F.array(*[F.lit(c) for c in r]) for r in rows]), row))
+    part = F.least(F.lit(2**31), F.floor((F.col("doc_id") - F.get(F.array(*[F.lit(c) for c in cuts]), place)) / F.get(width, place)))
+    spread = F.pmod(F.xxhash64(*carry), F.lit(max(1, nulls // BUCKET)))
+    bucket = F.when(F.col("doc_id").isNull(), spread - F.lit(2**32)).otherwise(place.cast("long") * 2**32 + part.cast("long"))
     docs = docs.select("doc_id", bucket.alias("range"), F.struct(*carry).alias("own"))
     inside = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "own")
     rows = docs.withColumns({"next": F.lead("own").over(inside), "first": F.lag("range").over(inside).isNull()})
     heads = rows.filter("first").select(F.col("range").alias("following"), F.col("own").alias("next"))
-    # which range follows: ranges of ranges first, so that no window has more than 10,000 rows unless there are 10**8 ranges
-    ranges = docs.select("range").distinct().withColumn("block", F.floor(F.col("range") / 10_000))
+    # which range follows: first among those between two quantiles, then among these
+    ranges = docs.select("range").distinct().withColumn("block", F.shiftright("range", 32))
     lead = F.lead("range").over(Window.partitionBy("block").orderBy("range"))
     blocks = ranges.groupBy("block").agg(F.min("range").alias("begin"))
     every = Window.orderBy("block")

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import broadcast_if_small, staged, table
+from engram.llm.common import broadcast_if_small, fresh, staged, table
 from engram.llm.graph import components
 from engram.llm.textvec import SPACED, Block, mix, shingle_sets, signed, slices
 
@@ -367,8 +367,8 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group, that with the smallest doc_id; rows without doc_id stay."""
-    gone = staged(jaccard_components(docs).filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(broadcast_if_small(gone, gone.count()), docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = staged(jaccard_components(docs).filter("component_id <> doc_id").select("doc_id").distinct().toDF(fresh("__gone", docs)), "gone")
+    return docs.join(broadcast_if_small(gone, gone.count()), docs["doc_id"] == gone[gone.columns[0]], "left_anti")
 
 
 _W = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"

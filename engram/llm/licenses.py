@@ -8,7 +8,9 @@ filter), holds at least `need` template words (length filter), and of a first sh
 words can be shared (positional filter). What passes is counted exactly.
 
 Only the templates (a fixed list) and the counts of their words are sent to the tasks; documents are not shuffled.
-A null or empty text has no words, no places and score 0. Repeated rows get one result each; an empty table none.
+Defined results: a null or empty text has no words, no places and score 0. Repeated rows get one result each; an empty
+table none. Of equally good blocks of a text the score tells one; `blocks` returns every block that meets a template. A long
+text is scanned whole; other columns are never read.
 """
 
 from __future__ import annotations
@@ -27,8 +29,11 @@ from engram.llm.textvec import ALNUM, Block, slices
 THRESHOLD = 0.8
 #: Phrases whose words stand consecutively, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Opening passages of public licences, and their labels.
+#: Passages and whole texts of public licences, and their labels.
 TEMPLATES = {
+    "mit-whole": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "bsd-2-whole": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "isc-whole": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software",
     "apache-2-notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -75,32 +80,35 @@ class Templates:
         i = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
         return np.where(self.vocabulary[i] == h, self.rank[i], -1)
 
-    def find(self, ranks: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, str, float]]:
-        """(text number, label, containment) of each text and template with a block that meets the threshold; the best block counts."""
+    def blocks(self, ranks: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, str, int, int, float]]:
+        """(text number, label, first word, end, containment) of each block that meets a template."""
         known = np.flatnonzero(ranks >= 0)
-        values = ranks[known]
         for label, length, ids, need in zip(self.labels, self.lengths, self.ids, self.need, strict=True):
-            prefix = ids[: len(ids) - need + 1]
-            hits = known[np.isin(values, prefix)]
+            place = np.minimum(np.searchsorted(ids, ranks[known]), len(ids) - 1)
+            mine = ids[place] == ranks[known]
+            at, place = known[mine], place[mine]
+            hits = at[place <= len(ids) - need]  # prefix filter
             if not len(hits):
                 continue
             doc = np.searchsorted(first, hits, side="right") - 1
             block = (hits - first[doc]) // length
             starts = np.unique(np.concatenate([first[doc] + block * length, first[doc] + np.maximum(block - 1, 0) * length]))
-            of = np.searchsorted(first, starts, side="right") - 1
-            best: dict[int, int] = {}
-            ends = np.minimum(starts + 2 * length, first[of + 1])
-            for a, b, d in zip(np.searchsorted(known, starts), np.searchsorted(known, ends), of, strict=True):
-                if b - a < need:  # length filter
-                    continue
-                here = np.unique(values[a:b])
-                shared = np.searchsorted(ids, here)
-                shared = shared[(shared < len(ids)) & (ids[np.minimum(shared, len(ids) - 1)] == here)]
-                if not len(shared) or len(ids) - shared[0] < need:  # positional filter
-                    continue
-                if len(shared) >= need:
-                    best[int(d)] = max(best.get(int(d), 0), len(shared))
-            yield from ((d, label, n / len(ids)) for d, n in best.items())
+            doc = np.searchsorted(first, starts, side="right") - 1
+            ends = np.minimum(starts + 2 * length, first[doc + 1])
+            a, z = np.searchsorted(at, starts), np.searchsorted(at, ends)
+            # length filter: too few words of the template; positional filter: after the first shared one too few can follow
+            rarest = np.minimum.reduceat(np.append(place, len(ids)), np.stack([a, z], 1).ravel())[::2]
+            for i in np.flatnonzero((z - a >= need) & (len(ids) - rarest >= need)):
+                shared = len(np.unique(place[a[i] : z[i]]))
+                if shared >= need:
+                    yield int(doc[i]), label, int(starts[i] - first[doc[i]]), int(ends[i] - first[doc[i]]), shared / len(ids)
+
+    def find(self, ranks: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, str, float]]:
+        """(text number, label, containment) of each text and template with a block that meets the threshold; the best block counts."""
+        best: dict[tuple[int, str], float] = {}
+        for doc, label, _, _, share in self.blocks(ranks, first):
+            best[doc, label] = max(best.get((doc, label), 0.0), share)
+        yield from ((doc, label, share) for (doc, label), share in best.items())
 
 
 def word_counts(docs: DataFrame, vocabulary: np.ndarray) -> dict[int, int]:
@@ -165,6 +173,22 @@ def scan(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, phrases: dic
     return docs.mapInArrow(run, schema)
 
 
+def blocks(docs: DataFrame, *, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, label, start, end (words from 0), containment of every block that meets a template."""
+    docs = docs.select("doc_id", "text")
+    known = Templates(templates, threshold, word_counts(docs, Templates(templates, threshold, {}).vocabulary))
+    kinds = [("doc_id", pa.int64()), ("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("containment", pa.float64())]
+
+    def run(batches):
+        for b in slices(batches):
+            block, ids = Block(b.column("text"), ALNUM), b.column("doc_id").to_pylist()
+            rows = [(ids[d], *r) for d, *r in known.blocks(known.ranks(block.h), block.first)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), kinds, strict=True)], [n for n, _ in kinds])
+
+    return docs.mapInArrow(run, "doc_id long, label string, start long, end long, containment double")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).drop("found")
 

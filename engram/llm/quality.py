@@ -3,12 +3,15 @@
 A logistic classifier over a text's shape (repetition, symbols, case, lines, word lengths) is trained on a bounded
 labelled sample and gives each document's evidence: its log likelihood ratio of good against bad. Documents stand
 under a host and a path of that host (here source and lang). The good share of each path is estimated from the summed
-posteriors of its documents, shrunk toward its host's share, and that toward the global one; how strongly comes from
-the spread of the shares, by moments. The prior of a document's path and its evidence make its posterior.
+posteriors of its documents, shrunk toward its host's share, and that toward the global one; how strongly comes by moments
+from the spread of hosts, and of paths around their own host. The prior of a document's path, taken without the document
+itself, and its evidence make its posterior.
 
 The sums are grouped partial aggregates over all documents. The sites' table is broadcast only while its counted rows
-are few, else joined by shuffle. Null or empty texts have the evidence of an empty text; a null host or path is a site
-of its own; repeated rows are scored alike; without labels of both values nothing is rejected (the posterior is 1).
+are few, else joined by shuffle. Defined results: null or empty texts have the evidence of an empty text; a null host or
+path is a site of its own; a long text is read whole; repeated rows count and are scored as often as they stand, alike; a
+posterior of exactly THRESHOLD is kept; other columns are carried, whatever their names; an empty table gives no rows;
+without labels of both values nothing is rejected (the posterior is 1).
 """
 
 from __future__ import annotations
@@ -17,10 +20,10 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import broadcast_if_small, staged, table
+from engram.llm.common import broadcast_if_small, fresh, staged, table
 from engram.llm.linear import decide, fit_logistic
 from engram.llm.textvec import SPACED, Block, slices
 
@@ -90,9 +93,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
 
 
 def with_evidence(docs: DataFrame, model: tuple | None, columns: Sequence[str]) -> DataFrame:
-    """The named columns and EVIDENCE, the log likelihood ratio of good against bad. columns has text."""
+    """The named columns and last, under a name that docs don't have, the log likelihood ratio of good against bad. columns has text."""
     columns = list(columns)
-    schema = docs.select(*columns).schema.add(EVIDENCE, "double")
+    name = fresh(EVIDENCE, docs)
+    schema = docs.select(*columns).schema.add(name, "double")
 
     def run(batches):
         for b in slices(batches):
@@ -101,51 +105,68 @@ def with_evidence(docs: DataFrame, model: tuple | None, columns: Sequence[str])
             else:
                 x = shape(Block(b.column("text"), SPACED))
                 e = np.clip(decide(np.hstack([x, x**2]), model[:3]) - model[3], -50, 50)
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(e)], [*columns, EVIDENCE])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(e)], [*columns, name])
 
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-def _strength(mean: float, second: float, noise: float) -> float:
-    """Beta strength a + b from the weighted mean, mean square and sampling part of observed shares."""
-    spread = second - mean * mean - noise
-    return float(np.clip(mean * (1 - mean) / spread - 1, 1.0, 1e6)) if spread > 1e-9 else 1e6
+def _strength(chance: float, spread: float) -> float:
+    """Beta strength a + b of shares that differ by `spread` (variance beyond sampling), where m (1 - m) is `chance`."""
+    return float(np.clip(chance / spread - 1, 1.0, 1e6)) if spread > 1e-9 else 1e6
 
 
 def sites(evidence: DataFrame, prior: float) -> DataFrame:
-    """(host, path, prior): the shrunken good share of every path, as log-odds. evidence: host, path, evidence."""
+    """(host, path, good, n, host_good, host_n, mean, over_hosts, over_paths): the summed posteriors and documents of every path and
+    of its host, the global share, and how strongly hosts are drawn to it and paths to their host. evidence: host, path, evidence.
+
+    The strength toward the global share is from the spread of hosts, that toward the host from the spread of paths around their own host's share.
+    """
     p = 1 / (1 + F.exp(-(F.col("evidence") + F.lit(prior))))
     paths = staged(evidence.groupBy("host", "path").agg(F.sum(p).alias("good"), F.count(F.lit(1)).alias("n")), "paths")
-
-    def moments(t: DataFrame) -> tuple[float, float]:
-        share = F.col("good") / F.col("n")
-        r = t.agg(F.sum("n").alias("n"), F.sum("good").alias("g"), F.sum(F.col("n") * share * share).alias("s"), F.count(F.lit(1)).alias("k")).head()
-        if not r["n"]:
-            return 0.5, 1e6
-        mean = r["g"] / r["n"]
-        return mean, _strength(mean, r["s"] / r["n"], mean * (1 - mean) * r["k"] / r["n"])
-
-    hosts = paths.groupBy("host").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-    mean, over_hosts = moments(hosts)
-    _, over_paths = moments(paths)
-    hosts = hosts.withColumn("host_share", (F.lit(mean * over_hosts) + F.col("good")) / (F.lit(over_hosts) + F.col("n"))).select("host", "host_share")
-    share = (F.col("host_share") * over_paths + F.col("good")) / (F.lit(over_paths) + F.col("n"))
+    hosts = paths.groupBy("host").agg(F.sum("good").alias("host_good"), F.sum("n").alias("host_n"), F.count(F.lit(1)).alias("paths"))
+    joined = staged(paths.alias("p").join(hosts.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host"))).select("p.host", "p.path", "good", "n", "host_good", "host_n", "paths"), "shares")
+    share = F.col("host_good") / F.col("host_n")
+    h = hosts.agg(F.sum("host_n").alias("n"), F.sum("host_good").alias("g"), F.sum(F.col("host_n") * share * share).alias("s"), F.count(F.lit(1)).alias("k")).head()
+    mean, over_hosts, over_paths = 0.5, 1e6, 1e6
+    if h["n"]:
+        mean = h["g"] / h["n"]
+        over_hosts = _strength(mean * (1 - mean), h["s"] / h["n"] - mean * mean - mean * (1 - mean) * h["k"] / h["n"])
+        own = F.col("good") / F.col("n")
+        chance = share * (1 - share)
+        w = joined.agg(F.sum(F.col("n") * (own - share) * (own - share)).alias("s"), F.sum(F.col("n") * chance).alias("v"), F.sum(chance * (1 - 1 / F.col("paths"))).alias("e")).head()
+        over_paths = _strength(w["v"] / h["n"], (w["s"] - w["e"]) / h["n"])
+    return joined.select("host", "path", "good", "n", "host_good", "host_n", *[F.lit(float(x)).alias(c) for c, x in (("mean", mean), ("over_hosts", over_hosts), ("over_paths", over_paths))])
+
+
+def prior_without(p: Column | float) -> Column:
+    """Over the columns of sites: the log-odds of a path's good share, shrunk toward its host's, that toward the global one; both without one document of posterior p."""
+    one = F.lit(0) if isinstance(p, float) else F.lit(1)
+    p = F.lit(p) if isinstance(p, float) else p
+    c = F.col
+    host = (c("mean") * c("over_hosts") + c("host_good") - p) / (c("over_hosts") + c("host_n") - one)
+    share = (host * c("over_paths") + c("good") - p) / (c("over_paths") + c("n") - one)
     share = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), share))
-    joined = paths.alias("p").join(hosts.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host")))
-    return staged(joined.select("p.host", "p.path", F.log(share / (1 - share)).alias("prior")), "sites")
+    return F.log(share / (1 - share))
 
 
 def assess(docs: DataFrame, labels: DataFrame, *, site: tuple[str, str] = SITE, columns: Sequence[str] = ("doc_id",), prefix: str = "") -> DataFrame:
     """The named columns with evidence, site_prior (both log-odds) and posterior, the probability of being good; their names begin with prefix."""
     columns = list(columns)
     model = fit_classifier(docs, labels)
+    prior = model[3] if model else 0.0
     scored = with_evidence(docs, model, ["text", *site])
-    priors = sites(scored.select(F.col(site[0]).alias("host"), F.col(site[1]).alias("path"), F.col(EVIDENCE).alias("evidence")), model[3] if model else 0.0)
-    few = broadcast_if_small(priors, priors.count())
-    every = with_evidence(docs, model, list(dict.fromkeys([*columns, "text", *site])))
-    out = every.join(few, every[site[0]].eqNullSafe(few["host"]) & every[site[1]].eqNullSafe(few["path"]), "left")
-    posterior = 1 / (1 + F.exp(-(every[EVIDENCE] + few["prior"])))
-    return out.select(*[every[c] for c in columns], every[EVIDENCE].alias(f"{prefix}evidence"), few["prior"].alias(f"{prefix}site_prior"), posterior.alias(f"{prefix}posterior"))
+    found = scored.columns[-1]
+    every_site = sites(scored.select(F.col(site[0]).alias("host"), F.col(site[1]).alias("path"), F.col(found).alias("evidence")), prior)
+    few = broadcast_if_small(every_site, every_site.count())
+    kept = list(dict.fromkeys([*columns, "text", *site]))
+    every = with_evidence(docs, model, kept)
+    found = every.columns[-1]
+    # columns of docs travel in a struct, so that they can have any name
+    every = every.select(F.struct(*columns).alias("row"), F.col(site[0]).alias("of_host"), F.col(site[1]).alias("of_path"), F.col(found).alias("evidence"))
+    out = every.join(few, F.col("of_host").eqNullSafe(F.col("host")) & F.col("of_path").eqNullSafe(F.col("path")), "left")
+    out = out.withColumn("site_prior", prior_without(1 / (1 + F.exp(-(F.col("evidence") + F.lit(prior))))))
+    posterior = 1 / (1 + F.exp(-(F.col("evidence") + F.col("site_prior"))))
+    return out.select(*[F.col("row")[c].alias(c) for c in columns], F.col("evidence").alias(f"{prefix}evidence"), F.col("site_prior").alias(f"{prefix}site_prior"), posterior.alias(f"{prefix}posterior"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,5 +176,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are not rejected."""
-    out = assess(docs, table(spark, sf_dir, "labels"), columns=docs.columns, prefix="__")
-    return out.filter(F.col("__posterior") >= THRESHOLD).select(*docs.columns)
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    out = assess(docs, table(spark, sf_dir, "labels"), columns=docs.columns, prefix=prefix)
+    return out.filter(F.col(f"{prefix}posterior") >= THRESHOLD).select(*docs.columns)
