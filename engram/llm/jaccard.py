@@ -17,9 +17,10 @@ clash of those changes the order of tokens at most, never a link), sets by their
 hold as well goes back to the task's sets, which then choose their signatures. Equal sets are one node. The nodes of a
 signature are its list. First each node meets the others whose least list neighbour is the same (its hub) and the hub, and
 is compared exactly with these; near copies of one text mostly find each other there. Lists all of whose nodes are then in
-one component are done. Of the others those that meet the same components are put together, and their nodes are compared
-exactly with each other. So only nodes that share a list are compared, components grow by real links alone, and a large
-group is compared in blocks of bounded size, whose tasks return spanning forests.
+one component are done. Of the others those with the same least component are put together, and their nodes are compared
+exactly with each other. So nodes are compared that share a list, or have one each with a node of one component;
+components grow by real links alone, and a large group is compared in blocks of bounded size, whose tasks return as few
+links as join what the links inside each block leave apart.
 
 Defined results: a null or empty text, or one without words, has an empty set and links with nothing. A text of fewer
 than five words has one shingle, its whole sequence. Rows with one doc_id are one document if their texts are equal. A
@@ -254,8 +255,9 @@ class _Sets:
         return i != j
 
 
-def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets: shared tokens are counted for all pairs, by rare tokens one by one, by others as blocks of a 0/1 matrix product."""
+def forest(sets: list[np.ndarray], block: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of the links among sets, or, where they are of two blocks, as few links between the blocks as join what the
+    links inside each leave apart (another task finds those): shared tokens are counted for all pairs, by rare tokens one by one, by others as blocks of a 0/1 matrix product."""
     n = len(sets)
     size = np.array([len(s) for s in sets], dtype=np.int64)
     token, who = np.concatenate(sets), np.repeat(np.arange(n), size)
@@ -281,6 +283,13 @@ def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     both = shared.astype(np.int64)
     i, j = np.nonzero(np.triu(100 * both >= PERCENT * (size[:, None] + size[None, :] - both), 1))
     joined = _Sets(n)
+    across = block[i] != block[j]
+    if across.any():
+        for x, y in zip(i[~across].tolist(), j[~across].tolist(), strict=True):
+            joined.join(x, y)
+        i, j = i[across], j[across]
+    elif (block != block[0]).any():
+        return []
     return [(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if joined.join(x, y)]
 
 
@@ -290,7 +299,7 @@ def verified(docs: DataFrame, cohorts: DataFrame, few: int) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     want = cohorts.join(sizes, "cohort").select("doc_id", "cohort", blocks.alias("blocks"))
     texts = docs.select("doc_id", "text").join(broadcast_if_small(want, few), "doc_id")
-    schema = "task long, doc_id long, tokens binary"
+    schema = "task long, block long, doc_id long, tokens binary"
 
     def spread(batches):
         """Each set goes to the tasks of its block with every block of the cohort."""
@@ -301,9 +310,9 @@ def verified(docs: DataFrame, cohorts: DataFrame, few: int) -> DataFrame:
                 for other in range(blocks):
                     i, j = min(own, other), max(own, other)
                     task = mix(np.array([cohort], np.int64).view(np.uint64) + np.uint64(i * blocks + j))
-                    rows.append((int(task.view(np.int64)[0]), doc, s.tobytes()))
+                    rows.append((int(task.view(np.int64)[0]), own, doc, s.tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["task", "doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["task", "block", "doc_id", "tokens"])
 
     def compare(batches):
         """Rows of one task stand together."""
@@ -311,12 +320,12 @@ def verified(docs: DataFrame, cohorts: DataFrame, few: int) -> DataFrame:
         def groups() -> Iterator[list]:
             task, group = None, []
             for b in batches:
-                for t, doc, tokens in zip(b.column("task").to_pylist(), b.column("doc_id").to_pylist(), b.column("tokens").to_pylist(), strict=True):
+                for t, own, doc, tokens in zip(*(b.column(c).to_pylist() for c in ("task", "block", "doc_id", "tokens")), strict=True):
                     if t != task:
                         if len(group) > 1:
                             yield group
                         task, group = t, []
-                    group.append((doc, tokens))
+                    group.append((doc, (own, tokens)))
             if len(group) > 1:
                 yield group
 
@@ -325,7 +334,7 @@ def verified(docs: DataFrame, cohorts: DataFrame, few: int) -> DataFrame:
             found = dict(group)  # a repeated row counts once
             ids = list(found)
             if len(ids) > 1:
-                out += [(ids[i], ids[j]) for i, j in forest([np.frombuffer(found[x], np.uint64) for x in ids])]
+                out += [(ids[i], ids[j]) for i, j in forest([np.frombuffer(found[x][1], np.uint64) for x in ids], np.array([found[x][0] for x in ids]))]
             if len(out) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out])], ["a", "b"])
                 out = []
@@ -351,9 +360,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     links = staged(verified(docs, stars, stars.count()), "links")
     found = components(links)
     parts = lists.join(found.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("sig", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component"))
-    meet = parts.select("sig", "component").distinct().groupBy("sig").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("least"), F.sum(F.xxhash64("component").cast("decimal(38,0)")).alias("sum")).filter("n > 1")
-    rest = parts.join(meet.select("sig", F.xxhash64("n", "least", "sum").alias("cohort")), "sig").select("doc_id", "cohort", "n_shingles")
-    rest = staged(rest.distinct(), "rest")
+    meet = parts.groupBy("sig").agg(F.min("component").alias("cohort"), F.max("component").alias("most")).filter("cohort < most").select("sig", "cohort")
+    rest = parts.join(meet, "sig").select("doc_id", "cohort", "n_shingles")
+    # sizes of linked sets are a quarter apart at most: a node that has no other of its cohort in its size class or the next ones meets none
+    rest = staged(rest.distinct().withColumn("size", F.floor(F.log("n_shingles") / F.log(F.lit(1.25))).cast("int")), "rest")
+    filled = rest.groupBy("cohort", "size").agg(F.count(F.lit(1)).alias("n"))
+    near = filled.select("cohort", F.explode(F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).alias("size"), "n").groupBy("cohort", "size").agg(F.sum("n").alias("n")).filter("n > 1")
+    rest = staged(rest.join(near.drop("n"), ["cohort", "size"]).drop("size"), "near")
     linked = components(links.unionByName(verified(docs, rest, rest.count())))
     named = nodes.join(linked, nodes["doc_id"] == linked["id"], "left").select("fp", "check", F.coalesce("component", "doc_id").alias("component_id"))
     rows = each.join(named, ["fp", "check"], "left")
