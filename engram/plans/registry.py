@@ -39,7 +39,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from engram.plans import choosing, cognition, derived, memory, merging, selection, sequences  # noqa: F401  they register their queries
+    from engram.plans import choosing, cognition, derived, insight, memory, merging, recall, selection, sequences, signals  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:
