@@ -20,7 +20,8 @@ K = 128
 WORDS = 5
 #: Neighbouring documents that are brought together, about.
 BUCKET = 500
-QUANTILES = 1024
+#: Quantiles of the ids at which ranges begin.
+SHARES = [0.0, 1e-5, 1e-4, 1e-3, *[i / 64 for i in range(1, 64)], 0.999, 0.9999, 0.99999]
 
 
 def shingles(text: Column, words: int = WORDS) -> Column:
@@ -65,24 +66,28 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 def with_next(docs: DataFrame, carry: list[str]) -> DataFrame:
     """doc_id, own and next: structs of the carried columns of a row and of the next one by doc_id (nulls first, in ranges of their hash), then by the carried columns; after the last comes the first.
 
-    doc_id is cut into ranges of about BUCKET rows: at QUANTILES of the ids, and between two of these by equal width, so that
-    whatever gaps the ids have no range holds more than about one part in QUANTILES of the rows; rows without id fall into
-    ranges by the hash of what they carry. A window finds the next row inside a range, and the last row of a range gets the
+    doc_id is cut into ranges of about BUCKET rows: at some quantiles of the ids, closer to each other at both ends, and between
+    two of these by equal width. So ids far from all others don't widen the ranges of the rest; rows without id fall into
+    ranges by the hash of the first column they carry. A window finds the next row inside a range, and the last row of a range gets the
     first row of the next range that has rows. Rows move once: all branches below read one exchange, which carries each text once.
     """
-    shares = [i / QUANTILES for i in range(QUANTILES)]
-    cuts, low, high, n, nulls = docs.agg(F.percentile_approx("doc_id", shares, 10 * QUANTILES), F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))).head()
-    cuts = sorted({low or 0, *(cuts or [])[:: max(1, QUANTILES * BUCKET // max(n, 1))]})
-    ends = [*cuts[1:], (high or 0) + 1]
-    per = max(1, n // len(cuts) // BUCKET)  # ranges between two quantiles
-    width = F.array(*[F.lit(max(1, -(-(z - a) // per))) for a, z in zip(cuts, ends, strict=True)])
-    rows = [cuts[i : i + 32] for i in range(0, len(cuts), 32)]
-    below = lambda some: F.size(F.filter(some, lambda c: c <= F.col("doc_id"))) - 1
-    row = below(F.array(*[F.lit(r[0]) for r in rows]))
-    place = row * 32 + below(F.get(F.array(*[F.array(*[F.lit(c) for c in r]) for r in rows]), row))
-    part = F.least(F.lit(2**31), F.floor((F.col("doc_id") - F.get(F.array(*[F.lit(c) for c in cuts]), place)) / F.get(width, place)))
-    spread = F.pmod(F.xxhash64(*carry), F.lit(max(1, nulls // BUCKET)))
-    bucket = F.when(F.col("doc_id").isNull(), spread - F.lit(2**32)).otherwise(place.cast("long") * 2**32 + part.cast("long"))
+    cuts, low, high, n, nulls = docs.agg(F.percentile_approx("doc_id", SHARES, 1 << 20), F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.count(F.when(F.col("doc_id").isNull(), 1))).head()
+    rows = dict(zip(cuts or [], SHARES, strict=False))  # of equal cuts the last share counts
+    rows[low or 0] = max(0.0, rows.get(low or 0, 0.0))
+    starts = sorted(rows)
+    ends, after = [*starts[1:], (high or 0) + 1], [*[rows[c] for c in starts[1:]], 1.0]
+
+    def place(i: int, j: int) -> Column:
+        """The range of an id that lies from the i-th start to before the j-th: a search tree of comparisons."""
+        if j - i > 1:
+            mid = (i + j) // 2
+            return F.when(F.col("doc_id") < starts[mid], place(i, mid)).otherwise(place(mid, j))
+        many = max(1, round((after[i] - rows[starts[i]]) * n / BUCKET))
+        return F.lit(i << 32) + F.floor((F.col("doc_id") - F.lit(starts[i])) / F.lit(max(1, -(-(ends[i] - starts[i]) // many)))).cast("long")
+
+    spread = F.pmod(F.xxhash64(carry[0]), F.lit(max(1, nulls // BUCKET)))
+    # never null, or a test for that would part the exchange of one branch from that of the others
+    bucket = F.coalesce(F.when(F.col("doc_id").isNull(), spread - F.lit(2**32)).otherwise(place(0, len(starts))), F.lit(-(2**32)))
     docs = docs.select("doc_id", bucket.alias("range"), F.struct(*carry).alias("own"))
     inside = Window.partitionBy("range").orderBy(F.col("doc_id").asc_nulls_first(), "own")
     rows = docs.withColumns({"next": F.lead("own").over(inside), "first": F.lag("range").over(inside).isNull()})

@@ -680,7 +680,6 @@ def test_ranges_of_ids_with_gaps(spark, monkeypatch):
     from pyspark.sql import functions as F
 
     monkeypatch.setattr(fingerprint, "BUCKET", 20)
-    monkeypatch.setattr(fingerprint, "QUANTILES", 16)
     ids = [*range(1000), *range(5000, 5100), 2**50, -(2**40)]
     docs = spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string")
     got = {r["doc_id"]: r["next"]["text"] for r in fingerprint.with_next(docs, ["text"]).collect()}
