@@ -47,17 +47,28 @@ def walkable(synapses: DataFrame, states: DataFrame | None = None, *, min_weight
     return e
 
 
-def spread(anchors: DataFrame, edges: DataFrame, *, max_hops: int = 4, decay: float = 0.5, min_level: float = 0.3) -> DataFrame:
-    """query_id, node_id, level, hop: activation from anchors (query_id, node_id, level), hop by hop, the best level of each node kept."""
+def spread(anchors: DataFrame, edges: DataFrame, *, max_hops: int = 4, decay: float = 0.5, min_level: float = 0.3, stop: tuple[float, int, int] | None = None) -> DataFrame:
+    """query_id, node_id, level, hop: activation from anchors (query_id, node_id, level), hop by hop, the best level of each node kept.
+
+    stop: (ratio, least, grace): beyond `grace` hops a query goes on only while a hop finds `least` new nodes and `ratio` times those of the hop before.
+    """
     edges = settled(edges)  # read once a hop
     reached = anchors.select("query_id", "node_id", F.col("level").cast("double").alias("level"), F.lit(0).alias("hop"))
     frontier = reached
+    counts = [settled(reached.groupBy("query_id").agg(F.countDistinct("node_id").alias("n")))] if stop else []
     for hop in range(1, max_hops + 1):
+        if stop and hop > stop[2] and hop > 1:
+            before = counts[-2].withColumnRenamed("n", "prev")
+            on = counts[-1].join(before, "query_id", "left").filter((F.col("n") >= stop[1]) & ~(F.coalesce(F.col("prev") > 0, F.lit(False)) & (F.col("n") / F.col("prev") < stop[0])))
+            frontier = frontier.join(on.select("query_id"), "query_id", "left_semi")
         out = frontier.join(edges, F.col("node_id") == F.col("source")).select("query_id", F.col("target").alias("node_id"), (F.col("level") * decay * F.col("factor")).alias("level"))
         out = out.filter(F.col("level") >= min_level).groupBy("query_id", "node_id").agg(F.max("level").alias("level"))
         before = reached.groupBy("query_id", "node_id").agg(F.max("level").alias("best"))
         better = out.join(before, ["query_id", "node_id"], "left").filter(F.col("best").isNull() | (F.col("level") > F.col("best")))
-        frontier = settled(better.select("query_id", "node_id", "level", F.lit(hop).alias("hop")))
+        frontier = settled(better.select("query_id", "node_id", "level", F.lit(hop).alias("hop"), *([F.col("best").isNull().alias("new")] if stop else [])))
+        if stop:
+            counts.append(settled(frontier.filter("new").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))))
+            frontier = frontier.drop("new")
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
