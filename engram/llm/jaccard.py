@@ -50,7 +50,7 @@ PERCENT = 80
 #: Tokens of a set for each group in which combinations are formed.
 GROUP = 32
 #: Bits of a token's hash by which it is counted; tokens of one part of the count, about; shingles packed at once.
-BITS, PART, PACKED = 44, 1 << 20, 1_500_000
+BITS, PART, PACKED = 44, 1 << 20, 800_000
 #: Nodes and shingles of a block of a cohort (nodes that are compared with each other), about; two blocks meet in one task.
 BLOCK_NODES, BLOCK_SHINGLES = 1024, 1 << 20
 
