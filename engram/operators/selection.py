@@ -6,17 +6,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Candidates of a query that diverse selection looks at.
-CANDIDATES = 50
-
-
-def diverse(scored: DataFrame, members: DataFrame, *, n: int = 10, overlap: float = 0.6, penalty: float = 0.7) -> DataFrame:
+def diverse(scored: DataFrame, members: DataFrame, *, n: int = 10, overlap: float = 0.6, penalty: float = 0.7, candidates: int = 50) -> DataFrame:
     """query_id, fiber_id, score, rank: candidates in order of score, leaving out those that share most nodes with a chosen one, unless their score stays above half of the last chosen.
 
-    scored: query_id, fiber_id, score; members: fiber_id, neuron_id. A group holds at most CANDIDATES rows, by rank.
+    scored: query_id, fiber_id, score; members: fiber_id, neuron_id. A group holds the first `candidates` rows of a query, by rank.
     """
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 12).desc(), "fiber_id"))
-    few = scored.withColumn("place", rank).filter(F.col("place") <= CANDIDATES)
+    few = scored.withColumn("place", rank).filter(F.col("place") <= candidates)
     nodes = members.join(few.select("fiber_id").distinct(), "fiber_id", "left_semi").groupBy("fiber_id").agg(F.collect_set("neuron_id").alias("nodes"))
     few = few.join(nodes, "fiber_id")
 

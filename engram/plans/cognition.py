@@ -36,7 +36,7 @@ def sc18(spark: SparkSession, sf: str) -> DataFrame:
     _RECURSIVE(
         oracle(
             "SELECT item, box, streak, round(ease, 4) AS ease, round(days, 6) AS days FROM run WHERE i = len(r) + 1",
-            """rv AS (SELECT session_id AS item, list({'ok': success, 'q': CASE WHEN success THEN CAST(id % 6 AS INTEGER) ELSE CAST(least(id % 6, 2) AS INTEGER) END} ORDER BY at_us, id) AS r FROM acts WHERE id % 20 = 0 GROUP BY session_id),
+            """rv AS (SELECT session_id AS item, list({'ok': success, 'q': CASE WHEN success THEN CAST(id % 6 AS INTEGER) ELSE CAST(least(id % 6, 2) AS INTEGER) END} ORDER BY at_us, id) AS r FROM acts GROUP BY session_id),
     run AS (SELECT item, r, 1 AS i, 1 AS box, 0 AS streak, 2.5::DOUBLE AS ease, 1.0::DOUBLE AS days FROM rv UNION ALL
       SELECT item, r, i + 1, nb, CASE WHEN ok THEN streak + 1 ELSE 0 END, ne, ([1.0, 3.0, 7.0, 14.0, 30.0])[nb] * CASE WHEN nb > 2 AND ok THEN ne ELSE 1.0 END FROM (
         SELECT *, (r[i]).ok AS ok, CASE WHEN (r[i]).ok THEN least(box + 1, 5) ELSE greatest(1, box - CASE WHEN box <= 3 THEN 1 ELSE 2 END) END AS nb,
@@ -45,7 +45,7 @@ def sc18(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def sc23(spark: SparkSession, sf: str) -> DataFrame:
-    e = Tables(spark, sf).events().filter("id % 20 = 0")
+    e = Tables(spark, sf).events()
     r = e.select(F.col("session_id").alias("item"), F.col("at_us").alias("at"), F.col("id").alias("seq"), F.col("success").alias("ok"), (F.col("id") % 6).cast("int").alias("quality"))
     return cognition.review_replay(r).select("item", "box", "streak", F.round("ease", 4).alias("ease"), F.round("days", 6).alias("days"))
 
@@ -71,7 +71,7 @@ def tk6(spark: SparkSession, sf: str) -> DataFrame:
     _RECURSIVE(
         oracle(
             "SELECT session_id, topic, round(w, 6) AS weight FROM run WHERE i = steps AND w > 0",
-            """q AS (SELECT session_id, action AS topic, row_number() OVER (PARTITION BY session_id ORDER BY at_us, id) - 1 AS n FROM acts QUALIFY n < 30),
+            """q AS (SELECT session_id, action AS topic, row_number() OVER (PARTITION BY session_id ORDER BY at_us, id) - 1 AS n FROM acts),
     tot AS (SELECT session_id, max(n) + 1 AS steps FROM q GROUP BY 1), seen AS (SELECT session_id, topic, list(n) AS at_n, any_value(steps) AS steps FROM q JOIN tot USING (session_id) GROUP BY 1, 2),
     run AS (SELECT session_id, topic, at_n, steps, 0::BIGINT AS i, 0.0::DOUBLE AS w FROM seen UNION ALL
       SELECT session_id, topic, at_n, steps, i + 1, CASE WHEN w * 0.7::DOUBLE < 0.01 THEN 0.0 ELSE w * 0.7::DOUBLE END + CASE WHEN list_contains(at_n, i) THEN 0.3::DOUBLE ELSE 0.0 END FROM run WHERE i < steps)""",
@@ -82,7 +82,7 @@ def wn6(spark: SparkSession, sf: str) -> DataFrame:
     from pyspark.sql import Window
 
     n = F.row_number().over(Window.partitionBy("session_id").orderBy("at_us", "id")) - 1
-    q = Tables(spark, sf).events().select("session_id", n.alias("n"), F.col("action").alias("topic")).filter("n < 30")
+    q = Tables(spark, sf).events().select("session_id", n.alias("n"), F.col("action").alias("topic"))
     return cognition.topic_ema(q).withColumn("weight", F.round("weight", 6))
 
 

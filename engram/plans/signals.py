@@ -44,7 +44,7 @@ b AS (SELECT *, greatest({", ".join(f"s{i}" for i in range(len(signals.INTENTS))
 c AS (SELECT *, CASE WHEN best = 0 THEN 'recall' {" ".join(f"WHEN s{i} = best THEN '{n}'" for i, (n, _, _) in enumerate(signals.INTENTS))} END AS intent FROM b)
 SELECT id, intent, CASE WHEN intent IN ('confirm', 'compare') THEN intent WHEN {_like('low', '|'.join(signals.SUMMARY))} THEN 'summarize' WHEN {_like('low', '|'.join(signals.ANALYSIS))} THEN 'analyze' ELSE 'recall' END AS perspective,
   CASE WHEN intent IN ('ask_why', 'ask_feeling') THEN 'deep' WHEN intent = 'ask_pattern' THEN 'habit' WHEN intent IN ('ask_how', 'compare') OR list_has_any(w, [{", ".join(map(q, signals.AROUND))}]) THEN 'context' ELSE 'instant' END AS depth,
-  CASE WHEN {_like('low', f'[{signals.VIETNAMESE}]')} OR list_has_any(w, [{", ".join(map(q, signals.VIETNAMESE_WORDS))}]) THEN 'vi' ELSE 'en' END AS lang,
+  CASE WHEN (length(low) >= 20 AND len(regexp_extract_all(low, {q(f'[{signals.VIETNAMESE_ALL}]')})) > 0.05 * length(low)) OR {_like('low', f'[{signals.VIETNAMESE}]')} OR list_has_any(w, [{", ".join(map(q, signals.VIETNAMESE_WORDS))}]) THEN 'vi' ELSE 'en' END AS lang,
   CASE WHEN length(low) < 5 THEN NULL WHEN theirs > 0 AND theirs >= mine THEN 'assistant' WHEN mine > theirs THEN 'user' END AS role FROM c"""
 
 
