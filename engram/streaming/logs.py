@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from engram.operators.links import alerts
 
 
 def tool_stats_stream(events: DataFrame, *, watermark: str = "10 minutes") -> DataFrame:
@@ -49,3 +54,62 @@ def with_late(stream: DataFrame, *, bound: str, late_path: str) -> Callable[[Dat
         return batch.filter(F.col("ts") >= edge)
 
     return split
+
+
+def sequential_pair_stream(events: DataFrame, *, window_s: float = 30.0) -> DataFrame:
+    """session_id, a, b, gap_s: actions that follow each other within a window, across micro-batches. The state of a session is its last event; late events are paired in the order of their batch."""
+
+    def pair(key, batches, state: GroupState):
+        last = state.get if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        out = []
+        for ts, action in zip(rows["ts"], rows["action"], strict=True):
+            at = ts.timestamp()
+            if last is not None and 0 <= at - last[0] <= window_s and action != last[1]:
+                out.append((key[0], last[1], action, at - last[0]))
+            last = (at, action)
+        state.update(last)
+        yield pd.DataFrame(out, columns=["session_id", "a", "b", "gap_s"])
+
+    schema = "session_id long, a string, b string, gap_s double"
+    return events.groupBy("session_id").applyInPandasWithState(pair, schema, "at double, action string", "append", GroupStateTimeout.NoTimeout)
+
+
+def topic_ema_stream(topics: DataFrame, *, keep: float = 0.7, least: float = 0.01) -> DataFrame:
+    """session_id, topic, weight after each micro-batch: topics (session_id, id, ts, topic) of a session fade with each event and the named one gains 1 - keep. The state of a session is its topics above `least`."""
+
+    def fold(key, batches, state: GroupState):
+        weights = json.loads(state.get[0]) if state.exists else {}
+        rows = pd.concat(list(batches)).sort_values(["ts", "id"])
+        for _, event in rows.groupby(["ts", "id"], sort=True):
+            weights = {t: w * keep for t, w in weights.items() if w * keep >= least}
+            for topic in sorted(set(event["topic"])):
+                weights[topic] = weights.get(topic, 0.0) + 1 - keep
+        state.update((json.dumps(weights, sort_keys=True),))
+        yield pd.DataFrame([(key[0], t, w) for t, w in sorted(weights.items())], columns=["session_id", "topic", "weight"])
+
+    return topics.groupBy("session_id").applyInPandasWithState(fold, "session_id long, topic string, weight double", "weights string", "update", GroupStateTimeout.NoTimeout)
+
+
+def watch_directory(spark: SparkSession, path: str, *, pattern: str = "*", most_files: int = 1000) -> DataFrame:
+    """path, content, sha256, modified of files as they appear in a folder and those below it; each file is one row, read once."""
+    files = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", most_files).load(path)
+    return files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"), F.sha2(F.col("value").cast("binary"), 256).alias("sha256"), F.col("_metadata.file_modification_time").alias("modified"))
+
+
+def alert_stream(candidates: DataFrame, *, path: str, checkpoint: str, cooldown_h: float = 6.0) -> StreamingQuery:
+    """Writes the alerts (brain_id, kind, ts) that are let through to path: one after another, each unless an accepted one of its
+    kind lies inside the cooldown, across micro-batches. A repeated batch writes its alerts to the same folder again."""
+    by = ("brain_id", "kind")
+
+    def accept(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        known = spark.createDataFrame([], "brain_id string, kind string, at long")
+        if number:
+            known = spark.read.schema("brain_id string, kind string, ts timestamp, n long").parquet(path).filter(F.col("n") < number).groupBy(*by).agg(F.max(F.unix_timestamp("ts")).alias("at"))
+        last = known.withColumnRenamed("at", "last")
+        new = batch.select(*by, F.unix_timestamp("ts").alias("at")).join(last, list(by), "left").filter(F.col("last").isNull() | (F.col("at") > F.col("last"))).drop("last")
+        passed = alerts(new.unionByName(known), cooldown=int(cooldown_h * 3600), by=by).join(known, [*by, "at"], "left_anti")
+        passed.select(*by, F.timestamp_seconds("at").alias("ts"), F.lit(number).cast("long").alias("n")).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return candidates.writeStream.foreachBatch(accept).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

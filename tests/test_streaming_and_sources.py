@@ -65,6 +65,43 @@ def test_each_batch_splits_late_rows(spark, tmp_path):
     assert sorted(kept + late) == [0, 1] and 1 in kept
 
 
+def test_sequential_pair_stream(spark, tmp_path):
+    rows = [(i, i % 2, T0 + datetime.timedelta(seconds=20 * i), "abc"[i % 3], 0.0) for i in range(12)]
+    df = spark.createDataFrame(rows, EVENTS)
+    for part in (0, 1):  # two files, a micro-batch each
+        df.filter(f"int(id / 6) = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = sorted((r["session_id"], r["a"], r["b"], r["gap_s"]) for r in drain(logs.sequential_pair_stream(s, window_s=45), tmp_path, "pairs"))
+    assert got == sorted((k, rows[i][3], rows[i + 2][3], 40.0) for k in (0, 1) for i in range(k, 10, 2))
+    assert drain(logs.sequential_pair_stream(s, window_s=30), tmp_path, "no_pairs") == []
+
+
+def test_topic_ema_stream(spark, tmp_path):
+    rows = [(i, 1, T0 + datetime.timedelta(minutes=i), "aab"[i % 3]) for i in range(9)]
+    _, s = stream(spark, tmp_path, rows, "id long, session_id long, ts timestamp, topic string")
+    got = {r["topic"]: r["weight"] for r in drain(logs.topic_ema_stream(s), tmp_path, "ema", "update")}
+    want = {}
+    for r in rows:
+        want = {t: w * 0.7 for t, w in want.items()}
+        want[r[3]] = want.get(r[3], 0.0) + 0.3
+    assert {t: round(w, 9) for t, w in got.items()} == {t: round(w, 9) for t, w in want.items()}
+
+
+def test_watch_directory_and_alerts(spark, tmp_path):
+    (tmp_path / "docs" / "sub").mkdir(parents=True)
+    (tmp_path / "docs" / "a.md").write_text("one")
+    (tmp_path / "docs" / "sub" / "b.md").write_text("two")
+    (tmp_path / "docs" / "c.bin").write_text("no")
+    assert sorted(r["content"] for r in drain(logs.watch_directory(spark, str(tmp_path / "docs"), pattern="*.md"), tmp_path, "watch")) == ["one", "two"]
+    schema = "brain_id string, kind string, ts timestamp"
+    for hours in (0, 3, 8):
+        spark.createDataFrame([("b", "decay", T0 + datetime.timedelta(hours=hours)), ("b", "decay", T0 + datetime.timedelta(hours=hours, minutes=9)), ("b", f"k{hours}", T0)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "alerts"))
+        s = spark.readStream.schema(schema).parquet(str(tmp_path / "alerts"))
+        logs.alert_stream(s, path=str(tmp_path / "out"), checkpoint=str(tmp_path / "ck_alerts")).awaitTermination(120)
+    got = sorted((r["kind"], r["ts"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("decay", T0), ("decay", T0 + datetime.timedelta(hours=8)), ("k0", T0), ("k3", T0), ("k8", T0)]
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "docs" / "sub").mkdir(parents=True)
     (tmp_path / "docs" / "a.md").write_text("# A\nhello")
