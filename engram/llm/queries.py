@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from engram.llm import decontaminate, fingerprint, jaccard, licenses, lm, mixing, quality, substring, toxicity, warc
+from engram.llm import decontaminate, fingerprint, jaccard, licenses, lm, mixing, quality, substring, toxicity, vectors, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": decontaminate.op1_decontamination,
@@ -19,5 +19,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": mixing.op8_source_mix,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_jaccard_join": jaccard.op10_jaccard_join,
+    "op13_embedding_dedup": vectors.op13_embedding_dedup,
 }
-ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.OP1_SQL, "op3_warc_index": warc.OP3_SQL, "op5_license_scan": licenses.OP5_SQL, "op10_jaccard_join": jaccard.OP10_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.OP1_SQL, "op3_warc_index": warc.OP3_SQL, "op5_license_scan": licenses.OP5_SQL, "op10_jaccard_join": jaccard.OP10_SQL, "op13_embedding_dedup": vectors.OP13_SQL}
