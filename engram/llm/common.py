@@ -62,3 +62,11 @@ def fold_of(doc_id: Column) -> Column:
 def broadcast_if_small(df: DataFrame, rows: int, most: int = 200_000) -> DataFrame:
     """Broadcasts a table whose counted rows are within `most`; a larger one is left to a shuffled join."""
     return F.broadcast(df) if rows <= most else df
+
+
+def crc_ctes(keys: str) -> str:
+    """SQL common table expressions (of a recursive WITH) that end in crc32(s, crc): the unsigned CRC-32 of every ASCII text s of `keys`."""
+    return f"""crc_steps(n, k, c) AS (SELECT n, 0, n FROM range(256) r(n) UNION ALL SELECT n, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM crc_steps WHERE k < 8),
+crc_table AS (SELECT n, c FROM crc_steps WHERE k = 8), crc_keys AS ({keys}),
+crc_chars(s, i, c) AS (SELECT s, 0, 4294967295 FROM crc_keys UNION ALL SELECT s, i + 1, xor(x.c >> 8, t.c) FROM crc_chars x JOIN crc_table t ON t.n = xor(x.c, ascii(substr(s, i + 1, 1))) & 255 WHERE i < length(s)),
+crc32 AS (SELECT s, xor(c, 4294967295) AS crc FROM crc_chars WHERE i = length(s))"""
