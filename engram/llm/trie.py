@@ -175,7 +175,8 @@ def contracted(tree: DataFrame, sums: list[str], *, rounds: int = 200, seed: int
         stem = staged(stem.select("name", "parent", (F.col("kids") - F.coalesce("raked", F.lit(0))).alias("kids"), *[(F.col(s) + F.coalesce(f"new_{s}", F.lit(0))).alias(s) for s in sums], *edge), "raked")
         # compress: nodes with one child, none of which is its own neighbour's
         unary = stem.filter("kids = 1 and parent is not null").filter(coin(F.col("name"), r))
-        child = stem.filter("parent is not null").filter(~coin(F.col("name"), r)).select(F.col("parent").alias("name"), F.col("name").alias("child"), *[F.col(e).alias(f"child_{e}") for e in edge])
+        child = stem.filter("parent is not null").groupBy(F.col("parent").alias("name")).agg(F.min(F.struct("name", *edge)).alias("c"))  # partial minima: a node may have any number of children
+        child = child.select("name", F.col("c.name").alias("child"), *[F.col(f"c.{e}").alias(f"child_{e}") for e in edge]).filter(~coin(F.col("child"), r))
         unary = staged(unary.join(child, "name"), "compressed")
         # what a compressed node holds beside its child's total
         pending.append(unary.select("name", "child", *[(F.col(s) + F.col(f"child_{e}")).alias(s) for s, e in zip(sums, edge, strict=True)]))

@@ -69,7 +69,7 @@ def spread(spark):
 def test_trie_against_plain_loops(spark, spread):
     g = random.Random(2)
     rows = made(g, [*range(-5, 5), *range(95, 130), *range(203, 240), *range(1000, 1060)], 9)
-    rows += [(700, t, "user", f"turn {g.randrange(9)}") for t in range(150)] + [(701, t, *r[2:]) for t, r in enumerate(rows[-150:])]
+    rows += [(700, t, "user", f"turn {g.randrange(9)}") for t in range(50)] + [(701, t, *r[2:]) for t, r in enumerate(rows[-50:])]
     rows += [(None, 0, "user", "no conversation")]
     assert result(trie_of(spark.createDataFrame(rows, SCHEMA).repartition(4))) == expected(rows)
 
