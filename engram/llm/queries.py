@@ -23,4 +23,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_embedding_dedup": vectors.op13_embedding_dedup,
 }
-ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.OP1_SQL, "op3_warc_index": warc.OP3_SQL, "op5_license_scan": licenses.OP5_SQL, "op10_jaccard_join": jaccard.OP10_SQL, "op12_prefix_trie": trie.OP12_SQL, "op13_embedding_dedup": vectors.OP13_SQL}
+ORACLES: dict[str, str] = {"op1_decontamination": decontaminate.OP1_SQL, "op3_warc_index": warc.OP3_SQL, "op5_license_scan": licenses.OP5_SQL, "op10_jaccard_join": jaccard.OP10_SQL, "op11_conversation_repair": repair.OP11_SQL, "op12_prefix_trie": trie.OP12_SQL, "op13_embedding_dedup": vectors.OP13_SQL}

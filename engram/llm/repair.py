@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import prepare, staged, table
+from engram.llm.common import crc_ctes, prepare, staged, table
 
 SPACES = " \t\n\x0b\x0c\r"
 SEGMENT, FAN = 64, 32
@@ -444,3 +444,30 @@ def repaired(conversations: DataFrame) -> DataFrame:
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The repair of every conversation of `conversations` after damage by rule."""
     return repair_report(damaged(table(spark, sf_dir, "conversations")))
+
+
+OP11_SQL = f"""WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS s FROM conversations),
+{crc_ctes("SELECT DISTINCT s FROM t")},
+damaged AS (SELECT conv_id, turn, CASE WHEN crc % 20 = 4 THEN 'user' ELSE role END AS role, CASE crc % 20 WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    CASE crc % 20 WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS copies FROM t JOIN crc32 USING (s)),
+after AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(length(role) || ':' || role || text)) AS n
+    FROM damaged, range(2) c(copy) WHERE copy < copies),
+found AS (SELECT *, left(role, 1) AS initial, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY n) > 1 AS again FROM after),
+r AS (SELECT *, bare = '' AS blank, bare <> '' AND again AS duplicate, bare <> '' AND NOT again AND right(bare, 1) NOT IN ('.', '!', '?') AS cut, lag(initial) OVER (PARTITION BY conv_id ORDER BY n) AS before FROM found),
+counts AS (SELECT c.conv_id, count(n) AS m, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate,
+    count(*) FILTER (cut) AS truncated, count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM c.conv_id GROUP BY c.conv_id),
+inserts(q, ins, via) AS (VALUES ('0', '', '0'), ('0', 'I', 'u'), ('0', 'II', 'a'), ('s', '', 's'), ('s', 'I', 'u'), ('s', 'II', 'a'), ('u', '', 'u'), ('u', 'I', 'a'), ('u', 'II', 'u'), ('a', '', 'a'), ('a', 'I', 'u'), ('a', 'II', 'a')),
+edits(via, e, target, cost, role) AS (VALUES ('0', 'D', '0', 3, ''), ('s', 'D', 's', 3, ''), ('u', 'D', 'u', 3, ''), ('a', 'D', 'a', 3, ''), ('0', 'K', 's', 0, 's'), ('0', 'K', 'u', 0, 'u'), ('s', 'K', 'u', 0, 'u'), ('a', 'K', 'u', 0, 'u'), ('u', 'K', 'a', 0, 'a'),
+    ('0', 'R', 'u', 2, ''), ('s', 'R', 'u', 2, ''), ('u', 'R', 'a', 2, ''), ('a', 'R', 'u', 2, '')),
+ends(q, cost, audit) AS (VALUES ('0', 0, ''), ('a', 0, ''), ('u', 2, 'I'), ('s', 4, 'II')),
+dp(conv_id, n, q, best) AS (SELECT conv_id, m + 1, q, {{'cost': cost, 'audit': audit}} FROM counts, ends
+    UNION ALL SELECT dp.conv_id, dp.n - 1, i.q, min({{'cost': dp.best.cost + e.cost + 2 * CAST(length(ins) AS INTEGER) + CASE WHEN cut AND e <> 'D' THEN 1 ELSE 0 END, 'audit': ins || e || dp.best.audit}})
+    FROM dp JOIN r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.n = dp.n - 1 JOIN edits e ON e.target = dp.q AND (e = 'D' OR NOT (blank OR duplicate)) AND (e <> 'K' OR e.role = initial) JOIN inserts i ON i.via = e.via GROUP BY ALL),
+best AS (SELECT conv_id, best.cost AS cost, best.audit AS audit FROM dp WHERE n = 1 AND q = '0'),
+steps AS (SELECT conv_id, k, substr(audit, k, 1) AS e FROM best, range(1, 100000) x(k) WHERE k <= length(audit)),
+placed AS (SELECT conv_id, k, e, count(*) FILTER (e <> 'I') OVER w AS at, count(*) FILTER (e <> 'D') OVER w AS j FROM steps WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+said AS (SELECT p.conv_id, k, e, j, r.role, r.text, max(CASE WHEN j = 1 AND e = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY p.conv_id) AS s FROM placed p LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.n = p.at WHERE e <> 'D'),
+texts AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (j - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS text FROM said GROUP BY conv_id)
+SELECT c.conv_id, gaps, blank, duplicate, truncated, illegal, CAST(cost AS BIGINT) AS cost, audit, sha256(coalesce(text, '')) AS repaired_sha256
+FROM counts c JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN texts ON texts.conv_id IS NOT DISTINCT FROM c.conv_id"""
