@@ -25,7 +25,10 @@ def settled(df: DataFrame) -> DataFrame:
     """The rows, kept in the shared checkpoint folder, so that a loop's lineage does not grow."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="engram-"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="engram-"))
     return df.checkpoint(eager=True)
 
 

@@ -12,7 +12,7 @@ from engram.operators.dedup import hamming, simhash
 from engram.plans.encoding import _FOUND
 from engram.plans.memory import _FACTOR, _HASHES
 from engram.plans.registry import register
-from engram.plans.signals import _TEXTS, q, texts
+from engram.plans.signals import _SAID_TOO, q, said_too
 
 _CAUGHT = " UNION ALL ".join(
     f"SELECT id, {i} AS turn, {j} AS nth, '{kind}' AS type, {q(prefix)} AS prefix, {c}::DOUBLE AS c, {p} AS priority, unnest(list_filter(list_transform(regexp_extract_all(low, {q(pattern)}, 1), lambda x: trim(x)), lambda x: length(x) >= {least})) AS x FROM low"
@@ -21,9 +21,9 @@ _CAUGHT = " UNION ALL ".join(
 _CUT = "CASE " + " ".join(f"WHEN regexp_extract(x, '^(.{{50,}}?)[{m}]', 1) <> '' THEN regexp_extract(x, '^(.{{50,}}?)[{m}]', 1)" for m in "!?;") + " ELSE x END"
 
 
-@register("dd10_auto_capture", f"WITH {_TEXTS}, low AS (SELECT id, lower(coalesce(text, '')) AS low FROM texts), c AS ({_CAUGHT}), d AS (SELECT id, type, prefix || CASE WHEN length(x) > 100 THEN {_CUT} ELSE x END AS content, round(CASE WHEN length(x) > 200 THEN c * 0.7 WHEN length(x) < 10 THEN c * 0.3 ELSE c END, 4) AS confidence, priority, turn, nth FROM c) SELECT id, type, content, max(confidence) AS confidence, min(priority) AS priority FROM d GROUP BY id, type, content")
+@register("dd10_auto_capture", f"WITH {_SAID_TOO}, low AS (SELECT id, lower(coalesce(text, '')) AS low FROM texts), c AS ({_CAUGHT}), d AS (SELECT id, type, prefix || CASE WHEN length(x) > 100 THEN {_CUT} ELSE x END AS content, round(CASE WHEN length(x) > 200 THEN c * 0.7 WHEN length(x) < 10 THEN c * 0.3 ELSE c END, 4) AS confidence, priority, turn, nth FROM c) SELECT id, type, content, max(confidence) AS confidence, min(priority) AS priority FROM d GROUP BY id, type, content")
 def dd10(spark: SparkSession, sf: str) -> DataFrame:
-    m = texts(Tables(spark, sf)).select("id", F.explode(capture.memories(F.col("text"))).alias("m")).select("id", "m.*")
+    m = said_too(Tables(spark, sf)).select("id", F.explode(capture.memories(F.col("text"))).alias("m")).select("id", "m.*")
     return m.groupBy("id", "type", "content").agg(F.max("confidence").alias("confidence"), F.min("priority").alias("priority"))
 
 

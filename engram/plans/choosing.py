@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engram.fixtures import Tables, oracle
 from engram.operators import health, ranking, selection, windows
-from engram.plans.memory import _BM25, _HEALTH, reached
+from engram.plans.memory import _HEALTH, _WORDS, bm25_sql, reached
 from engram.plans.registry import register
 from engram.plans.sequences import _PAIRS, WINDOW
 
@@ -24,10 +24,7 @@ def rk25(spark: SparkSession, sf: str) -> DataFrame:
     return selection.as_of_view(Tables(spark, sf).fibers(), 10000).select("id", "end_day")
 
 
-_SUMMARY = (
-    _BM25.replace("SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents", "SELECT l_orderkey AS doc_id, unnest(regexp_extract_all(lower(p_name), '[a-z]+')) AS term FROM lineitem JOIN part ON p_partkey = l_partkey")
-    .replace("SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark WHERE item_id < 10", "SELECT r_regionkey AS query_id, unnest(['red', 'widget', 'small']) AS term FROM region")
-)
+_SUMMARY = bm25_sql(f"SELECT l_orderkey AS doc_id, {_WORDS.format('p_name')} FROM lineitem JOIN part ON p_partkey = l_partkey", "SELECT r_regionkey AS query_id, unnest(['red', 'widget', 'small']) AS term FROM region")
 
 
 @register("rk26_summary_search", "WITH " + _SUMMARY + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 10")

@@ -156,13 +156,18 @@ def rk2(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.rrf_levels(ranking.rrf(a.unionByName(b))).withColumn("level", F.round("level", 6))
 
 
-_BM25 = """terms AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM documents),
-asked AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS term FROM benchmark WHERE item_id % 20 = 0),
+def bm25_sql(terms: str, asked: str) -> str:
+    """Tables that end in scored(query_id, doc_id, score). terms: (doc_id, term) and asked: (query_id, term), a row a word."""
+    return f"""terms AS ({terms}), asked AS ({asked}),
 a AS (SELECT query_id, term, count(*) AS times FROM asked GROUP BY 1, 2), tf AS (SELECT doc_id, term, count(*) AS tf FROM terms GROUP BY 1, 2), size AS (SELECT doc_id, count(*) AS size FROM terms GROUP BY 1),
 corpus AS (SELECT count(*) AS n, avg(size) AS mean FROM size), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 scored AS (SELECT query_id, doc_id, sum(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / mean))) AS score FROM a JOIN tf USING (term) JOIN df USING (term) JOIN size USING (doc_id), corpus GROUP BY 1, 2)"""
 
 
+_WORDS = "unnest(regexp_extract_all(lower({}), '[a-z]+')) AS term"
+_BM25 = bm25_sql(f"SELECT doc_id, {_WORDS.format('text')} FROM documents", f"SELECT item_id AS query_id, {_WORDS.format('text')} FROM benchmark WHERE item_id % 20 = 0")
+
+
 @register("rk3_bm25", "WITH " + _BM25 + " SELECT query_id, doc_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM scored) WHERE rank <= 10")
 def rk3(spark: SparkSession, sf: str) -> DataFrame:
     t = Tables(spark, sf)

@@ -30,6 +30,27 @@ def texts(t: Tables) -> DataFrame:
     return out.union(b.select(t.key("i", "item_id"), "text"))
 
 
+#: What is said of an order, before and after its number: times, causes and comparisons, and things worth keeping.
+SAYINGS = (
+    ("We paid order ", " the day before yesterday."), ("Order ", " was packed yesterday."), ("Check order ", " this morning, please."), ("The truck with order ", " arrives tonight."), ("Order ", " is due tomorrow."), ("Count order ", " again this week."), ("Order ", " was late last week."), ("Next week order ", " goes out."), ("Order ", " came up recently."), ("Order ", " was moved in the last few days."),
+    ("Order ", " was placed 12 days ago."), ("Order ", " was sealed 3 weeks ago."), ("Order ", " leaves in 5 days."), ("Order ", " returns in 2 weeks."), ("Order ", " came yesterday and leaves tomorrow, 3 days ago it was here."),
+    ("The delay of order ", " happened because the bridge was closed."), ("Order ", " was delayed and that was caused by heavy rain. It waits."), ("Order ", " came back as a result of a wrong label."), ("The label of order ", " was torn therefore it was printed again."), ("A wet floor under order ", " leads to mould in the boxes; move it."),
+    ("The size of order ", " is similar to the order before it."), ("The price of order ", " unlike the price of others fell."), ("Shipping order ", " by rail is better than shipping it by road."), ("Weigh order ", " before loading the second truck."), ("Close order ", " after the customer has signed."),
+    ("We decided to ship order ", " by rail."), ("The decision is to hold order ", " for a week."), ("We moved to a new carrier for order ", " and others."), ("Error: order ", " has no address."), ("The issue was the address of order ", "; it was empty!"), ("Problem: order ", " weighs more than it should."), ("Fixed by printing the label of order ", " again."),
+    ("TODO: call the customer of order ", " about the door code."), ("Remember to weigh order ", " twice."), ("The solution is to split order ", " into two boxes."), ("We learned that order ", " fits through the small door."), ("Turns out order ", " had been paid twice."), ("The root cause was a swapped label on order ", " and its neighbour."), ("Lesson learned: order ", " needs a dry place."),
+    ("I prefer to send order ", " by train."), ("We avoid sending order ", " at night."), ("Always use thick paper for order ", " and the like."),
+)
+#: All texts and what is said of each order.
+_SAID_TOO = _TEXTS.removesuffix(")") + f" UNION ALL SELECT 'o:' || o_orderkey, [{', '.join(q(a) for a, _ in SAYINGS)}][o_orderkey % {len(SAYINGS)} + 1] || o_orderkey || [{', '.join(q(b) for _, b in SAYINGS)}][o_orderkey % {len(SAYINGS)} + 1] FROM orders)"
+
+
+def said_too(t: Tables) -> DataFrame:
+    nth = (F.col("o_orderkey") % len(SAYINGS)).cast("int")
+    part = lambda i: F.get(F.array(*[F.lit(x[i]) for x in SAYINGS]), nth)
+    said = t.read("orders").select(t.key("o", "o_orderkey"), F.concat(part(0), F.col("o_orderkey").cast("string"), part(1)))
+    return texts(t).union(said)
+
+
 @register("sc20_memory_type", f"WITH {_TEXTS} SELECT id, {_TYPES} AS memory_type FROM (SELECT id, lower(coalesce(text, '')) AS low FROM texts)")
 def sc20(spark: SparkSession, sf: str) -> DataFrame:
     return texts(Tables(spark, sf)).select("id", signals.memory_type(F.coalesce("text", F.lit(""))).alias("memory_type"))
