@@ -50,9 +50,11 @@ def walkable(synapses: DataFrame, states: DataFrame | None = None, *, min_weight
     return e
 
 
-def spread(anchors: DataFrame, edges: DataFrame, *, max_hops: int = 4, decay: float = 0.5, min_level: float = 0.3, stop: tuple[float, int, int] | None = None) -> DataFrame:
+def spread(anchors: DataFrame, edges: DataFrame, *, max_hops: int = 4, decay: float = 0.5, min_level: float = 0.3, stop: tuple[float, int, int] | None = None, scope: DataFrame | None = None) -> DataFrame:
     """query_id, node_id, level, hop: activation from anchors (query_id, node_id, level), hop by hop, the best level of each node kept.
 
+    scope (query_id, node_id): the nodes that a query's activation may reach.
+
     stop: (ratio, least, grace): beyond `grace` hops a query goes on only while a hop finds `least` new nodes and `ratio` times those of the hop before.
     """
     edges = settled(edges)  # read once a hop
@@ -66,6 +68,8 @@ def spread(anchors: DataFrame, edges: DataFrame, *, max_hops: int = 4, decay: fl
             frontier = frontier.join(on.select("query_id"), "query_id", "left_semi")
         out = frontier.join(edges, F.col("node_id") == F.col("source")).select("query_id", F.col("target").alias("node_id"), (F.col("level") * decay * F.col("factor")).alias("level"))
         out = out.filter(F.col("level") >= min_level).groupBy("query_id", "node_id").agg(F.max("level").alias("level"))
+        if scope is not None:
+            out = out.join(scope, ["query_id", "node_id"], "left_semi")
         before = reached.groupBy("query_id", "node_id").agg(F.max("level").alias("best"))
         better = out.join(before, ["query_id", "node_id"], "left").filter(F.col("best").isNull() | (F.col("level") > F.col("best")))
         frontier = settled(better.select("query_id", "node_id", "level", F.lit(hop).alias("hop"), *([F.col("best").isNull().alias("new")] if stop else [])))

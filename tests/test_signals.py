@@ -68,7 +68,7 @@ def test_signals_of_single_texts(spark):
     rows = [("TODO: call them back",), ("We chose Redis because it is fast",), ("root cause found in the parser",), ("always use tabs",), ("plain",), (None,)]
     got = [r[0] for r in spark.createDataFrame(rows, "t string").select(signals.memory_type(F.coalesce("t", F.lit("")))).collect()]
     assert got == ["todo", "decision", "insight", "instruction", "fact", "fact"]
-    s = spark.createDataFrame([("This is not good but very fast and not at all broken",), ("",)], "t string").select(signals.sentiment(F.col("t")).alias("s")).select("s.*").collect()
+    s = spark.createDataFrame([("This is not good but very quick and not at all broken",), ("",)], "t string").select(signals.sentiment(F.col("t")).alias("s")).select("s.*").collect()
     assert (s[0]["valence"], s[0]["positive"], s[0]["negative"]) == ("neutral", 1, 2) or (s[0]["positive"], s[0]["negative"]) == (1, 2)
     assert (s[1]["valence"], s[1]["intensity"]) == ("neutral", 0.0)
     q = spark.createDataFrame([("Why did you recommend Redis over Memcached?",), ("how do you feel about it",), ("của tôi ở đâu",), (None,)], "t string").select(signals.query_features(F.col("t")).alias("f")).select("f.*").collect()
