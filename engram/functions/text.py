@@ -157,13 +157,6 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{Nd}]+"), lambda w: w != "")
 
 
-def fuzzy_match(terms: DataFrame, vocabulary: DataFrame, *, distance: int = 2) -> DataFrame:
-    """term, word, distance of words within an edit distance of each term; only words of like length meet."""
-    t = terms.select("term", F.explode(F.sequence(F.greatest(F.lit(1), F.length("term") - distance), F.length("term") + distance)).alias("size"))
-    v = vocabulary.select("word", F.length("word").alias("size"))
-    return t.join(v, "size").select("term", "word", F.levenshtein("term", "word", distance).alias("distance")).filter("distance >= 0")
-
-
 #: Words that show a cause, a time or a comparison, and marks of something specific or structured.
 CAUSAL = r"(?i)\b(because|caused|due to|led to|resulted in|reason|since|therefore|so that|in order to|as a result|consequently)\b"
 TEMPORAL = r"(?i)\b(after|before|then|when|while|during|until|once|first|next|previously|subsequently|earlier|later|following)\b"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engram.fixtures import Tables, oracle
 from engram.functions import text
-from engram.operators import aggregates, joins, links, sets, topk
+from engram.operators import aggregates, anchors, joins, links, sets, topk
 from engram.operators.graph import walkable
 from engram.plans.memory import _HASHES, _LISTS, _SPREAD, maturations, ranked_lists, reached
 from engram.plans.registry import register
@@ -267,11 +267,15 @@ def sc4(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "sc5_fuzzy_match",
-    "SELECT DISTINCT t AS term, w AS word, levenshtein(t, w) AS distance FROM (VALUES ('small rng'), ('red wigdet'), ('blue bolt')) AS x(t), (SELECT DISTINCT p_name AS w FROM part) WHERE levenshtein(t, w) <= 2",
+    """WITH t AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN substr(p_name, 1, 2) || substr(p_name, 4) WHEN 1 THEN reverse(substr(p_name, 1, 2)) || substr(p_name, 3) ELSE p_name || 's' END AS term FROM part WHERE p_partkey % 20 = 0)
+    SELECT DISTINCT term, w AS word, CAST(levenshtein(term, w) AS INTEGER) AS distance FROM t, (SELECT DISTINCT p_name AS w FROM part) WHERE levenshtein(term, w) <= 2""",
 )
 def sc5(spark: SparkSession, sf: str) -> DataFrame:
-    terms = spark.createDataFrame([("small rng",), ("red wigdet",), ("blue bolt",)], "term string")
-    return text.fuzzy_match(terms, Tables(spark, sf).read("part").select(F.col("p_name").alias("word")).distinct())
+    """Names of every twentieth part, with a letter lost, two exchanged or one more."""
+    p = Tables(spark, sf).read("part")
+    n, cut = F.col("p_partkey") % 3, lambda a, z=None: F.substr("p_name", F.lit(a), *([F.lit(z)] if z else []))
+    term = F.when(n == 0, F.concat(cut(1, 2), cut(4))).when(n == 1, F.concat(F.reverse(cut(1, 2)), cut(3))).otherwise(F.concat("p_name", F.lit("s")))
+    return anchors.fuzzy_words(p.filter("p_partkey % 20 = 0").select(term.alias("term")), p.select(F.col("p_name").alias("word")))
 
 
 @register(
