@@ -64,22 +64,6 @@ def temporal_range(fibers: DataFrame, start: int, end: int) -> DataFrame:
     return fibers.filter(F.col("created_day").isNotNull() & (F.col("created_day") <= end) & (F.coalesce("end_day", "created_day") >= start))
 
 
-def overlap_pairs(members: DataFrame, *, key: str, group: str = "fiber_id", min_jaccard: float, max_fanout: int | None = None) -> DataFrame:
-    """(a, b, shared, jaccard) of groups that share members. Keys in more than max_fanout groups are left out of the join (hub_keys reports them)."""
-    m = members.select(group, key).distinct()
-    sizes = m.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
-    if max_fanout is not None:
-        m = m.join(hub_keys(m, key=key, max_fanout=max_fanout).select(key), key, "left_anti")
-    a, b = m.select(key, F.col(group).alias("a")), m.select(key, F.col(group).alias("b"))
-    shared = a.join(b, key).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    shared = shared.join(sizes.select(F.col(group).alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col(group).alias("b"), F.col("n").alias("nb")), "b")
-    return shared.withColumn("jaccard", F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).filter(F.col("jaccard") >= min_jaccard).select("a", "b", "shared", "jaccard")
-
-
-def hub_keys(members: DataFrame, *, key: str, max_fanout: int) -> DataFrame:
-    return members.groupBy(key).agg(F.count(F.lit(1)).alias("groups")).filter(F.col("groups") > max_fanout)
-
-
 def cooccur_within(events: DataFrame, *, window_us: int, key: Column, min_frequency: int = 1) -> DataFrame:
     """(a < b, n): events with different keys in one session at most a window apart; slots keep the join on equal keys."""
     e = events.select("session_id", "id", key.alias("k"), "at_us")

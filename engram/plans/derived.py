@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engram.fixtures import Tables, oracle
 from engram.functions import text
-from engram.operators import aggregates, anchors, joins, links, sets, topk
+from engram.operators import aggregates, anchors, joins, links, setjoin, sets, topk
 from engram.operators.graph import walkable
 from engram.plans.memory import _HASHES, _LISTS, _SPREAD, maturations, ranked_lists, reached
 from engram.plans.registry import register
@@ -107,7 +107,7 @@ comp AS (SELECT id, min(other) AS component FROM reach GROUP BY 1)"""
 
 
 def topic_pairs(t: Tables) -> DataFrame:
-    return joins.overlap_pairs(t.fiber_tags().filter("origin = 'auto'"), key="tag", min_jaccard=0.6)
+    return setjoin.overlap_pairs(t.fiber_tags().filter("origin = 'auto'"), key="tag", min_jaccard=0.6)
 
 
 @register("gr13_components", oracle("SELECT id, component FROM comp", _PAIRS).replace("WITH neurons AS", "WITH RECURSIVE neurons AS", 1))

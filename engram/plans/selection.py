@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.fixtures import Tables, oracle
-from engram.operators import aggregates, filters, joins
+from engram.operators import aggregates, filters, joins, setjoin
 from engram.plans.registry import register
 
 HUBS = "p:1,p:2,p:3,c:1,c:2,n:1,n:2,s:1".split(",")
@@ -151,7 +151,7 @@ def jn6(spark: SparkSession, sf: str) -> DataFrame:
     ),
 )
 def jn7(spark: SparkSession, sf: str) -> DataFrame:
-    return joins.overlap_pairs(Tables(spark, sf).fiber_neurons(), key="neuron_id", min_jaccard=0.33).withColumn("jaccard", F.round("jaccard", 6))
+    return setjoin.overlap_pairs(Tables(spark, sf).fiber_neurons(), key="neuron_id", min_jaccard=0.33).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @register(
@@ -164,7 +164,7 @@ def jn7(spark: SparkSession, sf: str) -> DataFrame:
 )
 def jn8(spark: SparkSession, sf: str) -> DataFrame:
     topics = Tables(spark, sf).fiber_tags().filter("origin = 'auto'")
-    return joins.overlap_pairs(topics, key="tag", min_jaccard=0.45).withColumn("jaccard", F.round("jaccard", 6))
+    return setjoin.overlap_pairs(topics, key="tag", min_jaccard=0.45).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @register(
