@@ -56,10 +56,14 @@ def with_late(stream: DataFrame, *, bound: str, late_path: str) -> Callable[[Dat
     return split
 
 
-#: Milliseconds without an event after which a session's state is dropped.
+#: Milliseconds of event time without an event after which a session's state is dropped; what is later than that is dropped, too.
 IDLE_MS = 24 * 3600 * 1000
 
 
+def _marked(stream: DataFrame, idle_ms: int) -> DataFrame:
+    return stream.withWatermark("ts", f"{idle_ms} milliseconds")
+
+
 def sequential_pair_stream(events: DataFrame, *, window_s: float = 30.0, idle_ms: int = IDLE_MS) -> DataFrame:
     """session_id, a, b, gap_s: actions that follow each other within a window, across micro-batches. The state of a session is its last event, dropped
     when it has been idle; late events are paired in the order of their batch."""
@@ -77,11 +81,11 @@ def sequential_pair_stream(events: DataFrame, *, window_s: float = 30.0, idle_ms
                 out.append((key[0], last[1], action, at - last[0]))
             last = (at, action)
         state.update(last)
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + idle_ms)
         yield pd.DataFrame(out, columns=["session_id", "a", "b", "gap_s"])
 
     schema = "session_id long, a string, b string, gap_s double"
-    return events.groupBy("session_id").applyInPandasWithState(pair, schema, "at double, action string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return _marked(events, idle_ms).groupBy("session_id").applyInPandasWithState(pair, schema, "at double, action string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def topic_ema_stream(topics: DataFrame, *, keep: float = 0.7, least: float = 0.01, idle_ms: int = IDLE_MS) -> DataFrame:
@@ -99,14 +103,14 @@ def topic_ema_stream(topics: DataFrame, *, keep: float = 0.7, least: float = 0.0
             for topic in sorted(set(event["topic"])):
                 weights[topic] = weights.get(topic, 0.0) + 1 - keep
         state.update((json.dumps(weights, sort_keys=True),))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + idle_ms)
         yield pd.DataFrame([(key[0], t, w) for t, w in sorted(weights.items())], columns=["session_id", "topic", "weight"])
 
-    return topics.groupBy("session_id").applyInPandasWithState(fold, "session_id long, topic string, weight double", "weights string", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return _marked(topics, idle_ms).groupBy("session_id").applyInPandasWithState(fold, "session_id long, topic string, weight double", "weights string", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def activation_cache_stream(results: DataFrame, *, fade: float = 0.7, least: float = 0.01, most: int = 200, idle_ms: int = IDLE_MS) -> DataFrame:
-    """session_id, node_id, level, turn after each micro-batch: what a session's queries reached (session_id, turn, node_id, level), faded by each
+    """session_id, node_id, level, turn after each micro-batch: what a session's queries reached (session_id, ts, turn, node_id, level), faded by each
     turn since, the highest level of a node kept, of the `most` strongest. A session's state is that cache, dropped when it has been idle."""
 
     def fold(key, batches, state: GroupState):
@@ -121,10 +125,10 @@ def activation_cache_stream(results: DataFrame, *, fade: float = 0.7, least: flo
             levels[node] = max(levels.get(node, 0.0), level * fade ** (newest - int(turn)))
         kept = sorted(((n, v) for n, v in levels.items() if v >= least), key=lambda x: (-round(x[1], 9), x[0]))[:most]
         state.update((json.dumps(dict(kept)), newest))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp(int(rows["ts"].max().timestamp() * 1000) + idle_ms)
         yield pd.DataFrame([(key[0], n, v, newest) for n, v in kept], columns=["session_id", "node_id", "level", "turn"])
 
-    return results.groupBy("session_id").applyInPandasWithState(fold, "session_id long, node_id string, level double, turn long", "levels string, turn long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return _marked(results, idle_ms).groupBy("session_id").applyInPandasWithState(fold, "session_id long, node_id string, level double, turn long", "levels string, turn long", "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def watch_directory(spark: SparkSession, path: str, *, pattern: str = "*", most_files: int = 1000) -> DataFrame:

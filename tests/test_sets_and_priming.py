@@ -1,6 +1,7 @@
 """Set joins, decisions, greedy clusters and priming against plain loops."""
 
 import random
+from datetime import datetime
 
 import pytest
 
@@ -94,12 +95,13 @@ def test_cache_and_boosts(spark):
 
 
 def test_cache_stream_is_the_batch(spark, tmp_path):
-    schema = "session_id long, turn int, node_id string, level double"
-    for i, part in enumerate((HISTORY[:2], HISTORY[2:])):
+    schema = "session_id long, turn int, node_id string, level double, ts timestamp"
+    rows = [(*r, datetime(2024, 1, 1, 0, r[1])) for r in HISTORY]
+    for i, part in enumerate((rows[:2], rows[2:])):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"{i}"))
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     q = logs.activation_cache_stream(stream).writeStream.format("memory").queryName("cache_stream").outputMode("update").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    assert q.awaitTermination(120)
     rows = spark.sql("SELECT * FROM cache_stream").collect()
     newest = {s: max(r["turn"] for r in rows if r["session_id"] == s) for s in (1, 2)}
     assert {(r["session_id"], r["node_id"]): round(r["level"], 9) for r in rows if r["turn"] == newest[r["session_id"]]} == cached(HISTORY)
