@@ -39,7 +39,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _load() -> None:
-    from engram.plans import capturing, choosing, cognition, deciding, derived, encoding, insight, memory, merging, moving, priming, recall, searching, selection, sequences, shortening, signals, wording  # noqa: F401  they register their queries
+    from engram.plans import capturing, choosing, cognition, deciding, derived, encoding, insight, memory, merging, moving, priming, recall, searching, selection, sequences, shape, shortening, signals, wording  # noqa: F401  they register their queries
 
 
 def queries() -> dict[str, Query]:
