@@ -6,7 +6,8 @@ for nothing, and again at a cost that rises by one each time (a convex cost of r
 any of its sources, as far as MOST_TIMES the words of its own documents there go. Each source asks for its quota of words.
 The flow over patterns and sources so prefers texts that no other source has taken. Inside a pattern the seeded hash of
 the text orders the documents, and each source starts where the one before it stopped, so that sources that share texts
-take different ones as long as they can.
+take different ones as long as they can. That cut stops short of the quota in every cell; what a source then lacks is made up
+by whole documents of its own that may be taken once more: PURSE of each size class (powers of two), the largest that fit first.
 
 Sums per source and per pattern and source reach the driver. The MOST_PATTERNS heaviest patterns are told apart; lighter
 ones are summed by their first source, so at most MOST_PATTERNS + sources rows for each source come, none for documents.
@@ -18,6 +19,7 @@ the hash are taken together. Texts of any length are counted whole. Columns that
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -28,8 +30,10 @@ from engram.llm.common import broadcast_if_small, staged, table
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_TIMES = 3
 SEED = 8
-#: Patterns that the flow tells apart, and steps of the cost of repetition; the last one holds what is beyond.
-MOST_PATTERNS, LEVELS = 256, 12
+#: Patterns that the flow tells apart (all there can be of eight sources).
+MOST_PATTERNS = 256
+#: Documents of each source and size class among which those are that fill its quota up.
+PURSE = 8
 
 
 def n_words(text: Column) -> Column:
@@ -56,10 +60,10 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, most_times: fl
     return w.withColumn("target", F.least(F.col("cap"), F.coalesce(F.col("weight") * level, F.col("cap")))).select("source", "source_size", "target")
 
 
-def min_cost_flow(once: Sequence[float], limits: Sequence[dict[int, float]], quota: Sequence[float], levels: int = LEVELS) -> list[dict[int, float]]:
+def min_cost_flow(once: Sequence[float], limits: Sequence[dict[int, float]], quota: Sequence[float]) -> list[dict[int, float]]:
     """Words that each pattern gives to each of its sources, at least cost among the flows that fill the quotas as far as they can.
 
-    once: words of a pattern at each cost 0, 1, 2, ... (the last level has no end); limits: words of a pattern for each source.
+    once: words of a pattern at each cost 0, 1, 2, ..., as often as its limits allow; limits: words of a pattern for each source.
     Costs lie on the patterns alone, so what patterns can give is a polymatroid, and filling the quotas level by level with
     as much as goes in gives the least cost: each level is a maximum flow on what the levels before have left.
     """
@@ -75,8 +79,7 @@ def min_cost_flow(once: Sequence[float], limits: Sequence[dict[int, float]], quo
 
     enters = [arc(0, 1 + p, 0.0) for p in range(n_p)]
     gives = [{s: arc(1 + p, 1 + n_p + s, words) for s, words in row.items()} for p, row in enumerate(limits)]
-    for s, q in enumerate(quota):
-        arc(1 + n_p + s, sink, q)
+    fills = [arc(1 + n_p + s, sink, q) for s, q in enumerate(quota)]
     little = 1e-9 * max(1.0, sum(quota))
 
     def push(a: int, most: float, depth: list[int], turn: list[int]) -> float:
@@ -96,9 +99,12 @@ def min_cost_flow(once: Sequence[float], limits: Sequence[dict[int, float]], quo
             turn[a] += 1
         return sent
 
-    for level in range(levels):
+    levels = max((math.ceil(sum(row.values()) / words) for row, words in zip(limits, once, strict=True) if words > 0), default=0)
+    for _ in range(levels):
+        if sum(left[e] for e in fills) <= little:
+            break
         for p, e in enumerate(enters):
-            left[e] += once[p] if level < levels - 1 else float("inf")
+            left[e] += once[p]
         while True:
             depth, row = [-1] * (sink + 1), [0]
             depth[0] = 0
@@ -113,7 +119,7 @@ def min_cost_flow(once: Sequence[float], limits: Sequence[dict[int, float]], quo
 
 
 def _below(docs: DataFrame, want: DataFrame, cells: int) -> DataFrame:
-    """(cell, below): the hash below which a cell's documents sum to about `extra` words: two rounds of 2**16 bins, each a
+    """(cell, below): the hash below which a cell's documents sum to at most `extra` words: two rounds of 2**16 bins, each a
     partial sum, whose 256 coarse bins say in which of them to look."""
 
     def cut(binned: DataFrame, want: DataFrame) -> DataFrame:
@@ -133,8 +139,21 @@ def _below(docs: DataFrame, want: DataFrame, cells: int) -> DataFrame:
     first = staged(cut(docs.select("cell", "size", high.alias("bin")), want.select("cell", F.col("extra").alias("left"))).select("cell", F.col("b").alias("high"), "left"), "high")
     inside = docs.join(broadcast_if_small(first.select("cell", "high"), cells), "cell").filter(high == F.col("high"))
     second = cut(inside.select("cell", "size", low.alias("bin")), first)
-    near = F.when(F.col("left") > F.col("words") / 2, F.col("b") + 1).otherwise(F.col("b"))
-    return second.select("cell", (F.col("high") * 65536 + near).alias("below"))
+    return second.select("cell", (F.col("high") * 65536 + F.col("b")).alias("below"))
+
+
+def fill_up(lacks: float, purse: Sequence[tuple[int, object]]) -> list[object]:
+    """The largest of a purse of (size, name) that still fit into what a source lacks, in turn, and one more where that comes nearer."""
+    taken, rest = [], []
+    for size, name in sorted(purse, key=lambda x: -x[0]):
+        if size <= lacks:
+            taken.append(name)
+            lacks -= size
+        else:
+            rest.append((size, name))
+    if rest and rest[-1][0] < 2 * lacks:
+        taken.append(rest[-1][1])
+    return taken
 
 
 def mix(docs: DataFrame, source: Column | None = None, *, weights: Sequence[float] = WEIGHTS, most_times: int = MOST_TIMES, seed: int = SEED, most_patterns: int = MOST_PATTERNS, key: Column | None = None, rows: bool = False) -> DataFrame:
@@ -195,8 +214,27 @@ def mix(docs: DataFrame, source: Column | None = None, *, weights: Sequence[floa
     below = _below(placed(named).filter("extra > 0 and size > 0").select("cell", "size", "hash"), chosen.filter("extra > 0"), len(plan))
     below = staged(below.withColumnRenamed("cell", "c"), "below")
     more = F.when((F.col("extra") > 0) & (F.col("hash") < F.coalesce("below", F.lit(1 << 32))), 1).otherwise(0)
-    times = placed(with_pattern(base) if rows else named).join(broadcast_if_small(below, len(plan)), F.col("cell") == F.col("c"), "left")
-    times = times.withColumn("epochs", F.when(F.col("size") > 0, F.col("full") + more).otherwise(0))
+
+    def cut(df: DataFrame) -> DataFrame:
+        out = placed(df).join(broadcast_if_small(below, len(plan)), F.col("cell") == F.col("c"), "left")
+        return out.withColumn("epochs", F.when(F.col("size") > 0, F.col("full") + more).otherwise(0))
+
+    # what each source lacks, and a purse of its documents: next in the cell's order, those not taken yet first; equal rows are one and go together
+    early = staged(cut(named).filter("size > 0").select(F.col("key").cast("string").alias("k"), "source", "t1", "t2", "size", "epochs", F.pmod(F.col("hash") - F.coalesce("below", F.lit(0)), F.lit(1 << 32)).alias("turn")), "early")
+    given = {r["source"]: r["words"] for r in early.groupBy("source").agg(F.sum(F.col("epochs") * F.col("size")).alias("words")).collect()}
+    lacks = [(s, t - given.get(s, 0)) for s, t, _ in quota if t - given.get(s, 0) >= 0.5]
+    short = spark.createDataFrame(lacks, "s string, lacks double")
+    open_ = early.filter(F.col("epochs") < most_times).join(broadcast_if_small(short, len(lacks)), F.col("source").eqNullSafe(F.col("s"))).filter("size < 2 * lacks")
+    of_key = open_.groupBy("k", "source", "t1", "t2", "epochs", "turn").agg(F.sum("size").alias("size"))
+    in_class = Window.partitionBy("source", F.floor(F.log2("size"))).orderBy("epochs", "turn", "k", "t1", "t2")
+    purses: dict[object, list] = {s: [] for s, _ in lacks}
+    for r in of_key.withColumn("r", F.row_number().over(in_class)).filter(F.col("r") <= PURSE).collect():  # at most PURSE of each source and class
+        purses[r["source"]].append((int(r["size"]), (r["k"], r["source"], r["t1"], r["t2"])))
+    added = [name for s, lack in lacks for name in fill_up(lack, sorted(purses[s], key=str))]
+    plus = spark.createDataFrame(added, "ak string, asource string, a1 long, a2 long").withColumn("plus", F.lit(1))
+    is_plus = F.col("key").cast("string").eqNullSafe(F.col("ak")) & F.col("source").eqNullSafe(F.col("asource")) & (F.col("t1") == F.col("a1")) & (F.col("t2") == F.col("a2"))
+    times = cut(with_pattern(base) if rows else named).join(broadcast_if_small(plus, len(added)), is_plus, "left")
+    times = times.withColumn("epochs", F.col("epochs") + F.coalesce("plus", F.lit(0)))
     sums = spark.createDataFrame([(s, z, t) for s, t, z in quota], "s string, source_size long, target double")
     out = times.join(broadcast_if_small(sums, len(quota)), times["source"].eqNullSafe(sums["s"]))
     return out.withColumn("taken", F.col("epochs") * F.col("size")).select(*(["row"] if rows else []), "key", "size", "source", "source_size", "target", "pattern", "epochs", "taken")
