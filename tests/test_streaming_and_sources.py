@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import text
 from engram.functions.register import register_all
-from engram.operators import links
+from engram.operators import aggregates, links
 from engram.sources import files
 from engram.streaming import logs
 
@@ -47,6 +47,21 @@ def test_sessions_stream(spark, tmp_path):
     assert [n for _, n in got] == [3, 2, 1]
 
 
+def test_co_activation_stream(spark, tmp_path):
+    """Each sliding window holds what the batch operator counts over its days; a pair that is seen again is counted again, a strength that is null is no part of the mean."""
+    schema = "a string, b string, ts timestamp, strength double"
+    rows = [("abc"[i % 3], "xy"[i % 2], T0 + datetime.timedelta(hours=7 * i), None if i == 4 else float(i % 5)) for i in range(40)]
+    last = [("z", "z", T0 + datetime.timedelta(days=400), 0.0)]
+    df, s = stream(spark, tmp_path, [*rows, rows[3], *last], schema)
+    got = {(r["begin"], r["a"], r["b"]): (r["cnt"], r["avg_strength"]) for r in drain(logs.co_activation_stream(s, watermark="30 days"), tmp_path, "together") if r["a"] != "z"}
+    want = {}
+    for k in range(-6, 12):
+        begin = T0 + datetime.timedelta(days=k)
+        part = df.filter((F.col("ts") >= F.lit(begin)) & (F.col("ts") < F.lit(begin + datetime.timedelta(days=7))) & (F.col("a") != "z"))
+        want |= {(begin, r["a"], r["b"]): (r["cnt"], r["avg_strength"]) for r in aggregates.co_activation_counts(part).collect()}
+    assert got == want and max(n for n, _ in got.values()) > 1
+
+
 def test_temporal_binding_stream(spark, tmp_path):
     schema = "brain_id string, fiber_id string, anchor string, ts timestamp"
     rows = [("b", f"f{i}", f"a{i % 3}", T0 + datetime.timedelta(minutes=3 * i)) for i in range(6)]
