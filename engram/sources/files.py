@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import json
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 EVENT = "id long, tool_name string, server_name string, args_summary string, success boolean, duration_ms double, session_id string, task_context string, created_at string"
 
+#: Packages smaller than each are of that tier (the last one's own size belongs to it), larger ones are oversized; format version and fields asked for.
+SIZE_TIERS = (("micro", 100 * 1024), ("small", 1024 * 1024), ("medium", 10 * 1024 * 1024))
+PACKAGE_VERSION, MANIFEST, SNAPSHOT = "1.0", ("id", "name", "display_name", "description", "author"), ("neurons", "synapses", "fibers")
+
 
 def read_documents(spark: SparkSession, folder: str, *, extensions: Sequence[str] = ("md", "txt"), exclude: str | None = None) -> DataFrame:
     """path, content, sha256 of text files below a folder."""
@@ -18,9 +25,10 @@ def read_documents(spark: SparkSession, folder: str, *, extensions: Sequence[str
     return files.select("path", F.col("content").cast("string").alias("content"), F.sha2("content", 256).alias("sha256"))
 
 
-def read_tabular(spark: SparkSession, path: str, kind: str, schema: str) -> DataFrame:
-    reader = spark.read.schema(schema)
-    return reader.option("header", "true").csv(path) if kind == "csv" else reader.json(path)
+def read_tabular(spark: SparkSession, path: str, kind: str, schema: str, *, multiline: bool = False) -> DataFrame:
+    """Rows of CSV files with a header (a quote inside quotes is doubled) or of JSON lines. multiline: records may hold line ends; each file is one task then."""
+    reader = spark.read.schema(schema).option("multiLine", multiline)
+    return reader.option("header", "true").option("escape", '"').csv(path) if kind == "csv" else reader.json(path)
 
 
 def parse_events(lines: DataFrame, *, summary: int = 200) -> DataFrame:
@@ -74,3 +82,59 @@ def schema_patterns(columns: DataFrame) -> DataFrame:
     found = {"audit_trail": "c = 1 and u = 1", "soft_delete": "d = 1", "tree": "p = 1", "polymorphic": "y = 1 and k >= 1", "join_table": "k >= 2 and n <= k + 2"}
     picks = F.array(*[F.when(F.expr(test), F.lit(p)) for p, test in found.items()])
     return t.select("table", F.explode(F.array_compact(picks)).alias("pattern"))
+
+
+def _package(raw: bytes, version_key: str) -> dict:
+    """The findings and parts of one package; what is wrong is told, never raised."""
+    out = dict.fromkeys(["id", "name", "version", "author", "content_hash", "hash_ok", *SNAPSHOT])
+    try:
+        data = json.loads(raw)
+    except ValueError:  # no JSON, or no UTF-8
+        return out | {"errors": ["not JSON"]}
+    if not isinstance(data, dict):
+        return out | {"errors": ["not a JSON object"]}
+    manifest, snapshot = data.get("manifest"), data.get("snapshot")
+    errors = [] if data.get(version_key) == PACKAGE_VERSION else [f"format version: {data.get(version_key)}"]
+    if isinstance(manifest, dict):
+        errors += [f"manifest lacks {f}" for f in MANIFEST if not manifest.get(f)]
+        out |= {f: str(manifest[f]) for f in ("id", "name", "version", "author", "content_hash") if manifest.get(f) is not None}
+    else:
+        errors.append("no manifest")
+    if isinstance(snapshot, dict):
+        errors += [f"snapshot lacks {f}" for f in SNAPSHOT if not isinstance(snapshot.get(f), list)]
+        out |= {f: [json.dumps(r) for r in snapshot[f]] for f in SNAPSHOT if isinstance(snapshot.get(f), list)}
+        told = hashlib.sha256(json.dumps(snapshot, sort_keys=True).encode()).hexdigest()
+        out["hash_ok"] = out["content_hash"] == f"sha256:{told}"
+        if not out["hash_ok"]:
+            errors.append("hash mismatch")
+    else:
+        errors.append("no snapshot")
+    return out | {"errors": errors}
+
+
+def read_packages(spark: SparkSession, folder: str, *, glob: str = "*.brain", version_key: str = "package_version") -> DataFrame:
+    """path, size_bytes, size_tier, id, name, version, author, content_hash, hash_ok, neurons, synapses, fibers, valid, errors of all packages below a folder.
+
+    A package is one JSON document of a format version (under version_key), a manifest and a snapshot; files are spread over tasks, each is parsed alone.
+    The hash is taken anew over the snapshot with sorted keys. Records of the snapshot are JSON strings, to be read by `package_records`. Files that
+    are no package and those of other versions stay as rows that are not valid and say why (Spark lists no empty files); hash_ok is null without a snapshot.
+    """
+    fields = "id string, name string, version string, author string, content_hash string, hash_ok boolean, neurons array<string>, synapses array<string>, fibers array<string>, errors array<string>"
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, size, raw in zip(b["path"], b["length"], b["content"], strict=True):  # one at a time: a package may be large
+                row = {"path": path, "size_bytes": size, **_package(raw, version_key)}
+                yield pd.DataFrame({k: pd.Series([v], dtype=object) for k, v in row.items()})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
+    out = files.select("path", "length", "content").mapInPandas(parsed, "path string, size_bytes long, " + fields)
+    (micro, a), (small, b), (medium, c) = SIZE_TIERS
+    size = F.col("size_bytes")
+    tier = F.when(size < a, micro).when(size < b, small).when(size <= c, medium).otherwise("oversized")
+    return out.select("path", "size_bytes", tier.alias("size_tier"), *[x.split()[0] for x in fields.split(", ")[:-1]], (F.size("errors") == 0).alias("valid"), "errors")
+
+
+def package_records(packages: DataFrame, part: str, schema: str) -> DataFrame:
+    """path and the columns of schema: the records of a part (neurons, synapses or fibers) of the packages that are valid."""
+    return packages.filter("valid").select("path", F.explode(part).alias("r")).select("path", F.from_json("r", schema).alias("r")).select("path", "r.*")

@@ -1,6 +1,7 @@
 """Streams against their batch twins; files and records; text functions."""
 
 import datetime
+import hashlib
 import json
 
 from pyspark.sql import functions as F
@@ -175,3 +176,40 @@ def test_sql_functions(spark):
     register_all(spark)
     r = spark.sql("SELECT mem_hamming(5L, 6L) AS h, mem_heat(0D, 40D, 10D) AS heat, mem_synapse_decay(1D, 0D, 1440D) AS w, mem_simhash('') AS s").head()
     assert (r["h"], round(r["heat"], 9), round(r["w"], 9), r["s"]) == (2, 1.0, 0.5, 0)
+
+
+def test_packages(spark, tmp_path):
+    snapshot = {"neurons": [{"id": "n1", "content": "é \U0001f600"}, {"id": "n2", "content": None}], "fibers": [], "synapses": [{"source_id": "n1", "target_id": "n2", "weight": 0.5}]}
+    told = "sha256:" + hashlib.sha256(json.dumps(snapshot, sort_keys=True).encode()).hexdigest()
+    manifest = {"id": "i", "name": "p", "display_name": "P", "description": "d", "author": "a", "version": "2.0.0", "content_hash": told}
+    good = {"package_version": "1.0", "manifest": manifest, "snapshot": snapshot}
+    files_ = {
+        "good": json.dumps(good), "spaced": json.dumps(good, indent=3), "bent": json.dumps(good | {"snapshot": snapshot | {"fibers": [1]}}), "old": json.dumps(good | {"package_version": "0.9"}),
+        "large": json.dumps(good | {"more": "x" * 200_000}), "bare": "{}", "list": "[1]", "empty": "", "broken": "{", "short": json.dumps({"package_version": "1.0", "manifest": {**manifest, "author": ""}, "snapshot": {"neurons": 3}}),
+    }
+    (tmp_path / "deep").mkdir()
+    for name, text_ in files_.items():
+        (tmp_path / ("deep" if name == "old" else "") / f"{name}.brain").write_text(text_)
+    (tmp_path / "bytes.brain").write_bytes(b"\xff\xfe\xff")
+    (tmp_path / "other.txt").write_text("{}")
+    p = files.read_packages(spark, str(tmp_path))
+    rows = {r["path"].rsplit("/", 1)[1][:-6]: r for r in p.collect()}
+    assert set(rows) == {*files_, "bytes"} - {"empty"} and {n for n, r in rows.items() if r["valid"]} == {"good", "spaced", "large"}
+    assert all(rows[n]["size_bytes"] == len(t.encode()) for n, t in files_.items() if t) and rows["good"]["size_tier"] == "micro" and rows["large"]["size_tier"] == "small"
+    assert (rows["good"]["hash_ok"], rows["good"]["name"], rows["good"]["version"], rows["bent"]["hash_ok"], rows["bent"]["errors"]) == (True, "p", "2.0.0", False, ["hash mismatch"])
+    assert rows["old"]["errors"] == ["format version: 0.9"] and rows["old"]["hash_ok"] and rows["bare"]["errors"] == ["format version: None", "no manifest", "no snapshot"] and rows["bare"]["hash_ok"] is None
+    assert rows["broken"]["errors"] == rows["bytes"]["errors"] == ["not JSON"] and rows["list"]["errors"] == ["not a JSON object"]
+    assert rows["short"]["errors"] == ["manifest lacks author", "snapshot lacks neurons", "snapshot lacks synapses", "snapshot lacks fibers", "hash mismatch"]
+    read = files.package_records(p.filter("path like '%good%'"), "neurons", "id string, content string").select("id", "content").collect()
+    assert [tuple(r) for r in read] == [("n1", "é \U0001f600"), ("n2", None)]
+    assert files.package_records(p, "synapses", "source_id string, weight double").agg(F.sum("weight")).head()[0] == 1.5
+
+
+def test_tabular_documents(spark, tmp_path):
+    (tmp_path / "t.csv").write_text('id,text\n1,"a, ""b"""\n2,\n')
+    (tmp_path / "t.json").write_text('{"id": 1, "text": "a, \\"b\\"", "more": 3}\n{"id": 2}\n')
+    for kind in ("csv", "json"):
+        got = files.read_tabular(spark, str(tmp_path / f"t.{kind}"), kind, "id long, text string").orderBy("id").collect()
+        assert [r["id"] for r in got] == [1, 2] and got[1]["text"] is None and got[0]["text"] == 'a, "b"'
+    (tmp_path / "m.csv").write_text('id,text\n1,"a\nb"\n')
+    assert [tuple(r) for r in files.read_tabular(spark, str(tmp_path / "m.csv"), "csv", "id long, text string", multiline=True).collect()] == [(1, "a\nb")]
