@@ -4,11 +4,16 @@ A node is a distinct sequence of first turns. Its name is a pair of 62-bit polyn
 associative: parts of a conversation that lie in several tasks of a range partitioning are hashed apart and put together, and so
 are a prefix borrowed from one conversation and the rest of another.
 
-Totals (childless nodes, saved tokens) are summed up a contracting tree. A round rakes all leaves, whose totals are then known, into
-their parents, and compresses nodes with one child, no two neighbours at once: a child of such a node is linked to its grandparent, and
-the edge carries what the node held. When the root alone is left its total is known, and the rounds are taken back in reverse
-order: a compressed node's total is what it held and the total of the child it had. The number of rounds grows with the logarithm of
-the number of nodes, whatever the depth.
+Totals (childless nodes, saved tokens) go over paths first. The nodes whose smallest member is one conversation are the end of that
+conversation: a path, which hangs below a node of another conversation's path. The tree of paths has a node for each distinct
+conversation and is as deep as conversations branch off each other, seldom more than a few levels. Its totals are summed up a contracting
+tree; a node's total is then the sum over the rest of its path of what the nodes hold and of what hangs below them, by running sums over a
+range partitioning, so that a path may lie in several tasks.
+
+A round of contraction rakes all leaves, whose totals are then known, into their parents, and compresses nodes with one child, no two
+neighbours at once: a child of such a node is linked to its grandparent, and the edge carries what the node held. When the root alone is
+left its total is known, and the rounds are taken back in reverse order: a compressed node's total is what it held and the total of the
+child it had. The number of rounds grows with the logarithm of the number of paths, however deep they hang.
 
 Rules: turns are in order of turn (null first), then of role, then of the text's digest; null roles and texts are empty. Rows without a
 conv_id belong to no conversation and are left out. Columns beyond the four are ignored. An empty table has no node.
@@ -18,11 +23,12 @@ from __future__ import annotations
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import crc_ctes, prepare, staged, table
+from engram.llm.common import crc_ctes, new_folder, prepare, staged, table
 
 #: Moduli and multipliers of the two hashes.
 MODULI = ((1 << 61) - 1, (1 << 61) - 31)
@@ -154,22 +160,31 @@ def rebuilt(conversations: DataFrame) -> DataFrame:
     return every.select("conv_id", "depth", "name", "parent", "points", (F.col("depth") == F.col("length")).alias("last"))
 
 
+def written(df: DataFrame, name: str) -> str:
+    """The folder that holds the rows."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return path
+
+
 def contracted(tree: DataFrame, sums: list[str], *, rounds: int = 200, seed: int = 0) -> DataFrame:
     """name and the totals of `sums` over its subtree. tree: name, parent (null for the root alone), and the sums' values."""
     coin = lambda c, r: F.pmod(F.xxhash64(F.lit(seed), F.lit(r), c), F.lit(2)) == 0
     edge = [f"edge_{s}" for s in sums]
     kids = tree.filter("parent is not null").groupBy(F.col("parent").alias("name")).agg(F.count(F.lit(1)).alias("kids"))
     live = tree.join(kids, "name", "left").select("name", "parent", F.coalesce("kids", F.lit(0)).cast("long").alias("kids"), *sums, *[F.lit(0).cast("long").alias(e) for e in edge])
-    live = staged(live, "live")
-    known: list[DataFrame] = []
-    pending: list[DataFrame] = []
+    # folders of what is left after each round, and what it compressed; a node without children in one of them has its total
+    lives, pending = [written(live, "live")], []
+    shape = live.schema
+    ended = live.select("name", *sums).schema
+    expanded = [written(live.select("name", *sums).limit(0), "expanded")]
+    live = tree.sparkSession.read.schema(shape).parquet(lives[0])
     left = live.count()
     for r in range(rounds):
         if left <= 1:
             break
         # rake: leaves give what they and their edges hold to their parents
         leaf = F.col("parent").isNotNull() & (F.col("kids") == 0)
-        known.append(live.filter(leaf).select("name", *sums))
         given = live.filter(leaf).groupBy(F.col("parent").alias("name")).agg(F.count(F.lit(1)).alias("raked"), *[F.sum(F.col(s) + F.col(e)).alias(f"new_{s}") for s, e in zip(sums, edge, strict=True)])
         stem = live.filter(~leaf).join(given, "name", "left")
         stem = staged(stem.select("name", "parent", (F.col("kids") - F.coalesce("raked", F.lit(0))).alias("kids"), *[(F.col(s) + F.coalesce(f"new_{s}", F.lit(0))).alias(s) for s in sums], *edge), "raked")
@@ -182,17 +197,18 @@ def contracted(tree: DataFrame, sums: list[str], *, rounds: int = 200, seed: int
         pending.append(unary.select("name", "child", *[(F.col(s) + F.col(f"child_{e}")).alias(s) for s, e in zip(sums, edge, strict=True)]))
         moved = unary.select(F.col("child").alias("name"), F.col("parent").alias("up"), *[(F.col(s) + F.col(e)).alias(f"more_{e}") for s, e in zip(sums, edge, strict=True)])
         taken = stem.join(unary.select("name"), "name", "left_anti").join(moved, "name", "left")
-        live = staged(taken.select("name", F.coalesce("up", "parent").alias("parent"), "kids", *sums, *[(F.col(e) + F.coalesce(f"more_{e}", F.lit(0))).alias(e) for e in edge]), "live")
+        lives.append(written(taken.select("name", F.coalesce("up", "parent").alias("parent"), "kids", *sums, *[(F.col(e) + F.coalesce(f"more_{e}", F.lit(0))).alias(e) for e in edge]), "live"))
+        live = tree.sparkSession.read.schema(shape).parquet(lives[-1])
         left = live.count()
     else:
         raise RuntimeError(f"the tree did not contract within {rounds} rounds")
-    total = live.select("name", *sums)
-    for k in known:
-        total = total.unionByName(k)
-    for held in reversed(pending):
-        below = total.select(F.col("name").alias("child"), *[F.col(s).alias(f"below_{s}") for s in sums])
-        total = total.unionByName(staged(held.join(below, "child").select("name", *[(F.col(s) + F.col(f"below_{s}")).alias(s) for s in sums]), "expanded"))
-    return total
+    spark = tree.sparkSession
+    # one scan of all rounds from `first` on, however many these are, so that the plan stays small
+    ends = lambda first: spark.read.schema(shape).parquet(*lives[first:]).filter("kids = 0").select("name", *sums).unionByName(spark.read.schema(ended).parquet(*expanded))
+    for r in range(len(pending) - 1, -1, -1):  # a child of what a round compressed got its total in a later one
+        below = ends(r + 1).select(F.col("name").alias("child"), *[F.col(s).alias(f"below_{s}") for s in sums])
+        expanded.append(written(pending[r].join(below, "child").select("name", *[(F.col(s) + F.col(f"below_{s}")).alias(s) for s in sums]), "expanded"))
+    return ends(0)
 
 
 def _ends(members: DataFrame) -> DataFrame:
@@ -222,17 +238,58 @@ def _ends(members: DataFrame) -> DataFrame:
     return t.mapInArrow(run, "name binary, ends_sha256 string")
 
 
+def rest_of_path(nodes: DataFrame, sums: list[str]) -> DataFrame:
+    """nodes (conv_id, depth, and any columns) with the sums taken over each node and the deeper ones of its conversation."""
+    t = nodes.repartitionByRange(F.col("conv_id"), F.col("depth").desc()).sortWithinPartitions(F.col("conv_id"), F.col("depth").desc())
+    schema = f"{', '.join(f'`{n}` {k}' for n, k in nodes.dtypes)}, piece long"
+
+    def run(batches):
+        conv = piece = None
+        had = [0] * len(sums)
+        for b in batches:
+            ids, depths = (np.asarray(b.column(c)) for c in ("conv_id", "depth"))
+            if not len(ids):
+                continue
+            heads = np.flatnonzero(np.concatenate([[conv is None or int(ids[0]) != conv], ids[1:] != ids[:-1]]))
+            # before the first head goes on what the last batch began
+            number = np.searchsorted(heads, np.arange(len(ids)), side="right") - 1
+            pieces = np.where(number < 0, -1 if piece is None else piece, depths[heads[np.maximum(number, 0)]] if len(heads) else 0)
+            columns = {n: b.column(n) for n in b.schema.names} | {"piece": pa.array(pieces, pa.int64())}
+            for k, name in enumerate(sums):
+                run_on = np.cumsum(np.asarray(b.column(name)))
+                before = np.concatenate([[-had[k]], run_on[heads - 1] * (heads > 0)])[number + 1]
+                columns[name] = pa.array(run_on - before, pa.int64())
+                had[k] = int(run_on[-1] - before[-1])
+            conv, piece = int(ids[-1]), int(pieces[-1])
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    t = staged(t.mapInArrow(run, schema), "pieces")
+    # a conversation has a piece for every task that it lies in, most have one
+    whole = t.groupBy("conv_id", "piece").agg(*[F.max_by(s, -F.col("depth")).alias(f"whole_{s}") for s in sums])
+    several = whole.groupBy("conv_id").agg(F.count(F.lit(1)).alias("pieces")).filter("pieces > 1").select("conv_id")
+    several = staged(several.join(whole, "conv_id"), "several")
+    deeper = several.withColumnRenamed("piece", "deeper")
+    more = several.select("conv_id", "piece").join(deeper, "conv_id").filter("deeper > piece").groupBy("conv_id", "piece").agg(*[F.sum(f"whole_{s}").alias(f"more_{s}") for s in sums])
+    return t.join(more, ["conv_id", "piece"], "left").select(*[(F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(c) if c in sums else c for c in nodes.columns])
+
+
 def prefix_trie(members: DataFrame) -> DataFrame:
     """The trie's nodes with their totals. members: conv_id, depth, name, parent, points, last."""
     prepare(members.sparkSession)
+    sums = ["n_leaves", "saved_tokens"]
     nodes = members.groupBy("name").agg(F.min("conv_id").alias("conv_id"), F.first("depth").alias("depth"), F.first("parent").alias("parent"), F.first("points").alias("points"), F.count(F.lit(1)).alias("n_convs"))
     nodes = staged(nodes, "nodes")
     children = nodes.filter("parent is not null").groupBy(F.col("parent").alias("name")).agg(F.count(F.lit(1)).alias("n_children"))
-    nodes = staged(nodes.join(children, "name", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)).cast("long")), "trie")
-    values = nodes.select("name", "parent", F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long").alias("n_leaves"), ((F.col("n_convs") - 1) * F.col("points")).alias("saved_tokens"))
-    totals = contracted(values, ["n_leaves", "saved_tokens"])
     above = nodes.select(F.col("name").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
-    out = nodes.join(totals, "name").join(_ends(members), "name", "left").join(above, "parent", "left")
+    nodes = nodes.join(children, "name", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)).cast("long")).join(above, "parent", "left")
+    nodes = nodes.withColumns({"n_leaves": F.when(F.col("n_children") == 0, 1).otherwise(0).cast("long"), "saved_tokens": (F.col("n_convs") - 1) * F.col("points")})
+    nodes = staged(nodes.drop("points"), "trie")
+    top = F.col("parent_conv_id") != F.col("conv_id")  # of a path that hangs below another
+    paths = nodes.groupBy(F.col("conv_id").alias("name")).agg(F.max(F.when(top, F.col("parent_conv_id"))).alias("parent"), *[F.sum(s).alias(s) for s in sums])
+    totals = contracted(paths, sums).select(F.col("name").alias("conv_id"), *[F.col(s).alias(f"path_{s}") for s in sums])
+    hung = nodes.filter(top).select("conv_id", F.col("parent").alias("name")).join(totals, "conv_id").groupBy("name").agg(*[F.sum(f"path_{s}").alias(f"path_{s}") for s in sums])
+    held = staged(nodes.join(hung, "name", "left").select("name", "conv_id", "depth", "parent_conv_id", "n_convs", "n_children", *[(F.col(s) + F.coalesce(f"path_{s}", F.lit(0))).alias(s) for s in sums]), "held")
+    out = rest_of_path(held, sums).join(_ends(members), "name", "left")
     return out.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256"))
 
 

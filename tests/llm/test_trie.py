@@ -111,3 +111,20 @@ def test_hashes_are_associative():
         assert trie.joined(a, b, 20 - cut) == whole(digests)
         assert trie.without(whole(digests), a, 20 - cut) == b
         assert trie.unpacked(trie.packed(a)) == a
+
+
+def test_rounds_grow_with_branches_not_with_turns(spark, monkeypatch):
+    g = random.Random(9)
+    rows = [(c, t, "user", f"turn {g.random()}") for c in (0, 1, 2) for t in range(120)] + [(100, t, "user", f"turn {t}") for t in range(60)] + [(101, t, "user", f"turn {t}") for t in range(61)]
+    folders = []
+    monkeypatch.setattr(trie, "new_folder", lambda s, name, f=trie.new_folder: folders.append(name) or f(s, name))
+    assert result(trie_of(spark.createDataFrame(rows, SCHEMA))) == expected(rows)
+    assert folders.count("live") <= 5  # a long conversation is one path
+
+
+def test_rest_of_a_path_in_several_tasks(spark, spread):
+    g = random.Random(3)
+    rows = [(c, d, f"{c}:{d}", g.randrange(9), g.randrange(9)) for c, n in ((7, 500), (8, 1), (9, 3), (-1, 40)) for d in range(n)]
+    got = trie.rest_of_path(spark.createDataFrame(rows, "conv_id long, depth long, name string, s long, t long").repartition(4), ["s", "t"])
+    want = {name: tuple(sum(r[k] for r in rows if r[0] == c and r[1] >= d) for k in (3, 4)) for c, d, name, *_ in rows}
+    assert {r["name"]: (r["s"], r["t"]) for r in got.collect()} == want
