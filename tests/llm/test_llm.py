@@ -385,6 +385,25 @@ def test_substring_dedup_in_stock_phrases(spark):
     assert len(found) >= 19
 
 
+def test_substring_dedup_ships_where_holders_change(spark):
+    """Six documents hold a phrase of 40 words, three of them 20 words more: of its 37 and 57 seeds those go to the second pass at which the holders change."""
+    phrase = [f"p{i}" for i in range(60)]
+    texts = [[f"a{i}_{j}" for j in range(30)] + phrase[: 60 if i < 3 else 40] + [f"b{i}_{j}" for j in range(30)] for i in range(6)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    rows = {r["doc"]: r["parts"] for r in substring.chained(substring.anchors(docs, 5), need=6).filter("doc = other").collect()}
+    assert set(rows) == set(range(6))
+    for i, (places, turns) in rows.items():
+        at = np.cumsum(substring._unpack(places, np.uint32)).astype(np.int64)
+        turns = np.unpackbits(np.frombuffer(turns, np.uint8), count=len(at)).astype(bool)
+        assert at.tolist() == list(range(30, 87 if i < 3 else 67))
+        assert at[turns].tolist() == ([30, 67] if i < 3 else [30])
+        got = substring._around(i, np.arange(len(texts[i]), dtype=np.uint64), at, turns, [], 50)
+        assert got["at"][got["first"] > 0].tolist() == at[turns].tolist()
+        assert got["at"][got["last"] > 0].tolist() == ([66, 86] if i < 3 else [66])
+        assert got["at"][got["whole"] > 0].tolist() == ([30] if i < 3 else [])
+        assert len(got) <= 4
+
+
 @pytest.mark.parametrize("flank", [30, 120])
 def test_substring_dedup_inside_half_equal_text(spark, flank):
     """Around 60 equal words three words agree and three differ in turn."""
