@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from engram.operators.insight import NEGATION, core_words
+from engram.operators.insight import core_words, negated
 
 _END = r"(?:\.|\z)"
 #: Kinds of memories in order with prefix, confidence, priority, least length and the patterns of each (English).
@@ -52,7 +52,7 @@ OPPOSITES = (("fast", "slow"), ("good", "bad"), ("works", "broken"), ("stable",
 
 def reversal(a: Column, b: Column) -> Column:
     """Whether one text denies what the other says, or says the opposite."""
-    flip = (F.lower(a).rlike(NEGATION) != F.lower(b).rlike(NEGATION)) & (F.size(F.array_intersect(core_words(a), core_words(b))) >= 2)
+    flip = (negated(a) != negated(b)) & (F.size(F.array_intersect(core_words(a), core_words(b))) >= 2)
     has = lambda text, word: F.lower(text).rlike(f"(?:^|[^a-z0-9_]){word}(?:[^a-z0-9_]|$)")
     for x, y in OPPOSITES:
         flip = flip | (has(a, x) & has(b, y)) | (has(a, y) & has(b, x))
