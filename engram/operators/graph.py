@@ -143,8 +143,8 @@ def expand_neighbors(anchors: DataFrame, synapses: DataFrame, *, most: int = 10,
 
 
 def normalize_outgoing(synapses: DataFrame, *, budget: float = 5.0) -> DataFrame:
-    """id, weight of edges whose source gives out more than the budget, scaled down to it."""
-    total = synapses.groupBy("source_id").agg(F.sum("weight").alias("total")).filter(F.col("total") > budget)
+    """id, weight of edges whose source gives out more than the budget, scaled down to it. Totals are sums of decimals, so they don't depend on the order of the edges."""
+    total = synapses.groupBy("source_id").agg(F.sum(F.col("weight").cast("decimal(38,18)")).cast("double").alias("total")).filter(F.col("total") > budget)
     return synapses.join(total, "source_id").select("id", (F.col("weight") * budget / F.col("total")).alias("weight"))
 
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.functions.formulas import rounded
+from engram.operators import graph
 from engram.plans import registry
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -43,3 +44,10 @@ def test_edges_of_the_sixth_place(spark, tmp_path, name):
     got = registry.queries()[name](spark, str(tmp_path))
     want = duck(tmp_path).sql(f"SELECT {', '.join(got.columns)} FROM ({registry.oracles()[name]})").fetchall()
     assert want and sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_totals_do_not_depend_on_order(spark):
+    weights = [0.16, 0.34, 0.28, 0.8, 1.0, 0.7, 0.9, 0.62, 0.2]  # 5 in all; a sum of doubles in this order is a little more
+    for order in (weights, weights[::-1], sorted(weights)):
+        edges = spark.createDataFrame([(str(i), "a", w) for i, w in enumerate(order)], "id string, source_id string, weight double").coalesce(1)
+        assert graph.normalize_outgoing(edges).count() == 0
