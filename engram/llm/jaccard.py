@@ -299,7 +299,7 @@ def verified(docs: DataFrame, cohorts: DataFrame, few: int) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("nodes") / BLOCK_NODES), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int")
     want = cohorts.join(sizes, "cohort").select("doc_id", "cohort", blocks.alias("blocks"))
     texts = docs.select("doc_id", "text").join(broadcast_if_small(want, few), "doc_id")
-    schema = "task long, block long, doc_id long, tokens binary"
+    schema = "cohort long, task long, block long, doc_id long, tokens binary"
 
     def spread(batches):
         """Each set goes to the tasks of its block with every block of the cohort."""
@@ -309,22 +309,21 @@ def verified(docs: DataFrame, cohorts: DataFrame, few: int) -> DataFrame:
                 own = int(mix(np.array([doc], np.int64).view(np.uint64))[0] % np.uint64(blocks))
                 for other in range(blocks):
                     i, j = min(own, other), max(own, other)
-                    task = mix(np.array([cohort], np.int64).view(np.uint64) + np.uint64(i * blocks + j))
-                    rows.append((int(task.view(np.int64)[0]), own, doc, s.tobytes()))
+                    rows.append((cohort, i * blocks + j, own, doc, s.tobytes()))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["task", "block", "doc_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["cohort", "task", "block", "doc_id", "tokens"])
 
     def compare(batches):
-        """Rows of one task stand together."""
+        """Rows of one task of a cohort stand together."""
 
         def groups() -> Iterator[list]:
             task, group = None, []
             for b in batches:
-                for t, own, doc, tokens in zip(*(b.column(c).to_pylist() for c in ("task", "block", "doc_id", "tokens")), strict=True):
-                    if t != task:
+                for c, t, own, doc, tokens in zip(*(b.column(x).to_pylist() for x in ("cohort", "task", "block", "doc_id", "tokens")), strict=True):
+                    if (c, t) != task:
                         if len(group) > 1:
                             yield group
-                        task, group = t, []
+                        task, group = (c, t), []
                     group.append((doc, (own, tokens)))
             if len(group) > 1:
                 yield group
@@ -341,7 +340,7 @@ def verified(docs: DataFrame, cohorts: DataFrame, few: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out]), pa.array([x[1] for x in out])], ["a", "b"])
 
-    return texts.mapInArrow(spread, schema).repartition("task").sortWithinPartitions("task").mapInArrow(compare, "a long, b long")
+    return texts.mapInArrow(spread, schema).repartition("cohort", "task").sortWithinPartitions("cohort", "task").mapInArrow(compare, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
