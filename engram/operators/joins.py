@@ -48,15 +48,24 @@ def new_pairs_only(pairs: DataFrame, synapses: DataFrame) -> DataFrame:
 def temporal_binding(fibers: DataFrame, *, window: int, most: int = 3, by: str = "brain_id") -> DataFrame:
     """Anchors of the fibers that were active within `window` before a fiber, nearest first; weight 0.4 at no gap, at least 0.1.
 
-    Both sides are laid into slots of the window's length, so the join is on equal keys (a slot or the one before).
+    Of all fibers of one time those of the first ids are enough: `most` of an anchor, and twice `most` in all, as only one anchor of these can be a
+    fiber's own. So each time has one short list. Times are laid into slots of the window's length, so the join is on equal keys (a slot or the one before).
     """
     f = fibers.select(by, F.col("id").alias("fiber_id"), "anchor", F.col("created_day").alias("at"))
-    left = f.withColumn("slot", F.floor(F.col("at") / window))
-    right = f.select(by, F.col("fiber_id").alias("other_id"), F.col("anchor").alias("other"), F.col("at").alias("other_at"), F.explode(F.array(F.floor(F.col("at") / window), F.floor(F.col("at") / window) + 1)).alias("slot"))
-    near = left.join(right, [by, "slot"]).filter((F.col("other_at") <= F.col("at")) & (F.col("other_at") >= F.col("at") - window) & (F.col("other") != F.col("anchor")))
-    rank = F.row_number().over(Window.partitionBy("fiber_id").orderBy(F.col("other_at").desc(), "other_id"))
-    near = near.withColumn("rank", rank).filter(F.col("rank") <= most)
-    return near.select(by, "fiber_id", "anchor", F.col("other").alias("target_id"), F.greatest(F.lit(0.1), 0.4 * (1 - (F.col("at") - F.col("other_at")) / window)).alias("weight"))
+
+    def first(rows: DataFrame, *order: str | Column) -> DataFrame:
+        """The rows that any fiber of a time can need."""
+        own = F.row_number().over(Window.partitionBy(by, "at", "other").orderBy(*order))
+        place = F.row_number().over(Window.partitionBy(by, "at").orderBy(*order))
+        return rows.withColumn("own", own).filter(F.col("own") <= most).withColumn("place", place).filter(F.col("place") <= 2 * most).drop("own", "place")
+
+    c = first(f.filter("anchor is not null").select(by, "at", F.col("fiber_id").alias("other_id"), F.col("anchor").alias("other")), "other_id").withColumnRenamed("at", "other_at")
+    right = c.withColumn("slot", F.explode(F.array(F.floor(F.col("other_at") / window), F.floor(F.col("other_at") / window) + 1)))
+    times = f.select(by, "at").distinct().withColumn("slot", F.floor(F.col("at") / window))
+    near = times.join(right, [by, "slot"]).filter((F.col("other_at") <= F.col("at")) & (F.col("other_at") >= F.col("at") - window))
+    near = first(near, F.col("other_at").desc(), "other_id").groupBy(by, "at").agg(F.sort_array(F.collect_list(F.struct((F.col("at") - F.col("other_at")).alias("gap"), "other_id", "other"))).alias("near"))  # 2 * most at most
+    out = f.join(near, [by, "at"]).select(by, "fiber_id", "anchor", F.explode(F.slice(F.filter("near", lambda x: x["other"] != F.col("anchor")), 1, most)).alias("x"))
+    return out.select(by, "fiber_id", "anchor", F.col("x.other").alias("target_id"), F.greatest(F.lit(0.1), 0.4 * (1 - F.col("x.gap") / window)).alias("weight"))
 
 
 def temporal_range(fibers: DataFrame, start: int, end: int) -> DataFrame:

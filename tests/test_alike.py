@@ -2,7 +2,7 @@
 
 import random
 
-from engram.operators import ranking
+from engram.operators import dedup, joins, ranking
 
 
 def test_equal_names_are_scored_once(spark):
@@ -14,3 +14,33 @@ def test_equal_names_are_scored_once(spark):
     for limit in (1, 7, 200):
         want = {(r["query_id"], r["doc_id"], round(r["score"], 9), r["rank"]) for r in ranking.bm25(d, q, limit=limit).collect()}
         assert want == {(r["query_id"], r["doc_id"], round(r["score"], 9), r["rank"]) for r in ranking.bm25_alike(d, q, limit=limit).collect()}
+
+
+def test_copies_are_one_in_clusters(spark):
+    hashes = [(i, 5) for i in range(30_000)] + [(40_000, 7), (50_000, 7 << 40), (60_000, 7 << 50)]  # 450 million pairs of copies
+    pairs, of = dedup.near_duplicate_classes(spark.createDataFrame(hashes, "id long, hash long"))
+    assert [(r["id_a"], r["id_b"], r["bits"]) for r in pairs.collect()] == [(0, 40_000, 1)]
+    assert of.filter("first = 0").count() == 30_000 and [tuple(r) for r in of.filter("first > 0").collect()] == [(40_000, 40_000)]
+
+
+def test_the_first_leader_claims(spark):
+    g = random.Random(6)
+    edges = sorted({(a, b) for a, b in ((g.randrange(60), g.randrange(60)) for _ in range(150)) if a < b})
+    want = {}
+    for i in sorted({x for e in edges for x in e}):
+        want[i] = min([a for a, b in edges if b == i and want[a] == a], default=i)
+    assert {r["id"]: r["leader"] for r in dedup.leaders(spark.createDataFrame(edges, "id_a long, id_b long")).collect()} == want
+
+
+def test_anchors_of_a_crowded_day(spark):
+    g = random.Random(7)
+    fibers = [(f"b{g.randrange(2)}", f"f{i:05d}", g.choice(["a", "a", "a", "b", "c", None]), g.choice([1, 2, 2, 2, 5, 6, None])) for i in range(200)]
+    df = spark.createDataFrame(fibers, "brain_id string, id string, anchor string, created_day int")
+    want = set()
+    for brain, fiber, anchor, day in fibers:
+        if anchor and day:
+            near = sorted((day - d, f, a) for b, f, a, d in fibers if b == brain and a and d and day - 3 <= d <= day and a != anchor)[:3]
+            want |= {(brain, fiber, a, round(max(0.1, 0.4 * (1 - gap / 3)), 6)) for gap, f, a in near}
+    assert {(r["brain_id"], r["fiber_id"], r["target_id"], round(r["weight"], 6)) for r in joins.temporal_binding(df, window=3).collect()} == want
+    many = spark.range(40_000).selectExpr("'b' AS brain_id", "concat('f', id) AS id", "concat('c', id % 4) AS anchor", "7 AS created_day")  # 1.6 billion pairs
+    assert joins.temporal_binding(many, window=3).count() == 120_000
