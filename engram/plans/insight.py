@@ -146,5 +146,6 @@ def dd14(spark: SparkSession, sf: str) -> DataFrame:
     reach AS (SELECT a AS id, a AS other FROM bi UNION SELECT r.id, bi.b FROM reach r JOIN bi ON bi.a = r.other) SELECT id, min(other) AS component FROM reach GROUP BY 1""",
 )
 def dd4(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = dedup.near_duplicate_pairs(hashed(Tables(spark, sf)))
-    return links.connected_components(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    pairs, of = dedup.near_duplicate_classes(hashed(Tables(spark, sf)), joined=True)
+    found = links.connected_components(pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")))
+    return of.join(found.withColumnRenamed("id", "first"), "first", "left").select("id", F.coalesce("component", "first").alias("component"))

@@ -2,7 +2,9 @@
 
 import random
 
-from engram.operators import dedup, joins, ranking
+from pyspark.sql import functions as F
+
+from engram.operators import dedup, joins, links, ranking
 
 
 def test_equal_names_are_scored_once(spark):
@@ -44,3 +46,17 @@ def test_anchors_of_a_crowded_day(spark):
     assert {(r["brain_id"], r["fiber_id"], r["target_id"], round(r["weight"], 6)) for r in joins.temporal_binding(df, window=3).collect()} == want
     many = spark.range(40_000).selectExpr("'b' AS brain_id", "concat('f', id) AS id", "concat('c', id % 4) AS anchor", "7 AS created_day")  # 1.6 billion pairs
     assert joins.temporal_binding(many, window=3).count() == 120_000
+
+
+def test_hashes_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "PART", 16)
+    g = random.Random(8)
+    hashes = sorted({g.choice([0, 1 << 20, 5 << 62]) ^ sum(1 << i for i in g.sample(range(64), g.randrange(4))) for _ in range(300)})
+    signed = [h - (1 << 64) if h >> 63 else h for h in (x % (1 << 64) for x in hashes)]
+    want = {(min(a, b), max(a, b), ((a ^ b) % (1 << 64)).bit_count()) for a in signed for b in signed if a < b and ((a ^ b) % (1 << 64)).bit_count() <= 3}
+    df = spark.createDataFrame([(h,) for h in signed], "hash long")
+    got = [tuple(r) for r in dedup.near_by_bands(df).collect()]
+    assert set(got) == want and len(got) == len(want) > 100
+    pairs = dedup.near_by_bands(df, joined=True).select(F.col("hash").alias("a"), F.col("other").alias("b"))
+    full = spark.createDataFrame([(a, b) for a, b, _ in want], "a long, b long")
+    assert sorted(links.connected_components(pairs).collect()) == sorted(links.connected_components(full).collect())
