@@ -149,16 +149,22 @@ def normalize_outgoing(synapses: DataFrame, *, budget: float = 5.0) -> DataFrame
 
 
 def clustering_coefficient(synapses: DataFrame) -> DataFrame:
-    """node_id, degree, triangles, coefficient of nodes with two or more neighbours. Each triangle is found once, from its end of least degree, so hubs are not expanded."""
+    """node_id, degree, triangles, coefficient of nodes with two or more neighbours. Each triangle is found once, from its end of least degree, so hubs are not expanded.
+
+    Nodes are numbered in the order of their degrees. The later neighbours of a node are one sorted array, and an edge is sent the rest of its
+    first node's array, so wedges are packed numbers, not rows.
+    """
     e = synapses.filter("source_id <> target_id").select(F.least("source_id", "target_id").alias("a"), F.greatest("source_id", "target_id").alias("b")).distinct()
-    e = settled(e)  # read for degrees, wedges and closing edges
+    e = settled(e)  # read for degrees and for both ends
     degree = e.select(F.col("a").alias("node_id")).union(e.select("b")).groupBy("node_id").agg(F.count(F.lit(1)).alias("degree"))
-    d = lambda c: degree.select(F.col("node_id").alias(c), F.col("degree").alias(f"d{c}"))
-    e = e.join(d("a"), "a").join(d("b"), "b")
-    low = F.struct(F.col("da"), F.col("a")) < F.struct(F.col("db"), F.col("b"))
-    oriented = e.select(F.when(low, F.col("a")).otherwise(F.col("b")).alias("u"), F.when(low, F.col("b")).otherwise(F.col("a")).alias("v"))
-    wedges = oriented.join(oriented.select("u", F.col("v").alias("w")), "u").filter("v <> w")
-    closed = wedges.join(oriented.select(F.col("u").alias("v"), F.col("v").alias("w")), ["v", "w"])
-    corners = closed.select(F.explode(F.array("u", "v", "w")).alias("node_id")).groupBy("node_id").agg(F.count(F.lit(1)).alias("triangles"))
-    t = degree.filter("degree >= 2").join(corners, "node_id", "left").withColumn("triangles", F.coalesce("triangles", F.lit(0)))
+    nodes = settled(degree.orderBy("degree", "node_id").withColumn("no", F.monotonically_increasing_id()))
+    number = lambda c: nodes.select(F.col("node_id").alias(c), F.col("no").alias(f"n{c}"))
+    e = e.join(number("a"), "a").join(number("b"), "b").select(F.least("na", "nb").alias("u"), F.greatest("na", "nb").alias("v"))
+    later = settled(e.groupBy("u").agg(F.sort_array(F.collect_list("v")).alias("later")))  # the root of twice the number of edges at most
+    sent = later.filter(F.size("later") > 1).select("u", "later", F.posexplode("later").alias("at", "v")).filter(F.col("at") + 1 < F.size("later"))
+    sent = sent.select("u", "v", F.slice("later", F.col("at") + 2, F.size("later")).alias("rest"))
+    closed = sent.join(later.select(F.col("u").alias("v"), "later"), "v").select("u", "v", F.array_intersect("rest", "later").alias("w")).filter(F.size("w") > 0)
+    ends = F.explode(F.concat(F.array(F.struct(F.col("u").alias("no"), F.size("w").alias("n")), F.struct(F.col("v").alias("no"), F.size("w").alias("n"))), F.transform("w", lambda x: F.struct(x.alias("no"), F.lit(1).alias("n")))))
+    corners = closed.select(ends.alias("x")).groupBy(F.col("x.no").alias("no")).agg(F.sum("x.n").alias("triangles"))
+    t = nodes.filter("degree >= 2").join(corners, "no", "left").select("node_id", "degree", F.coalesce("triangles", F.lit(0)).alias("triangles"))
     return t.withColumn("coefficient", 2.0 * F.col("triangles") / (F.col("degree") * (F.col("degree") - 1)))

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from engram.operators import dedup, joins, links, ranking
+from engram.operators import dedup, graph, joins, links, ranking
 
 
 def test_equal_names_are_scored_once(spark):
@@ -60,3 +60,16 @@ def test_hashes_in_blocks(spark, monkeypatch):
     pairs = dedup.near_by_bands(df, joined=True).select(F.col("hash").alias("a"), F.col("other").alias("b"))
     full = spark.createDataFrame([(a, b) for a, b, _ in want], "a long, b long")
     assert sorted(links.connected_components(pairs).collect()) == sorted(links.connected_components(full).collect())
+
+
+def test_triangles_of_a_random_graph(spark):
+    g = random.Random(9)
+    edges = [(f"n{min(g.randrange(40), g.randrange(40))}", f"n{g.randrange(40)}") for _ in range(300)]
+    near = {}
+    for a, b in edges:
+        if a != b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    want = {(n, len(x), sum(1 for a in x for b in x if a < b and b in near[a])) for n, x in near.items() if len(x) > 1}
+    got = graph.clustering_coefficient(spark.createDataFrame(edges, "source_id string, target_id string"))
+    assert {(r["node_id"], r["degree"], r["triangles"]) for r in got.collect()} == want
