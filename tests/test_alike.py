@@ -73,3 +73,14 @@ def test_triangles_of_a_random_graph(spark):
     want = {(n, len(x), sum(1 for a in x for b in x if a < b and b in near[a])) for n, x in near.items() if len(x) > 1}
     got = graph.clustering_coefficient(spark.createDataFrame(edges, "source_id string, target_id string"))
     assert {(r["node_id"], r["degree"], r["triangles"]) for r in got.collect()} == want
+
+
+def test_interference_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "PART", 8)
+    g = random.Random(10)
+    hashes = {i: g.getrandbits(24) for i in range(90)}
+    tags = {i: g.sample("abc", g.randrange(4)) for i in hashes}
+    rows = [(i, hashes[i], t) for i in hashes for t in tags[i]]
+    want = {(a, b, round(1 - (hashes[a] ^ hashes[b]).bit_count() / 18, 9)) for a in hashes for b in hashes if a < b and set(tags[a]) & set(tags[b]) and 8 <= (hashes[a] ^ hashes[b]).bit_count() <= 18}
+    got = [(r["id_a"], r["id_b"], round(r["score"], 9)) for r in dedup.interference(spark.createDataFrame(rows, "id long, hash long, tag string")).collect()]
+    assert set(got) == want and len(got) == len(want) > 100
